@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from plumbline.plans import boxes, corpus, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**boxes.QUERIES, **text.QUERIES, **corpus.QUERIES}
+ORACLES: dict[str, str] = {**boxes.ORACLES, **text.ORACLES, **corpus.ORACLES}
