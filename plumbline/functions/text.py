@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.functions.once import once
 
 # The token grammar, and the prompt texts that models were trained with.
 TOKEN = r"(?is)<ref>\s*(.*?)\s*</ref>|<box>\s*<(\d+)>\s*<(\d+)>(?:\s*<(\d+)>\s*<(\d+)>)?\s*</box>"
@@ -100,7 +101,7 @@ def parse_points(answer: Column, width, height) -> Column:
         )
 
     found = F.transform(F.filter(labelled_tokens(answer), lambda t: t["label"] != ""), point)
-    return F.filter(found, lambda p, i: ~F.exists(F.slice(found, F.lit(1), i), lambda q: q["point_id"] == p["point_id"]))
+    return once(found, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda q: q["point_id"] == p["point_id"])))
 
 
 def parse_boxes(answer: Column, label: Column, width, height) -> Column:
@@ -118,8 +119,8 @@ def parse_boxes(answer: Column, label: Column, width, height) -> Column:
 
 def parse_single_box(answer: Column, label: Column, width, height) -> Column:
     """The answer's one box of the label, null without any; more than one is an error."""
-    found = parse_boxes(answer, label, width, height)
-    return F.when(F.size(found) > 1, F.raise_error(F.lit("an answer for one address has several boxes")).cast("struct<x1:double,y1:double,x2:double,y2:double>")).otherwise(F.get(found, 0))
+    several = F.raise_error(F.lit("an answer for one address has several boxes")).cast("struct<x1:double,y1:double,x2:double,y2:double>")
+    return once(parse_boxes(answer, label, width, height), lambda found: F.when(F.size(found) > 1, several).otherwise(F.get(found, 0)))
 
 
 def count_tokens(answer: Column) -> Column:
@@ -201,7 +202,7 @@ def supplied_points(points: Column, aliases: Column, space: Column, width, heigh
 
     found = F.transform(points, shaped)
     same = lambda p, q: (p["label"] == q["label"]) & (p["nx"] == q["nx"]) & (p["ny"] == q["ny"])
-    return F.filter(found, lambda p, i: ~F.exists(F.slice(found, F.lit(1), i), lambda q: same(p, q)))
+    return once(found, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda q: same(p, q))))
 
 
 def ground_truth(targets: Column, aliases: Column, space: Column, width, height) -> Column:

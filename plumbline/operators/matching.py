@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.functions.once import once
 from plumbline.functions.text import canonical_label
 
 _INTS = "cast(array() as array<int>)"
@@ -17,17 +18,22 @@ _INTS = "cast(array() as array<int>)"
 def suppress(boxes: Column, threshold: float) -> Column:
     """Class-wise non-maximum suppression: classes in order of appearance, within a class by falling score (ties in input
     order); a box goes if it overlaps a kept one of its class by ``threshold`` or more. Boxes: ``label, box, score``."""
-    named = F.transform(boxes, lambda b, i: F.struct(canonical_label(b["label"]).alias("c"), i.alias("i"), b.alias("b")))
-    rank = lambda x: F.array_position(F.array_distinct(F.transform(named, lambda y: y["c"])), x["c"])
-    order = F.array_sort(F.transform(named, lambda x: F.struct(rank(x).alias("r"), (-F.coalesce(x["b"]["score"], F.lit(1.0)).cast("double")).alias("s"), x["i"].alias("i"), x["c"].alias("c"))))
+    named = F.transform(boxes, lambda b, i: F.struct(canonical_label(b["label"]).alias("c"), i.alias("i"), (-F.coalesce(b["score"], F.lit(1.0)).cast("double")).alias("s")))
 
-    def step(kept: Column, x: Column) -> Column:
-        mine = F.get(boxes, x["i"])["box"]
-        hit = F.exists(kept, lambda k: (F.get(order, k)["c"] == x["c"]) & (g.iou(F.get(boxes, F.get(order, k)["i"])["box"], mine) >= threshold))
-        at = F.array_position(F.transform(order, lambda o: o["i"]), x["i"]).cast("int") - 1
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(at)))
+    def ranked(rows: Column) -> Column:
+        classes = F.array_distinct(F.transform(rows, lambda x: x["c"]))
+        return once(classes, lambda cs: F.array_sort(F.transform(rows, lambda x: F.struct(F.array_position(cs, x["c"]).alias("r"), x["s"].alias("s"), x["i"].alias("i")))))
 
-    return F.transform(F.aggregate(order, F.expr(_INTS), step), lambda k: F.get(boxes, F.get(order, k)["i"]))
+    def fold(order: Column) -> Column:
+        def step(kept: Column, x: Column) -> Column:
+            mine = F.get(boxes, x["i"])["box"]
+            hit = F.exists(kept, lambda k: (k["r"] == x["r"]) & (g.iou(F.get(boxes, k["i"])["box"], mine) >= threshold))
+            return F.when(hit, kept).otherwise(F.concat(kept, F.array(F.struct(x["r"].alias("r"), x["i"].alias("i")))))
+
+        start = F.expr("cast(array() as array<struct<r:bigint,i:int>>)")
+        return F.transform(F.aggregate(order, start, step), lambda k: F.get(boxes, k["i"]))
+
+    return once(once(named, ranked), fold)
 
 
 def _fold(items: Column, targets: Column, choose) -> Column:
@@ -35,14 +41,13 @@ def _fold(items: Column, targets: Column, choose) -> Column:
     start = F.struct(F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.expr(_INTS).alias("used"))
 
     def step(a: Column, item: Column) -> Column:
-        # `choose` may be costly: hold its answer in an array of one
         def with_choice(c: Column) -> Column:
             return F.struct(
                 (a["tp"] + F.when(c.isNotNull(), 1).otherwise(0)).alias("tp"), (a["fp"] + F.when(c.isNull(), 1).otherwise(0)).alias("fp"),
                 F.when(c.isNull(), a["used"]).otherwise(F.concat(a["used"], F.array(c))).alias("used"),
             )
 
-        return F.get(F.transform(F.array(choose(a["used"], item)), with_choice), 0)
+        return once(choose(a["used"], item), with_choice)
 
     return F.aggregate(items, start, step, lambda a: F.struct(a["tp"].alias("tp"), a["fp"].alias("fp"), (F.size(targets) - F.size(a["used"])).alias("fn")))
 

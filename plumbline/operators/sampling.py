@@ -46,20 +46,23 @@ def shuffled_order(key: Column, seed: int) -> Column:
 def water_fill(files: DataFrame, limit: int, size: str = "records", order: str = "path") -> DataFrame:
     """Add ``take``: a share of ``limit`` for each file, as equal as its records allow, earlier files first for the rest.
 
-    The level is where the sum of ``min(records, level)`` last fits; it follows from the sorted sizes by window sums."""
-    by_size = Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)
-    sized = files.filter(F.col(size) > 0).groupBy(size).agg(F.count("*").alias("_m"))  # a row per different size
-    smaller = sized.select(size, "_m", F.coalesce(F.sum(F.col(size) * F.col("_m")).over(by_size), F.lit(0)).alias("_sum"), F.coalesce(F.sum("_m").over(by_size), F.lit(0)).alias("_cnt"))
-    files_n = files.filter(F.col(size) > 0).agg(F.count("*").alias("_n"), F.coalesce(F.sum(size), F.lit(0)).alias("_total"))
-    goal = F.least(F.lit(limit).cast("long"), F.col("_total")) if limit > 0 else F.col("_total")
-    lev = smaller.join(F.broadcast(files_n)).select(F.when(F.col("_sum") + F.col(size) * (F.col("_n") - F.col("_cnt")) >= goal, F.floor((goal - F.col("_sum")) / (F.col("_n") - F.col("_cnt")))).alias("_level"))
-    level = lev.agg(F.min("_level").alias("_level"))
-    based = files.join(F.broadcast(level)).join(F.broadcast(files_n)).withColumn("_base", F.least(F.col(size), F.coalesce("_level", F.lit(0))))
-    more = F.when(F.col(size) > F.col("_base"), 1).otherwise(0)
-    left = goal - F.sum("_base").over(Window.partitionBy())
+    The level up to which all files are filled follows from how many files have each size."""
+    sizes = sorted((r[0], r[1]) for r in files.filter(F.col(size) > 0).groupBy(size).count().collect())  # a row per different file size
+    total, n_files = sum(v * m for v, m in sizes), sum(m for _, m in sizes)
+    goal = total if limit <= 0 else min(limit, total)
+    level, filled, left_files = 0, 0, n_files
+    for value, m in sizes:
+        if filled + (value - level) * left_files > goal:
+            break
+        filled += (value - level) * left_files
+        level, left_files = value, left_files - m
+    if left_files:
+        level += (goal - filled) // left_files
+        filled += (goal - filled) // left_files * left_files
+    more = F.when(F.col(size) > level, 1).otherwise(0)
     turn = F.sum(more).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    take = F.col("_base") + F.when((more == 1) & (turn <= left), 1).otherwise(0)
-    return based.withColumn("take", take.cast("long")).drop("_level", "_n", "_total", "_base")
+    take = F.least(F.col(size), F.lit(level)) + F.when((more == 1) & (turn <= goal - filled), 1).otherwise(0)
+    return files.withColumn("take", take.cast("long"))
 
 
 def bin_midpoints(count: Column, take: Column) -> Column:

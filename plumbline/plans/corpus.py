@@ -113,9 +113,9 @@ def loss_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weight of each task: its share of source queries by its share of all records; the mean weight is one."""
     s = _signature(spark, sf_dir)
     by = s.groupBy("lang").agg(F.sum("records").alias("flat"), F.sum(F.when(F.col("source").isin("src0", "src1", "src2"), F.col("records")).otherwise(0)).alias("queries"))
-    total = by.agg(F.sum("flat").alias("all_flat"), F.sum("queries").alias("all_queries"))  # one row
-    w = (F.col("queries") / F.col("all_queries")) / (F.col("flat") / F.col("all_flat"))
-    return by.join(F.broadcast(total)).select("lang", "flat", "queries", F.round(w, 9).alias("weight"))
+    whole = Window.partitionBy()  # a row per task
+    w = (F.col("queries") / F.sum("queries").over(whole)) / (F.col("flat") / F.sum("flat").over(whole))
+    return by.select("lang", "flat", "queries", F.round(w, 9).alias("weight"))
 
 
 WEIGHTS_SQL = f"""
@@ -174,8 +174,8 @@ r AS (
   UNION ALL SELECT doc_id, 4, row_number() OVER (ORDER BY n_chars DESC, doc_id) FROM d
   UNION ALL SELECT doc_id, 5, row_number() OVER (ORDER BY n_chars, doc_id) FROM d
   UNION ALL SELECT doc_id, 6, row_number() OVER (ORDER BY n_chars DESC, doc_id) FROM d WHERE lic),
-f AS (SELECT doc_id, min(depth * 10 + rk) AS at FROM r GROUP BY doc_id ORDER BY 2 LIMIT 24)
-SELECT row_number() OVER (ORDER BY at) - 1 AS slot, doc_id, lang, n_chars FROM f JOIN d USING (doc_id)"""
+f AS (SELECT doc_id, min(depth * 10 + rk) AS turn_ FROM r GROUP BY doc_id ORDER BY 2 LIMIT 24)
+SELECT row_number() OVER (ORDER BY turn_) - 1 AS slot, doc_id, lang, n_chars FROM f JOIN d USING (doc_id)"""
 
 
 def stratified_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,11 +262,11 @@ SINGLE_VALUED_SQL = "SELECT 'event_type' AS field, count(DISTINCT event_type) AS
 
 def contract_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("v"))
-    saved = r.filter("n_name not like 'A%'").select(F.col("n_name").alias("name"), F.when(F.col("n_name").like("C%"), "changed").otherwise(F.col("v")).alias("value"))
+    saved = r.filter("n_name not like '%1'").select(F.col("n_name").alias("name"), F.when(F.col("n_name").like("%2"), "changed").otherwise(F.col("v")).alias("value"))
     return integrity.contract_difference(r.select(F.col("n_name").alias("name"), F.col("v").alias("value")), saved)
 
 
-CONTRACT_SQL = "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS expected, CASE WHEN n_name LIKE 'C%' THEN 'changed' END AS saved FROM nation WHERE n_name LIKE 'A%' OR n_name LIKE 'C%'"
+CONTRACT_SQL = "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS expected, CASE WHEN n_name LIKE '%2' THEN 'changed' END AS saved FROM nation WHERE n_name LIKE '%1' OR n_name LIKE '%2'"
 
 
 def curve_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +305,7 @@ SELECT o_orderkey, round(CASE WHEN s < 500 THEN (s + 1) / 500.0::DOUBLE ELSE 0.1
 
 def token_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey")
-    ids = F.array(*[F.lit(x).cast("long") for x in (5, 90, 91, 91, 92)], F.col("o_orderkey"), F.lit(7).cast("long"))
+    ids = F.array(*[F.lit(x).cast("long") for x in (5, 90, 91, 91, 92)], F.col("o_orderkey") + 1000, F.lit(7).cast("long"))
     positions = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda x: x.cast("long"))
     out = o.select("o_orderkey", n.insert_image(ids, ids, positions, 91, 90, 92, 2).alias("s"))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
@@ -313,7 +313,7 @@ def token_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPLICE_SQL = """
-SELECT o_orderkey, concat('5 90 91 91 92 90 91 91 92 ', o_orderkey, ' 7') AS ids, concat('5 90 91 91 92 -100 -100 -100 -100 ', o_orderkey, ' 7') AS labels, '0 1 2 3 4 5 6 7 8 9 10' AS positions FROM orders"""
+SELECT o_orderkey, concat('5 90 91 91 92 90 91 91 92 ', o_orderkey + 1000, ' 7') AS ids, concat('5 90 91 91 92 -100 -100 -100 -100 ', o_orderkey + 1000, ' 7') AS labels, '0 1 2 3 4 5 6 7 8 9 10' AS positions FROM orders"""
 
 
 def soft_argmax_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
