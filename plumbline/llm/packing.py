@@ -129,24 +129,24 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[Placement], int]:
     return out, sequences
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece"), salt_rows: int = 2_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows that have a length. ``pieces`` is read twice, so it should be a table
     or the result of ``cut``.
 
     A piece's rank in its length comes from two small counts: pieces are numbered within (length, salt), where the salt
     is a hash of the piece, and the salts' totals are summed up. The number of salts grows with the rows, so no task
-    has to order more than about 2,000 pieces of even the most common length.
+    has to order more than about ``salt_rows`` pieces of even the most common length.
     """
     spark = pieces.sparkSession
     by_length = {r[0]: r[1] for r in pieces.groupBy(F.col(length_col).cast("long")).count().collect()}  # at most `capacity` rows
     placements, _ = plan(by_length, capacity)
-    salts = max(1, -(-max(by_length.values(), default=1) // 2_000))
+    salts = max(1, -(-max(by_length.values(), default=1) // salt_rows))
     rows = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order_cols), F.lit(salts)).cast("int"))
     if salts > 1:
         totals = rows.groupBy(F.col(length_col).cast("long").alias("l"), "_salt").count()
         w = F.sum("count").over(_before("l", "_salt"))
-        shifts = totals.select("l", "_salt", F.coalesce(w, F.lit(0)).alias("_shift"))
-        rows = rows.join(shifts, (rows[length_col] == shifts["l"]) & (rows["_salt"] == shifts["_salt"]), "left").select(*[rows[c] for c in rows.columns], shifts["_shift"])
+        shifts = totals.select(F.col("l").alias("_length"), F.col("_salt").alias("_salted"), F.coalesce(w, F.lit(0)).alias("_shift"))
+        rows = rows.join(shifts, (F.col(length_col) == F.col("_length")) & (F.col("_salt") == F.col("_salted")), "left").drop("_length", "_salted")
     else:
         rows = rows.withColumn("_shift", F.lit(0).cast("long"))
     rank = F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*order_cols)) - 1 + F.col("_shift")
