@@ -15,6 +15,9 @@ So a group of a million near copies costs a million comparisons with its leader,
 is counted over all texts; only the order of the most frequent shingles is broadcast, in a table of bounded size (any
 order that all sets share gives right results, so the bound costs nothing but time).
 
+A pair of candidates is first compared by parity sketches, whose difference bounds that of the sets from below, so that only
+pairs that are nearly alike need their sets.
+
 Sets are never stored for all texts: they are derived from the text again for those that have a candidate, which a Bloom
 filter of bounded size picks out.
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.bloom import BlockedBloom
 from plumbline.llm.common import cut, slices
 from plumbline.llm.components import components
-from plumbline.llm.shingles import set_identity, shingle_sets, signatures
+from plumbline.llm.shingles import least_difference, parity_sketch, set_identity, shingle_sets, signatures
 
 POST = np.dtype([("token", "<u8"), ("key", "<i8"), ("least", "<u4"), ("most", "<u4"), ("pos", "<u4")])
 #: Bounds of what is broadcast: shingles with a known rank, groups with a leader, shingles of all leaders.
@@ -48,9 +51,9 @@ def _u(x: int) -> np.uint64:
 
 
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """Kind 0: ``doc_id, n, hi, lo, s1, s2, s3`` of every text; kind 1: shingles that a run of texts has several times
+    """Kind 0: ``doc_id, n, hi, lo, s1, s2, s3, sketch`` of every text; kind 1: shingles that a run of texts has several times
     (``lo``, with its count ``n``)."""
-    fields = [("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64())]
+    fields = [("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()), ("sketch", pa.binary())]
 
     def batch(columns: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
@@ -59,13 +62,13 @@ def describe_sets(docs: DataFrame) -> DataFrame:
         values, n = np.unique(np.concatenate(held), return_counts=True)
         values, n = values[n >= 4].view(np.int64), n[n >= 4]
         none = pa.nulls(len(n), pa.int64())
-        return batch([np.ones(len(n), np.int8), none, n.astype(np.int64), none, values, none, none, none])
+        return batch([np.ones(len(n), np.int8), none, n.astype(np.int64), none, values, none, none, none, pa.nulls(len(n), pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"))
-            rows = [(len(s), *set_identity(s), *signatures(s)) if len(s) else (0, None, None, None, None, None) for s in sets]
+            rows = [(len(s), *set_identity(s), *signatures(s), parity_sketch(s)) if len(s) else (0, None, None, None, None, None, None) for s in sets]
             yield batch([np.zeros(len(sets), np.int8), part.column("doc_id"), *[list(c) for c in zip(*rows)]])
             held += sets
             size += sum(map(len, sets))
@@ -75,7 +78,7 @@ def describe_sets(docs: DataFrame) -> DataFrame:
         if size:
             yield counted(held)
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, n long, hi long, lo long, s1 long, s2 long, s3 long")
+    return docs.mapInArrow(run, "kind byte, doc_id long, n long, hi long, lo long, s1 long, s2 long, s3 long, sketch binary")
 
 
 class Order:
@@ -163,7 +166,7 @@ def jaccard_components(docs: DataFrame, share: tuple[int, int] = (80, 100), id_c
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     facts = cut(describe_sets(rows), "sets")
-    texts = facts.filter("kind = 0").select("doc_id", "n", "hi", "lo", "s1", "s2", "s3")
+    texts = facts.filter("kind = 0").select("doc_id", "n", "hi", "lo", "s1", "s2", "s3", "sketch")
     found = _set_links(spark, rows, facts, texts, share)
     # sets -> documents: the least id of each set stands for it
     sets = texts.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
@@ -211,15 +214,17 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
     posted = first.filter("kind = 0").select("bucket", "blob")
     pairs = cut(_candidates(posted, share, buckets), "candidates")
 
+    spread = cut(members.groupBy(F.col("l_lo").alias("lo")).agg(F.max("d").alias("d"), F.max("n").alias("n")), "spread")
+
     # Distances of the candidates, leader to leader; then of the members that these can't settle.
+    pairs = cut(_sketched(pairs, texts, spread, share), "likely")
     checked = cut(_distances(rows, pairs, share), "distances")
     linked = checked.filter("linked").select("a_hi", "a_lo", "b_hi", "b_lo")
     stars = members.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("l_hi").alias("b_hi"), F.col("l_lo").alias("b_lo"))
     result = linked.unionByName(stars)
     top, base = share
-    spread = members.groupBy("l_lo").agg(F.max("d").alias("d"), F.max("n").alias("n"))
-    far = checked.filter("not linked").join(spread.select(F.col("l_lo").alias("a_lo"), F.col("d").alias("da"), F.col("n").alias("ma")), "a_lo", "left")
-    far = far.join(spread.select(F.col("l_lo").alias("b_lo"), F.col("d").alias("db"), F.col("n").alias("mb")), "b_lo", "left").filter("da is not null or db is not null")
+    far = checked.filter("not linked").join(spread.select(F.col("lo").alias("a_lo"), F.col("d").alias("da"), F.col("n").alias("ma")), "a_lo", "left")
+    far = far.join(spread.select(F.col("lo").alias("b_lo"), F.col("d").alias("db"), F.col("n").alias("mb")), "b_lo", "left").filter("da is not null or db is not null")
     # two sets link only if their difference is at most (base - top) / (base + top) of their sizes' sum
     near = lambda d, n: (base + top) * d <= (base - top) * n
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -233,7 +238,8 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
         both = some.join(right, "b_lo", "left").select("a", F.coalesce("m", "b_lo").alias("b"), "d", "an", F.coalesce("mn", "nb").alias("bn"), "ad", zero("md").alias("bd"))
         both = both.filter(near(F.col("d") - F.col("ad") - F.col("bd"), F.col("an") + F.col("bn")) & (F.col("ad") + F.col("bd") > 0))
         more = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        result = result.unionByName(cut(_distances(rows, cut(more, "candidates"), share), "distances").filter("linked").select("a_hi", "a_lo", "b_hi", "b_lo"))
+        more = cut(_sketched(cut(more, "candidates"), texts, spread.limit(0), share), "likely")
+        result = result.unionByName(cut(_distances(rows, more, share), "distances").filter("linked").select("a_hi", "a_lo", "b_hi", "b_lo"))
     return result
 
 
@@ -324,6 +330,24 @@ def _candidates(posted: DataFrame, share: tuple[int, int], buckets: int) -> Data
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _sketched(pairs: DataFrame, texts: DataFrame, spread: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs ``a, b`` that their sketches don't rule out, with room for the members of both groups."""
+    top, base = share
+    own = texts.filter("n > 0").select("lo", "hi", "n", "sketch").dropDuplicates(["lo", "hi"]).join(spread.select("lo", F.col("d").alias("room"), F.col("n").alias("most")), "lo", "left")
+    own = own.select("lo", "sketch", F.coalesce("room", F.lit(0)).alias("room"), F.greatest("n", "most").alias("most"))
+    side = lambda x: own.select(F.col("lo").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("room").alias(f"{x}_room"), F.col("most").alias(f"{x}_most"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch", (F.col("a_room") + F.col("b_room")).alias("room"), (F.col("a_most") + F.col("b_most")).alias("most"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            least = [least_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(part.column("a_sketch"), part.column("b_sketch"))]
+            room, most = part.column("room").to_numpy(), part.column("most").to_numpy()
+            can = pa.array((base + top) * (np.array(least, np.int64) - room) <= (base - top) * most)
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(can), part.column("b").filter(can)], names=["a", "b"])
+
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
 def _sets_of(rows: DataFrame, bloom) -> DataFrame:
     """``hi, lo, n, shingles`` of the rows' texts; with ``bloom``, only of sets whose ``lo`` it may contain."""
 

@@ -107,3 +107,21 @@ def signatures(s: np.ndarray) -> list[int]:
     """Three numbers that two sets share the likelier, the more alike they are: each of two minima under other orders."""
     least = [(s * t).min() for t in _TURN]
     return [int((mix(np.array([least[2 * k] ^ (least[2 * k + 1] >> np.uint64(1))], np.uint64))[0]) >> np.uint64(1)) for k in range(3)]
+
+
+def parity_sketch(s: np.ndarray) -> bytes:
+    """A bit per residue of the shingles: whether an odd number falls there. There are 2 to 4 times as many bits as shingles,
+    a power of two, so that a sketch folds to any smaller one."""
+    bits = 1 << max(6, int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """The set difference of two sets is at least the number of bits in which their sketches differ."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
