@@ -29,8 +29,10 @@ def with_prefix_counts(docs: DataFrame, vocab_path: str, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(vocab_path)
-        for batch in slices(batches, "text"):
-            counts = [bpe.prefix_counts(t).tobytes() for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text", 4 << 20):
+            texts = batch.column("text").to_pylist()
+            bpe.prime(texts)
+            counts = [bpe.prefix_counts(t).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.binary())], names=[*batch.schema.names[:-1], "counts"])
 
     found = rows.mapInArrow(run, schema)

@@ -15,7 +15,8 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -47,33 +48,48 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Ids and prefix counts for one vocabulary file; made once in each Python worker."""
 
-    def __init__(self, path: str, cache: int = 90_000):
+    def __init__(self, path: str, cache: int = 150_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.path = path
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(pair if isinstance(pair, list) else pair.split(" ")): k for k, pair in enumerate(model["merges"])}
-        ends = [t for t in self.vocab if t.endswith(END)]
-        self.ending = {t[: -len(END)] for t in ends}
-        self.inner = {t for t in self.vocab if not t.endswith(END)}
-        self.halves: dict[str, tuple[str, str]] = {}
-        for pair in self.ranks:
-            self.halves.setdefault("".join(pair), pair)
-        self.left_ends: dict = {}
-        self.right_ends: dict = {}
-        self.longest = max(max(map(len, self.ending), default=1), max(map(len, self.inner), default=1))
         self.symbols = byte_symbols()
         self.tokens_of = Recent(self._piece_ids, cache)
         self.ids = Recent(self._chunk_ids, cache)
         self.prefix = Recent(self._unit_counts, cache)
         self.table = Recent(self._piece_counts, cache)
-        self.states = Recent(self._state, cache)
         self.apart = Recent(self._stay_apart, cache)
+        self.right_ends: dict = {}
+        self.left_ends: dict = {}
+
+    @cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        return {tuple(pair if isinstance(pair, list) else pair.split(" ")): k for k, pair in enumerate(self._model["merges"])}
+
+    @cached_property
+    def _model(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)["model"]
+
+    @cached_property
+    def halves(self) -> dict[str, tuple[str, str]]:
+        """The pair that each merged token is made of."""
+        out: dict[str, tuple[str, str]] = {}
+        for pair in self.ranks:
+            out.setdefault("".join(pair), pair)
+        return out
+
+    @cached_property
+    def places(self) -> dict[str, int]:
+        """For each run of symbols that is a token: 1 inside a word, 2 at its end, 3 both."""
+        out: dict[str, int] = {}
+        for token in self._model["vocab"]:
+            symbols, bit = (token[: -len(END)], 2) if token.endswith(END) else (token, 1)
+            out[symbols] = out.get(symbols, 0) | bit
+        return out
 
     # ids -------------------------------------------------------------------------------------------------------
 
@@ -134,40 +150,72 @@ class WordBpe:
             else:
                 j += 1
 
-    def _step(self, s: str, i: int, state) -> tuple[str, int, int]:
-        """Last token and count of ``s[:i]`` inside a word, and its count where the word ends there."""
-        inner, ending, apart = self.inner, self.ending, self.apart
-        last, count, done = "", 0, 0
-        for k in range(max(0, i - self.longest), i):
-            token = s[k:i]
-            in_word, at_end = not last and token in inner, not done and token in ending
-            if in_word or at_end:
-                before, n, _ = state(k)
-                if in_word and apart[(before, token, False)]:
-                    last, count = token, n + 1
-                if at_end and apart[(before, token, True)]:
-                    done = n + 1
-                if last and done:
+    @cached_property
+    def tails(self) -> set[str]:
+        """All ends of tokens: a run that isn't one has no longer token behind it."""
+        return {t[k:] for t in self.places for k in range(len(t))}
+
+    def _sorted_counts(self, pieces: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """The tables of pieces (as symbols, in order): what a piece shares with the one before isn't computed again."""
+        places, apart, tails = self.places, self.apart, self.tails
+        last, count, done = [""], [0], [0]  # of each prefix: its last token inside a word, its tokens, its tokens as a whole word
+        before = ""
+        for s in pieces:
+            same = 0
+            for x, y in zip(s, before):
+                if x != y:
                     break
-        return last, count, done
-
-    def _state(self, prefix: str) -> tuple[str, int, int]:
-        return self._step(prefix, len(prefix), lambda k: self.states[prefix[:k]] if k else ("", 0, 0))
+                same += 1
+            del last[same + 1 :], count[same + 1 :], done[same + 1 :]
+            for i in range(same + 1, len(s) + 1):
+                runs = []
+                for k in range(i - 1, -1, -1):
+                    run = s[k:i]
+                    if run not in tails:
+                        break
+                    runs.append(run)
+                token, inside, whole, open_ = "", 0, 0, 3
+                for n in range(len(runs), 0, -1):
+                    run = runs[n - 1]
+                    fits = places.get(run, 0) & open_
+                    if fits:
+                        left = last[i - n]
+                        if fits & 1 and apart[left, run, False]:
+                            token, inside, open_ = run, count[i - n] + 1, open_ ^ 1
+                        if fits & 2 and apart[left, run, True]:
+                            whole, open_ = count[i - n] + 1, open_ ^ 2
+                        if not open_:
+                            break
+                last.append(token)
+                count.append(inside)
+                done.append(whole)
+            before = s
+            yield s, done[1:]
 
     def _piece_counts(self, piece: str) -> list[int]:
         """For each character of a pre-token, the tokens of the pre-token cut after it."""
-        s = self._mapped(piece)
-        if len(s) <= 24:  # short ones share the states of their prefixes
-            done = [self.states[s[:i]][2] for i in range(1, len(s) + 1)]
-        else:
-            row = [("", 0, 0)]
-            for i in range(1, len(s) + 1):
-                row.append(self._step(s, i, row.__getitem__))
-            done = [x[2] for x in row[1:]]
-        if len(piece) == len(s):
+        return self._by_character(piece, next(self._sorted_counts([self._mapped(piece)]))[1])
+
+    @staticmethod
+    def _by_character(piece: str, done: list[int]) -> list[int]:
+        if piece.isascii():
             return done
         return [done[i - 1] for i in np.cumsum([len(c.encode()) for c in piece])]
 
+    def prime(self, texts: list[str]) -> None:
+        """Fill the tables for new units of many texts at once, their pieces in order."""
+        units: set[str] = set()
+        for text in texts:
+            units.update((UNITS if any(c in text for c in SEPARATORS) else FAST_UNITS).findall(text))
+        new = {}
+        for unit in units:
+            if unit not in self.prefix and unit not in self.prefix.old:
+                for piece in PLAIN_PIECES.findall(unit.rstrip(WHITE).lower()):
+                    if piece not in self.table:
+                        new[self._mapped(piece)] = piece
+        for symbols, done in self._sorted_counts(sorted(x for x in new if len(x) < 200)):
+            self.table[new[symbols]] = self._by_character(new[symbols], done)
+
     def _unit_counts(self, unit: str) -> bytes:
         """For each character of a chunk and the white space after it, the tokens of the unit cut after it."""
         chunk = unit.rstrip(WHITE)
