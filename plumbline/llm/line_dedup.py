@@ -32,13 +32,13 @@ from plumbline.llm.quality_rules import let, words
 LEAST_WORDS = 5
 GROUP = 8
 RARITY_BUCKETS = 1 << 14
-BLOOM_WORDS = 1 << 14
+BLOOM_WORDS = 1 << 16
 TOP, BASE = 4, 5  # the least similarity, 4 / 5
 
 
 def line_tokens(line: Column) -> Column:
     """The hashes of a line's different words, in ascending order."""
-    return F.array_sort(F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w))))
 
 
 def _constants(values: list[int]) -> Column:
@@ -47,8 +47,8 @@ def _constants(values: list[int]) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """For each bucket of token hashes, how often documents have a token of it (in steps of a twelfth of a doubling)."""
-    tokens = docs.select(F.explode(F.array_distinct(words(F.lower(F.col(text_col))))).alias("w"))
+    """For each bucket of token hashes, how often the documents have tokens of it (in steps of a twelfth of a doubling)."""
+    tokens = docs.select(F.explode(words(F.lower(F.col(text_col)))).alias("w"))
     counts = tokens.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).cast("int").alias("b")).count()
     out = [0] * RARITY_BUCKETS
     for b, n in counts.collect():  # at most RARITY_BUCKETS rows
@@ -57,10 +57,12 @@ def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
 
 
 def prefix(tokens: Column, levels: Column) -> Column:
-    """The rarest tokens of a sorted set, as many as the prefix filter needs, with their order kept."""
-    by = F.array_sort(F.transform(tokens, lambda h: F.struct(F.get(levels, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).alias("level"), h.alias("h"))))
+    """The rarest tokens of a set, as many as the prefix filter needs: numbers with the rarity in the upper 12 bits and the
+    hash below, so that their order is the common order of tokens. (Hashes cut to 52 bits may add candidates, never lose one.)"""
+    low = F.lit((1 << 52) - 1).cast("long")
+    by = F.sort_array(F.transform(tokens, lambda h: F.get(levels, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")) * F.lit(1 << 52).cast("long") + h.bitwiseAND(low)))
     n = F.size(tokens)
-    return F.transform(F.slice(by, 1, n - F.ceil(n * TOP / BASE).cast("int") + 1), lambda x: x["h"])
+    return F.slice(by, 1, n - F.ceil(n * TOP / BASE).cast("int") + 1)
 
 
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,9 +122,10 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     to_lead = cut(to_lead.select(F.col("k1").alias("a"), "b").distinct(), "line-leaders")
     settled = cut(_verified(docs, to_lead, sets, id_col, text_col), "settled-lines")
 
+    marked = sets.select("k1", "k2", "n", "prefix").join(settled.withColumn("done", F.lit(True)), ["k1", "k2"], "left")
+    marked = cut(marked.select("k1", "n", "prefix", F.coalesce("done", F.lit(False)).alias("done")), "line-marks")
     post = lambda s: s.select("k1", "n", F.posexplode("prefix").alias("p", "token"))
-    open_ = post(sets.join(settled, ["k1", "k2"], "left_anti")).repartition("token")
-    done = post(sets.join(settled, ["k1", "k2"], "left_semi"))
+    open_, done = post(marked.filter("not done")), post(marked.filter("done"))
     pairs = _joined(open_, open_, True).unionByName(_joined(open_, done, False))
     pairs = cut(pairs.distinct(), "line-pairs")
     near = settled.unionByName(_verified(docs, pairs, sets, id_col, text_col)).distinct().withColumn("near", F.lit(True))
