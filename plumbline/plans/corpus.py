@@ -9,6 +9,9 @@ from plumbline.functions import numbers as n
 from plumbline.functions import text as t
 from plumbline.operators import integrity, metrics, packing, sampling
 from plumbline.plans.views import table
+from plumbline.sources import sinks
+from plumbline.sources.workspace import fresh_path
+from plumbline.streaming import resume
 
 
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,13 +384,50 @@ def inventory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 INVENTORY_SQL = "SELECT split, count(*) AS files, sum(bytes)::BIGINT AS bytes, round(sum(bytes) / 1073741824, 9) AS gib FROM (SELECT DISTINCT source AS split, text, octet_length(encode(text)) AS bytes FROM documents) GROUP BY split"
 
 
+def paired_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the same samples: which fields differ."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    other = e.withColumns({"event_type": F.when(F.col("event_id") % 17 == 0, F.lit(None)).otherwise(F.col("event_type")), "user_id": F.col("user_id") + F.when(F.col("event_id") % 34 == 0, 1).otherwise(0)})
+    out = integrity.changed_fields(e, other, ["event_id"], ["event_type", "user_id"])
+    return out.select("event_id", F.array_join("changed", ",").alias("changed"))
+
+
+ARMS_SQL = "SELECT event_id, CASE WHEN event_id % 34 = 0 THEN 'event_type,user_id' ELSE 'event_type' END AS changed FROM events WHERE event_id % 17 = 0"
+
+
+def recipe_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of a view in reading order (task, route, path) with their numbers."""
+    s = _signature(spark, sf_dir).select(F.col("lang").alias("task"), F.when(F.col("source").like("%1"), "round1").otherwise("round2").alias("route"), "path", "records")
+    ordered = sinks.recipe(s, ["fr", "de", "en", "es"], ["round1", "round2"])
+    w = Window.orderBy(F.array_position(F.array(*[F.lit(x) for x in ("fr", "de", "en", "es")]), F.col("task")), "route", "path")
+    return ordered.withColumn("slot", F.row_number().over(w).cast("long"))
+
+
+RECIPE_SQL = f"""
+WITH {_SIG_SQL}, s AS (SELECT lang AS task, CASE WHEN source LIKE '%1' THEN 'round1' ELSE 'round2' END AS route, path, records FROM sig)
+SELECT *, row_number() OVER (ORDER BY list_position(['fr', 'de', 'en', 'es'], task), route, path) AS slot FROM s"""
+
+
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed twice (the second time as after a lost checkpoint): every key is stored once."""
+    path, store = f"{sf_dir}/events.parquet", fresh_path(spark, "stream-store")
+    # as a pattern: a stream takes a plain path for a folder
+    source = lambda: spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace("events.", "event[s].")).select("event_id", "event_type")
+    for attempt in range(2):
+        resume.process_stream(spark, source(), lambda rows: rows.withColumn("n", F.length("event_type")), store, "event_id", fresh_path(spark, f"stream-{attempt}"))
+    return spark.read.parquet(store).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"))
+
+
+STREAM_SQL = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys FROM events GROUP BY event_type"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         content_dedup, holdout_overlap_exact, holdout_overlap_contained, split_leakage, duplicate_keys, resume_anti_join, merge_coverage, ledger_check, multiset_difference, manifest_counters,
         loss_weights, weight_range_lookup, pad_and_steps, stress_argmax, hard_smoke_selection, stratified_monitor, round_robin_shards, rank_schedule, next_fit_shards, archive_plan,
         selection_digest, single_valued_contract, contract_difference, curve_truncate, keep_latest, sample_seed, lr_schedule, token_splice, soft_argmax_top5, merge_summary, padded_rows,
-        global_index, path_scopes, inventory_totals,
+        global_index, path_scopes, inventory_totals, paired_arms, recipe_order, stream_resume,
     )
 }
 ORACLES = {
@@ -425,4 +465,7 @@ ORACLES = {
     "global_index": INDEX_SQL,
     "path_scopes": SCOPES_SQL,
     "inventory_totals": INVENTORY_SQL,
+    "paired_arms": ARMS_SQL,
+    "recipe_order": RECIPE_SQL,
+    "stream_resume": STREAM_SQL,
 }
