@@ -19,10 +19,12 @@ nothing.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,10 @@ PLAIN, TITLE, NUM, UNIT = 0, 1, 2, 3
 TOKEN = np.dtype([("h", "<u8"), ("kind", "u1"), ("stop", "u1"), ("pad", "V6")])
 
 
-def _hash(word: str) -> int:
-    import xxhash
+_ROW = struct.Struct("<QBB6x")
+
 
+def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
@@ -72,14 +75,17 @@ def chunk_tokens(chunk: str) -> list[tuple[str, int]]:
     return [(re.sub(r"[^\w]+", "", low) or low, TITLE if title else PLAIN)]
 
 
+_STRIP = ".,;:!?()[]{}\"'*#&|<>/\\=~`^@$%"
+_CLOSING = "\"')]}»”"
+
+
 def _packed(chunk: str) -> bytes:
+    stop = chunk.rstrip(_CLOSING)[-1:] in (".", "!", "?", ":")
+    core = chunk.strip(_STRIP)
+    if core.isalpha() and (low := core.lower()) not in UNITS:  # the same as below, without the patterns
+        return _ROW.pack(_hash(low), TITLE if len(core) > 1 and core[0].isupper() and core[1:].islower() else PLAIN, stop)
     rows = chunk_tokens(chunk)
-    out = np.zeros(len(rows), TOKEN)
-    for k, (word, kind) in enumerate(rows):
-        out[k]["h"], out[k]["kind"] = _hash(word), kind
-    if len(rows):
-        out[-1]["stop"] = chunk.rstrip("\"')]}»”")[-1:] in (".", "!", "?", ":")
-    return out.tobytes()
+    return b"".join([_ROW.pack(_hash(word), kind, stop and k == len(rows) - 1) for k, (word, kind) in enumerate(rows)])
 
 
 class Canon:
@@ -97,16 +103,14 @@ class Canon:
         begins[0] = True
         begins[1:] = t["stop"][:-1] > 0
         plain = raw
-        if kind.any():
-            number = kind == NUM
+        number = kind == NUM
+        if number.any():
             unit = kind == UNIT
             unit[0] = False
             unit[1:] &= number[:-1]
             plain = np.where(number, np.uint64(HASH["<num>"]), np.where(unit, np.uint64(HASH["<unit>"]), raw))
-            named = np.where((kind == TITLE) & ~begins, np.uint64(HASH["<name>"]), plain)
-        else:
-            named = plain
-        return raw, named, plain
+        name = (kind == TITLE) & ~begins
+        return raw, np.where(name, np.uint64(HASH["<name>"]), plain) if name.any() else plain, plain
 
 
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -136,7 +140,7 @@ class Items:
                 continue
             n = min(WINDOW, len(raw))
             k = len(self.ids)
-            for form in (named, plain) if (named != plain).any() else (plain,):
+            for form in (named, plain) if named is not plain else (plain,):
                 w = windows(form, n)
                 # windows of placeholders alone say nothing
                 words = np.convolve(~np.isin(form, slots), np.ones(n, int), "valid")
