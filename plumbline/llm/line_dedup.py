@@ -5,7 +5,7 @@ removed if an *earlier* line (by document id, then place), removed or not, has a
 
 1. Equal sets: one aggregation by a 128-bit hash of the set gives the first line of each; later ones match it.
 2. Tokens are ordered by rarity (their hash bucket's count over all documents, a table of fixed size) and by hash. Two sets that match
-   share a token among the first ``n - ceil(0.8 n) + 1`` of each (prefix filter).
+   share two tokens among the first ``n - ceil(0.8 n) + 2`` of each (prefix filter).
 3. Lines that very many others resemble: those that share a signature with at least ``GROUP`` others are compared with the first
    of the group. A match settles them, so a family of a million variants isn't joined with itself.
 4. The others are joined by prefix tokens, with each other and with the settled ones, under the length filter and the positional
@@ -30,8 +30,9 @@ from plumbline.llm.common import cut
 from plumbline.llm.quality_rules import let, words
 
 LEAST_WORDS = 5
+COMMON = 2  # prefixes are so long that sets that match share at least this many tokens of them
 GROUP = 8
-RARITY_BUCKETS = 1 << 14
+RARITY_BUCKETS = 1 << 16
 BLOOM_WORDS = 1 << 16
 TOP, BASE = 4, 5  # the least similarity, 4 / 5
 
@@ -62,7 +63,7 @@ def prefix(tokens: Column, levels: Column) -> Column:
     low = F.lit((1 << 52) - 1).cast("long")
     by = F.sort_array(F.transform(tokens, lambda h: F.get(levels, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")) * F.lit(1 << 52).cast("long") + h.bitwiseAND(low)))
     n = F.size(tokens)
-    return F.slice(by, 1, n - F.ceil(n * TOP / BASE).cast("int") + 1)
+    return F.slice(by, 1, n - F.ceil(n * TOP / BASE).cast("int") + COMMON)
 
 
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +128,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     post = lambda s: s.select("k1", "n", F.posexplode("prefix").alias("p", "token"))
     open_, done = post(marked.filter("not done")), post(marked.filter("done"))
     pairs = _joined(open_, open_, True).unionByName(_joined(open_, done, False))
-    pairs = cut(pairs.distinct(), "line-pairs")
+    pairs = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).select("a", "b"), "line-pairs")
     near = settled.unionByName(_verified(docs, pairs, sets, id_col, text_col)).distinct().withColumn("near", F.lit(True))
 
     known = sets.select("k1", "k2", "first").join(near, ["k1", "k2"], "left")
@@ -140,7 +141,8 @@ def _joined(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
     a = left.select(F.col("token"), F.col("k1").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"))
     b = right.select(F.col("token"), F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"))
     room = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
-    fits = ((BASE + TOP) * room >= TOP * (F.col("an") + F.col("bn"))) & (BASE * F.col("an") >= TOP * F.col("bn")) & (BASE * F.col("bn") >= TOP * F.col("an"))
+    # what stands from here on, with the tokens that may have been found before, must reach the overlap that is needed
+    fits = ((BASE + TOP) * (room + COMMON - 1) >= TOP * (F.col("an") + F.col("bn"))) & (BASE * F.col("an") >= TOP * F.col("bn")) & (BASE * F.col("bn") >= TOP * F.col("an"))
     order = F.col("a") < F.col("b") if same else F.col("a") != F.col("b")
     return a.join(b, (a["token"] == b["token"]) & fits & order).select("a", "b")
 
