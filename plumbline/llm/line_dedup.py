@@ -1,6 +1,6 @@
 """Line dedup as an exact set-similarity join, in DataFrame operations and column functions only.
 
-A line is the set of its lower-cased words; lines with fewer than ``LEAST_WORDS`` different words are left alone. A line is
+A line is the set of its lower-cased words; lines without words (fewer than ``LEAST_WORDS``) are left alone. A line is
 removed if an *earlier* line (by document id, then place), removed or not, has a Jaccard similarity of 0.8 or more with it.
 
 1. Equal sets: one aggregation by a 128-bit hash of the set gives the first line of each; later ones match it.
@@ -8,7 +8,7 @@ removed if an *earlier* line (by document id, then place), removed or not, has a
    share two tokens among the first ``n - ceil(0.8 n) + 2`` of each (prefix filter).
 3. Lines that very many others resemble: those that share a signature with at least ``GROUP`` others are compared with the first
    of the group. A match settles them, so a family of a million variants isn't joined with itself.
-4. The others are joined by prefix tokens, with each other and with the settled ones, under the length filter and the positional
+4. The others of at least ``NEAR_WORDS`` words (smaller sets match equal ones only) are joined by prefix tokens, with each other and with the settled ones, under the length filter and the positional
    filter; the surviving pairs' lines are fetched and verified word by word.
 
 Steps 3 and 4 change how matches are found, not which: every line with an earlier match is removed, no other.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut
 from plumbline.llm.quality_rules import let, words
 
-LEAST_WORDS = 5
+LEAST_WORDS = 1
+NEAR_WORDS = 4  # 4 words and 5 that contain them are alike by exactly 4 / 5; sets of 3 and fewer match equal sets only
 COMMON = 2  # prefixes are so long that sets that match share at least this many tokens of them
 GROUP = 8
 RARITY_BUCKETS = 1 << 16
@@ -109,7 +110,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     levels = _constants(rarity(docs, text_col))
     tokened = numbered_lines(docs, id_col, text_col).select(F.struct("id", "t", "line_no").alias("at"), line_tokens(F.col("line")).alias("h")).filter(F.size("h") >= LEAST_WORDS)
     lines = tokened.select(
-        "at", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit("second"), F.col("h")).alias("k2"), F.size("h").alias("n"), prefix(F.col("h"), levels).alias("prefix"),
+        "at", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit("second"), F.col("h")).alias("k2"), F.size("h").alias("n"), F.when(F.size("h") >= NEAR_WORDS, prefix(F.col("h"), levels)).alias("prefix"),
         F.xxhash64(F.slice("h", 1, 3)).alias("s1"), F.xxhash64(F.slice("h", -3, 3)).alias("s2"),
     )
     lines = cut(lines, "lines")
@@ -117,13 +118,14 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("at", "n", "prefix", "s1", "s2")).alias("m"))
     sets = cut(sets.select("k1", "k2", F.col("m.at").alias("first"), "m.n", "m.prefix", "m.s1", "m.s2"), "line-sets")
 
-    signed = sets.select("k1", "first", F.explode(F.array("s1", "s2")).alias("s"))
+    nearby = sets.filter(F.col("n") >= NEAR_WORDS)
+    signed = nearby.select("k1", "first", F.explode(F.array("s1", "s2")).alias("s"))
     groups = signed.groupBy("s").agg(F.min(F.struct("first", "k1")).alias("lead"), F.count("*").alias("members")).filter(F.col("members") > GROUP)
     to_lead = signed.join(groups.select("s", F.col("lead.k1").alias("b")), "s").filter(F.col("k1") != F.col("b"))
     to_lead = cut(to_lead.select(F.col("k1").alias("a"), "b").distinct(), "line-leaders")
     settled = cut(_verified(docs, to_lead, sets, id_col, text_col), "settled-lines")
 
-    marked = sets.select("k1", "k2", "n", "prefix").join(settled.withColumn("done", F.lit(True)), ["k1", "k2"], "left")
+    marked = nearby.select("k1", "k2", "n", "prefix").join(settled.withColumn("done", F.lit(True)), ["k1", "k2"], "left")
     marked = cut(marked.select("k1", "n", "prefix", F.coalesce("done", F.lit(False)).alias("done")), "line-marks")
     post = lambda s: s.select("k1", "n", F.posexplode("prefix").alias("p", "token"))
     open_, done = post(marked.filter("not done")), post(marked.filter("done"))

@@ -156,3 +156,13 @@ def test_lines_edge_cases(spark):
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
     assert {r["n"]: r["text"] for r in out} == {1: "a b c d e f", 2: "a b c d e f", 3: "", 4: "q r s t u v", 5: "z"}
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines(spark):
+    # equal sets of any size match; 4 words and the 5 that contain them are alike by exactly 0.8, 3 and 4 by less
+    rows = [
+        (1, "Read more\nAll rights reserved.\nstop\n\na b c d"), (2, "read MORE\nsome rights reserved.\nstop stop\n\nd c b a e"), (3, "more read\nrights all reserved.\nx y z\n \nx y z w"),
+        (4, "k l m n o\nk l m n\nk l m\nk k k k k k l"), (5, "l k\nm l k\nn m k p"),
+    ]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {1: rows[0][1], 2: "some rights reserved.\n", 3: "x y z\n \nx y z w", 4: "k l m n o\nk l m\nk k k k k k l", 5: "n m k p"}
