@@ -3,7 +3,9 @@
 Items and documents are cut into canonical tokens: numbers are ``<num>``, units after a number ``<unit>``, capitalised words
 inside a sentence ``<name>``; other words are lower-cased and lose their punctuation. Windows of ``WINDOW`` tokens of the items go
 into a hash table; each document's windows are looked up there, once with names replaced and once with names as they stand,
-so that a verbatim copy is found whatever its sentence breaks. For each item that a document hits, the windows that lie on
+so that a verbatim copy is found whatever its sentence breaks. Windows that are mostly placeholders are no reason to look at an
+item, so of these the table has the raw tokens only (numbers as they stand); but once an item is hit, all its windows near
+the hits are scored, in each form. For each item that a document hits, the windows that lie on
 one alignment are checked for slot consistency: an item's value must stand for one value of the document everywhere. An
 item is found if the consistent windows cover ``COVERAGE`` of it, or a run of ``RUN`` words.
 
@@ -126,6 +128,14 @@ def windows(tokens: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
+def _hits(hashes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a place in ``w`` and one in the sorted ``hashes`` with equal values."""
+    a, b = np.searchsorted(hashes, w, "left"), np.searchsorted(hashes, w, "right")
+    hit = np.flatnonzero(b > a)
+    many = (b - a)[hit]
+    return np.repeat(hit, many), np.repeat(a[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
 class Items:
     """The hash table of some items' windows: sorted hashes, and for each the item and the place in it."""
 
@@ -133,62 +143,91 @@ class Items:
         canon = Canon(20_000)
         slots = np.array(list(HASH.values()), np.uint64)
         self.ids, self.raw, self.named, self.plain, self.count, self.length = [], [], [], [], [], []
-        hashes, item, place = [], [], []
+        hashes, item, place, exact = [], [], [], ([], [], [])
+        self.rest: list[tuple[np.ndarray, np.ndarray]] = []
         for item_id, text in rows:
             raw, named, plain = canon(text or "")
             if len(raw) < LEAST:
                 continue
             n = min(WINDOW, len(raw))
             k = len(self.ids)
+            rest = []
             for form in (named, plain) if named is not plain else (plain,):
                 w = windows(form, n)
                 # windows of placeholders alone say nothing
                 words = np.convolve(~np.isin(form, slots), np.ones(n, int), "valid")
                 at = np.flatnonzero(2 * words >= n)
                 hashes.append(w[at]), item.append(np.full(len(at), k)), place.append(at)
+                dense = np.flatnonzero(2 * words < n)
+                rest.append((w[dense], dense))
+            # after the loop, dense has the places whose window isn't in the table with its names as they stand
+            for x, y in zip(exact, (windows(raw, n)[dense], np.full(len(dense), k), dense)):
+                x.append(y)
+            w, at = (np.concatenate(x) for x in zip(*rest))
+            order = np.argsort(w, kind="stable")
+            self.rest.append((w[order], at[order]))
             self.ids.append(item_id), self.raw.append(raw), self.named.append(named), self.plain.append(plain)
             self.count.append(len(raw) - n + 1), self.length.append(n)
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
+        self.table, self.exact = self._sorted(hashes, item, place), self._sorted(*exact)
         self.sizes = sorted(set(self.length))
 
+    @staticmethod
+    def _sorted(hashes: list[np.ndarray], item: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not hashes:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        return h[order], np.concatenate(item)[order], np.concatenate(place)[order]
+
     def find(self, raw: np.ndarray, named: np.ndarray, plain: np.ndarray) -> list[tuple[int, float, int, int, bool]]:
         """Items in a document's tokens: id, share of its windows, first and last token there, and whether values differ."""
         pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        forms = {n: [windows(form, n) for form in ((plain,) if named is plain else (plain, named))] for n in self.sizes}
         for n in self.sizes:
-            for form in (plain,) if named is plain else (plain, named):
-                w = windows(form, n)
-                a, b = np.searchsorted(self.hashes, w, "left"), np.searchsorted(self.hashes, w, "right")
-                hit = np.flatnonzero(b > a)
+            for (hashes, items, places), w in [*((self.table, w) for w in forms[n]), *((self.exact, windows(raw, n)) for _ in self.exact[0][:1])]:
+                hit, k = _hits(hashes, w)
                 if len(hit):
-                    many = (b - a)[hit]
-                    k = np.repeat(a[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    pairs.append((np.repeat(hit, many), self.item[k], self.place[k]))
+                    pairs.append((hit, items[k], places[k]))
         if not pairs:
             return []
         doc, item, place = (np.concatenate(x) for x in zip(*pairs))
         out = []
         for i in np.unique(item):
             mine = item == i
-            found = self._judge(int(i), doc[mine], place[mine], raw, plain)
+            found = self._judge(int(i), doc[mine], place[mine], raw, plain, forms[self.length[i]])
             if found:
                 out.append(found)
         return out
 
-    def _judge(self, i: int, doc: np.ndarray, place: np.ndarray, raw: np.ndarray, plain: np.ndarray):
+    def _more(self, i: int, doc: np.ndarray, place: np.ndarray, forms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Further pairs of an item's mostly placeholder windows, beside the places where others of its windows are."""
+        hashes, places = self.rest[i]
+        if not len(hashes):
+            return doc[:0], place[:0]
+        a, b = max(0, int(doc.min()) - self.count[i] - DRIFT), int(doc.max()) + self.count[i] + DRIFT
+        found = [_hits(hashes, w[a:b]) for w in forms]
+        d, p = np.concatenate([x for x, _ in found]) + a, places[np.concatenate([k for _, k in found])]
+        shifts = np.unique(doc - place)
+        k = np.searchsorted(shifts, d - p)
+        off = np.minimum(np.abs(d - p - shifts[np.maximum(k - 1, 0)]), np.abs(d - p - shifts[np.minimum(k, len(shifts) - 1)]))
+        order = np.lexsort((p, off))
+        order = order[off[order] <= DRIFT]
+        return d[order], p[order]
+
+    def _judge(self, i: int, doc: np.ndarray, place: np.ndarray, raw: np.ndarray, plain: np.ndarray, forms: list[np.ndarray]):
         n, mine, best = self.length[i], self.raw[i], None
         shift = doc - place
         order = np.argsort(shift, kind="stable")
         groups = np.split(order, np.flatnonzero(np.diff(shift[order]) > DRIFT) + 1)
+        more, more_place = self._more(i, doc, place, forms)
         for g in groups:
+            g = g[np.argsort(place[g], kind="stable")]
+            off = more - more_place
+            near = (off >= shift[g].min() - DRIFT) & (off <= shift[g].max() + DRIFT)
             seen: dict[int, int] = {}
             values: dict[int, int] = {}
             back: dict[int, int] = {}
-            for k in g[np.argsort(place[g], kind="stable")].tolist():
-                p, d = int(place[k]), int(doc[k])
+            for p, d in [*zip(place[g].tolist(), doc[g].tolist()), *zip(more_place[near].tolist(), more[near].tolist())]:
                 if p in seen:
                     continue
                 ok, new = True, []
@@ -243,7 +282,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 texts, old = batch.column("text").to_pylist(), batch.column("matches").to_pylist()
                 fresh = []
                 for text, before in zip(texts, old):
-                    now = table.find(*canon(text)) if len(table.hashes) else []
+                    now = table.find(*canon(text)) if len(table.ids) else []
                     fresh.append(before + [dict(zip(("item_id", "coverage", "first_word", "last_word", "other_values"), r)) for r in now])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fresh, _KIND)], names=batch.schema.names)
 

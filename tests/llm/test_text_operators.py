@@ -67,6 +67,18 @@ def test_templates():
     assert decontaminate.chunk_tokens("(5km),") == [("5", decontaminate.NUM), ("km", decontaminate.UNIT)]
 
 
+def test_number_dense_items():
+    texts = ["A car travels 60 km in 2 hours, then 90 km in 3 hours. Speed?", "Compute the mean of 12 7 9 31 4 18 22 5 6 40", "12 km 7 h 9 km 31 h 4 km", "5 9 2 8"]
+    items, canon = decontaminate.Items(list(enumerate(texts))), decontaminate.Canon()
+    find = lambda t: [(m[0], m[1], m[4]) for m in items.find(*canon(t))]
+    for k, t in enumerate(texts):
+        assert find(f"so {t} yes") == [(k, 1.0, False)]
+    assert find("A car travels 50 km in 4 hours, then 80 km in 5 hours. Speed?") == [(0, 1.0, True)]
+    assert find("A car travels 50 km in 4 hours, then 50 km in 5 hours. Speed?") != [(0, 1.0, True)]
+    assert find("A car travels 50 km in a day") == find("13 km 8 h 10 km 32 h 5 km") == find("5 9 2 7") == []
+    assert find("Compute the mean of these: 1 2 3 4 5 6") == []
+
+
 def test_decontamination_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "", 2), (2, "x " * 3000, 3)], "doc_id long, text string, matches int")
     bench = spark.createDataFrame([(1, "some question with enough words to matter here"), (None, "another one with enough words here")], "item_id long, text string")
