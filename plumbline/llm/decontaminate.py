@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
 Items and documents are cut into canonical tokens: numbers are ``<num>``, units after a number ``<unit>``, capitalised words
-inside a sentence ``<name>``; other words are lower-cased and lose their punctuation. Windows of ``WINDOW`` tokens of the items go
-into a hash table; each document's windows are looked up there, once with names replaced and once with names as they stand,
+``<name>``; other words are lower-cased and lose their punctuation. Operators separate numbers. Windows of ``WINDOW`` tokens of the items go
+into a hash table; each document's windows are looked up there, with names replaced inside sentences, with sentence starts replaced too, and with names as they stand,
 so that a verbatim copy is found whatever its sentence breaks. Windows that are mostly placeholders are no reason to look at an
 item, so of these the table has the raw tokens only (numbers as they stand); but once an item is hit, all its windows near
 the hits are scored, in each form. For each item that a document hits, the windows that lie on
@@ -44,6 +44,9 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(r"[+-]?(?:\d+(?:[.,:/]\d+)*)")
 GLUED = re.compile(r"([$€£]?)([+-]?\d+(?:[.,:/]\d+)*)([^\W\d_]+|%|[$€£])?")
+# Signs beside which a chunk with digits is cut; a slash between digits is part of the number
+OPERATORS = re.compile(r"([+\-−–*=^<>≤≥×÷·()\[\]]|(?<!\d)/|/(?!\d))")
+DIGIT = re.compile(r"\d")
 EDGES = re.compile(r"^[^\w$€£%+-]+|[^\w$€£%]+$")
 
 PLAIN, TITLE, NUM, UNIT = 0, 1, 2, 3
@@ -70,6 +73,8 @@ def chunk_tokens(chunk: str) -> list[tuple[str, int]]:
         out = [(m[2], NUM)]
         unit = (m[3] or m[1] or "").lower()
         return out + [(unit, UNIT if unit in UNITS else PLAIN)] if unit else out
+    if DIGIT.search(core) and len(parts := [x for x in OPERATORS.split(core) if x]) > 1:
+        return [t for x in parts for t in chunk_tokens(x)]
     low = core.lower()
     if low in UNITS:
         return [(low, UNIT)]
@@ -91,16 +96,17 @@ def _packed(chunk: str) -> bytes:
 
 
 class Canon:
-    """Token hashes of a text: the values themselves, with names replaced, and without; kept in a bounded cache by chunk."""
+    """Token hashes of a text: the values themselves, with names replaced, with capitalised sentence starts replaced as well,
+    and with names as they stand; kept in a bounded cache by chunk."""
 
     def __init__(self, cache: int = 120_000):
         self.chunks = Recent(_packed, cache)
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         t = np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), TOKEN)
         raw, kind = t["h"], t["kind"]
         if not len(t):
-            return raw, raw, raw
+            return raw, raw, raw, raw
         begins = np.empty(len(t), bool)
         begins[0] = True
         begins[1:] = t["stop"][:-1] > 0
@@ -111,8 +117,10 @@ class Canon:
             unit[0] = False
             unit[1:] &= number[:-1]
             plain = np.where(number, np.uint64(HASH["<num>"]), np.where(unit, np.uint64(HASH["<unit>"]), raw))
-        name = (kind == TITLE) & ~begins
-        return raw, np.where(name, np.uint64(HASH["<name>"]), plain) if name.any() else plain, plain
+        title = kind == TITLE
+        name = title & ~begins
+        named = np.where(name, np.uint64(HASH["<name>"]), plain) if name.any() else plain
+        return raw, named, np.where(title, np.uint64(HASH["<name>"]), plain) if (title & begins).any() else named, plain
 
 
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -136,37 +144,65 @@ def _hits(hashes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(hit, many), np.repeat(a[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
+def _differing(form: np.ndarray, others: list[np.ndarray], n: int) -> np.ndarray:
+    """The places of the windows that differ from those of all other forms."""
+    out = np.ones(max(0, len(form) - n + 1), bool)
+    for x in others:
+        c = np.cumsum(np.concatenate([[0], form != x]))
+        out &= c[n:] > c[: len(out)]
+    return np.flatnonzero(out)
+
+
+def _windows_at(tokens: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    out = tokens[at] * _PLACE[0]
+    for k in range(1, n):
+        out = out + tokens[at + k] * _PLACE[k]
+    return mix(out + np.uint64(n))
+
+
+def _forms(named: np.ndarray, bold: np.ndarray, plain: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each form's tokens, its windows and their places; a window that a former form has at the same place isn't repeated.
+    Windows with names as they stand come first."""
+    w = windows(plain, n)
+    out, forms = [(plain, w, np.arange(len(w)))], [plain]
+    for form in (named, bold):
+        if not any(form is x for x in forms):
+            at = _differing(form, forms, n)
+            if len(at):
+                out.append((form, _windows_at(form, n, at), at))
+            forms.append(form)
+    return out
+
+
 class Items:
     """The hash table of some items' windows: sorted hashes, and for each the item and the place in it."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         canon = Canon(20_000)
         slots = np.array(list(HASH.values()), np.uint64)
-        self.ids, self.raw, self.named, self.plain, self.count, self.length = [], [], [], [], [], []
+        self.ids, self.raw, self.plain, self.count, self.length = [], [], [], [], []
         hashes, item, place, exact = [], [], [], ([], [], [])
         self.rest: list[tuple[np.ndarray, np.ndarray]] = []
         for item_id, text in rows:
-            raw, named, plain = canon(text or "")
+            raw, named, bold, plain = canon(text or "")
             if len(raw) < LEAST:
                 continue
             n = min(WINDOW, len(raw))
             k = len(self.ids)
             rest = []
-            for form in (named, plain) if named is not plain else (plain,):
-                w = windows(form, n)
+            for form, w, at in _forms(named, bold, plain, n):
                 # windows of placeholders alone say nothing
-                words = np.convolve(~np.isin(form, slots), np.ones(n, int), "valid")
-                at = np.flatnonzero(2 * words >= n)
-                hashes.append(w[at]), item.append(np.full(len(at), k)), place.append(at)
-                dense = np.flatnonzero(2 * words < n)
-                rest.append((w[dense], dense))
-            # after the loop, dense has the places whose window isn't in the table with its names as they stand
+                words = np.convolve(~np.isin(form, slots), np.ones(n, int), "valid")[at]
+                some, few = 2 * words >= n, 2 * words < n
+                hashes.append(w[some]), item.append(np.full(some.sum(), k)), place.append(at[some])
+                rest.append((w[few], at[few]))
+            dense = rest[0][1]
             for x, y in zip(exact, (windows(raw, n)[dense], np.full(len(dense), k), dense)):
                 x.append(y)
             w, at = (np.concatenate(x) for x in zip(*rest))
             order = np.argsort(w, kind="stable")
             self.rest.append((w[order], at[order]))
-            self.ids.append(item_id), self.raw.append(raw), self.named.append(named), self.plain.append(plain)
+            self.ids.append(item_id), self.raw.append(raw), self.plain.append(plain)
             self.count.append(len(raw) - n + 1), self.length.append(n)
         self.table, self.exact = self._sorted(hashes, item, place), self._sorted(*exact)
         self.sizes = sorted(set(self.length))
@@ -179,15 +215,19 @@ class Items:
         order = np.argsort(h, kind="stable")
         return h[order], np.concatenate(item)[order], np.concatenate(place)[order]
 
-    def find(self, raw: np.ndarray, named: np.ndarray, plain: np.ndarray) -> list[tuple[int, float, int, int, bool]]:
+    def find(self, raw: np.ndarray, named: np.ndarray, bold: np.ndarray, plain: np.ndarray) -> list[tuple[int, float, int, int, bool]]:
         """Items in a document's tokens: id, share of its windows, first and last token there, and whether values differ."""
         pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        forms = {n: [windows(form, n) for form in ((plain,) if named is plain else (plain, named))] for n in self.sizes}
+        forms = {n: [(w, at) for _, w, at in _forms(named, bold, plain, n)] for n in self.sizes}
         for n in self.sizes:
-            for (hashes, items, places), w in [*((self.table, w) for w in forms[n]), *((self.exact, windows(raw, n)) for _ in self.exact[0][:1])]:
+            looked = [(self.table, *x) for x in forms[n]]
+            if len(self.exact[0]):
+                w = windows(raw, n)
+                looked.append((self.exact, w, np.arange(len(w))))
+            for (hashes, items, places), w, at in looked:
                 hit, k = _hits(hashes, w)
                 if len(hit):
-                    pairs.append((hit, items[k], places[k]))
+                    pairs.append((at[hit], items[k], places[k]))
         if not pairs:
             return []
         doc, item, place = (np.concatenate(x) for x in zip(*pairs))
@@ -199,14 +239,18 @@ class Items:
                 out.append(found)
         return out
 
-    def _more(self, i: int, doc: np.ndarray, place: np.ndarray, forms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _more(self, i: int, doc: np.ndarray, place: np.ndarray, forms: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Further pairs of an item's mostly placeholder windows, beside the places where others of its windows are."""
         hashes, places = self.rest[i]
         if not len(hashes):
             return doc[:0], place[:0]
         a, b = max(0, int(doc.min()) - self.count[i] - DRIFT), int(doc.max()) + self.count[i] + DRIFT
-        found = [_hits(hashes, w[a:b]) for w in forms]
-        d, p = np.concatenate([x for x, _ in found]) + a, places[np.concatenate([k for _, k in found])]
+        found = []
+        for w, at in forms:
+            x, y = np.searchsorted(at, (a, b))
+            hit, k = _hits(hashes, w[x:y])
+            found.append((at[x:y][hit], places[k]))
+        d, p = (np.concatenate(x) for x in zip(*found))
         shifts = np.unique(doc - place)
         k = np.searchsorted(shifts, d - p)
         off = np.minimum(np.abs(d - p - shifts[np.maximum(k - 1, 0)]), np.abs(d - p - shifts[np.minimum(k, len(shifts) - 1)]))
@@ -214,7 +258,7 @@ class Items:
         order = order[off[order] <= DRIFT]
         return d[order], p[order]
 
-    def _judge(self, i: int, doc: np.ndarray, place: np.ndarray, raw: np.ndarray, plain: np.ndarray, forms: list[np.ndarray]):
+    def _judge(self, i: int, doc: np.ndarray, place: np.ndarray, raw: np.ndarray, plain: np.ndarray, forms: list[tuple[np.ndarray, np.ndarray]]):
         n, mine, best = self.length[i], self.raw[i], None
         shift = doc - place
         order = np.argsort(shift, kind="stable")
@@ -267,7 +311,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("t")).filter(F.col("id").isNotNull() & (F.length("t") > 0))
     total = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-int(total) * 2 // block))
+    blocks = max(1, -(-int(total) * 3 // block))
     keep = docs.columns
     names = [f"c{k}" for k in range(len(keep))]
     found = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], F.coalesce(docs[text_col], F.lit("")).alias("text"), F.array().cast(MATCH).alias("matches"))

@@ -79,6 +79,22 @@ def test_number_dense_items():
     assert find("Compute the mean of these: 1 2 3 4 5 6") == []
 
 
+def test_names_at_sentence_starts():
+    items, canon = decontaminate.Items([(1, "Tom has 3 apples. Tom buys 2 more. How many does Tom have?")]), decontaminate.Canon()
+    find = lambda t: [(m[0], m[1], m[4]) for m in items.find(*canon(t))]
+    assert find("Tom has 3 apples. Tom buys 2 more. How many does Tom have?") == [(1, 1.0, False)]
+    assert find("So: Sara has 4 apples. Sara buys 5 more. How many does Sara have?") == [(1, 1.0, True)]
+    assert find("Then Sara has 4 apples. Sara buys 5 more. How many does Sara have?") == [(1, 1.0, True)]
+    assert find("Sara has 4 apples. Peter sells 5 more. How few does Mary have?") == []
+
+
+def test_operators_beside_numbers():
+    kinds = lambda t: [t for c in t.split() for t in decontaminate.chunk_tokens(c)]
+    assert kinds("2+2=4") == kinds("2 + 2 = 4") == [("2", decontaminate.NUM), ("2", decontaminate.NUM), ("4", decontaminate.NUM)]
+    assert kinds("2x+3=7") == [("2", decontaminate.NUM), ("x", decontaminate.PLAIN), ("3", decontaminate.NUM), ("7", decontaminate.NUM)]
+    assert kinds("-5 3/4 1,000 well-known and/or") == [("-5", decontaminate.NUM), ("3/4", decontaminate.NUM), ("1,000", decontaminate.NUM), ("wellknown", decontaminate.PLAIN), ("andor", decontaminate.PLAIN)]
+
+
 def test_decontamination_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "", 2), (2, "x " * 3000, 3)], "doc_id long, text string, matches int")
     bench = spark.createDataFrame([(1, "some question with enough words to matter here"), (None, "another one with enough words here")], "item_id long, text string")
