@@ -7,7 +7,7 @@ brute-force spans, each with its own cost in log10 guesses. Values over a thresh
 ``password: letmein`` is left alone and ``password: kV9#tq`` is found.
 
 Nulls and edge cases: a null text counts as empty; an empty text has no span; very long texts are scanned whole and very
-long values are costed in windows of ``MAX_VALUE`` characters (a value that long is over any threshold); repeated rows,
+long values are costed whole, in time linear in their length; repeated rows,
 null ids and further columns pass through; an empty table gives an empty result. Offsets count code points.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +43,7 @@ COMMON = (
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
-MAX_VALUE = 96
+NEAR_ENDS = 96  # characters
 THRESHOLD = 8.0  # log10 guesses
 
 RANK = {w: k + 1 for k, w in enumerate(COMMON)}
@@ -63,11 +63,20 @@ def _char_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
+def _ends(v: str, goes_on: Callable[[int], bool]) -> list[int]:
+    """For each character, the end of the run that it is in; ``goes_on``: whether a character continues the one before."""
+    out = [len(v)] * len(v)
+    for i in range(len(v) - 1, 0, -1):
+        out[i - 1] = out[i] if goes_on(i) else i
+    return out
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest segmentation of ``value``."""
-    v = value[:MAX_VALUE]
-    low = v.lower()
+    v = value
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)  # as long as the value
     plain = low.translate(LEET)
+    same, walk = _ends(v, lambda i: low[i] == low[i - 1]), _ends(v, lambda i: low[i - 1 : i + 1] in WALKS)
     n = len(v)
     best = [0.0] + [math.inf] * n
     dates = {}
@@ -95,17 +104,14 @@ def guess_cost(value: str) -> float:
                 offer(j, math.log10((rank or other) * 10) + upper + (0.5 if other else 0.0))
         if i in dates:
             offer(dates[i], math.log10(365 * 120))
-        j = i + 1
-        while j < n and low[j] == low[i]:
-            j += 1
+        # repeats and walks of any length: ends near the start and near the end of the run
+        for j in {*range(i + 3, min(same[i], i + NEAR_ENDS) + 1), *range(max(i, same[i] - LONGEST), same[i] + 1)}:
             if j - i >= 3:
                 offer(j, _char_cost(v[i]) + math.log10(j - i))
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in WALKS:
-            j += 1
+        for j in {*range(i + 3, min(walk[i], i + NEAR_ENDS) + 1), *range(max(i, walk[i] - LONGEST), walk[i] + 1)}:
             if j - i >= 3:
                 offer(j, math.log10(94 * (j - i) * 4))
-    return best[n] + 1.0 * (len(value) > MAX_VALUE) * (len(value) - MAX_VALUE)
+    return best[n]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -129,6 +129,14 @@ def test_guess_costs():
     assert secret_scan.all_spans("the password: letmein, ok")[1] == []
 
 
+def test_guess_costs_of_long_values():
+    cost = secret_scan.guess_cost
+    for n in (96, 97, 120, 5000):
+        assert cost("*" * n) < secret_scan.THRESHOLD and secret_scan.all_spans("pwd: " + "*" * n)[1] == []
+    assert cost("kV9#tq7Lm" + "a" * 300) < cost("kV9#tq7Lm" * 20) and cost("") == 0
+    assert cost("*" * 150 + "kV9#tq7Lm") > secret_scan.THRESHOLD
+
+
 def test_secrets_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (None, ""), (2, "password=abcdefghijklm")], "base long, text string")
     out = secret_scan.scan(docs, keep=["text"]).collect()
