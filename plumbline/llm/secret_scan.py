@@ -2,7 +2,7 @@
 
 Base kinds are regular expressions, leftmost and non-overlapping per kind. The method then looks at values that follow a
 credential's name and that no base span covers, and estimates how many guesses an attacker needs: dynamic programming over
-the value's characters finds the cheapest segmentation into common words, dates, repeats, keyboard walks, sequences and
+the value's characters finds the cheapest segmentation into words (by rank in a list of common ones and the shipped vocabulary), dates, repeats, keyboard walks, sequences and
 brute-force spans, each with its own cost in log10 guesses. Values over a threshold become spans of kind ``guess``, so
 ``password: letmein`` is left alone and ``password: kV9#tq`` is found.
 
@@ -13,9 +13,11 @@ null ids and further columns pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,8 +48,20 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[1
 NEAR_ENDS = 96  # characters
 THRESHOLD = 8.0  # log10 guesses
 
-RANK = {w: k + 1 for k, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+WORDS = "word_bpe_49k.json"  # the vocabulary whose words and word pieces follow the common ones, in its order
+LONGEST = 24  # characters of a word
+
+
+@lru_cache(1)
+def word_ranks() -> dict[str, int]:
+    """The rank of each word: the common ones first, then the vocabulary's words and pieces of letters. Read once a process."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(WORDS), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    listed = (w.removesuffix("</w>") for w in sorted(vocab, key=vocab.get))
+    every = dict.fromkeys([*COMMON, *(w for w in listed if w.isascii() and w.isalpha() and 3 <= len(w) <= LONGEST)])
+    return {w: k + 1 for k, w in enumerate(every)}
 
 
 def _runs() -> set[str]:
@@ -77,7 +91,7 @@ def guess_cost(value: str) -> float:
     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)  # as long as the value
     plain = low.translate(LEET)
     same, walk = _ends(v, lambda i: low[i] == low[i - 1]), _ends(v, lambda i: low[i - 1 : i + 1] in WALKS)
-    n = len(v)
+    n, ranks = len(v), word_ranks()
     best = [0.0] + [math.inf] * n
     dates = {}
     for i in range(n):
@@ -97,8 +111,8 @@ def guess_cost(value: str) -> float:
             total += _char_cost(v[j - 1]) + (0.25 if v[j - 1].isupper() and j > 1 else 0.0)
             offer(j, total)
         for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j])
-            other = RANK.get(plain[i:j]) if rank is None else None
+            rank = ranks.get(low[i:j])
+            other = ranks.get(plain[i:j]) if rank is None else None
             if rank or other:
                 upper = 0.3 if v[i:j] != low[i:j] else 0.0
                 offer(j, math.log10((rank or other) * 10) + upper + (0.5 if other else 0.0))
@@ -136,7 +150,7 @@ def all_spans(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[str,
             a, b = m.span(1)
             while b > a and text[b - 1] in ".!?)]}":  # the end of a sentence is no part of a value
                 b -= 1
-            if b - a >= 6 and not any(a < e and s < b for _, s, e in base) and guess_cost(text[a:b]) >= threshold and not text[a:b].isalpha():
+            if b - a >= 6 and not any(a < e and s < b for _, s, e in base) and guess_cost(text[a:b]) >= threshold:
                 more.append(("guess", a, b))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 

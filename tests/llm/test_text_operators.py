@@ -137,6 +137,13 @@ def test_guess_costs_of_long_values():
     assert cost("*" * 150 + "kV9#tq7Lm") > secret_scan.THRESHOLD
 
 
+def test_values_of_letters_alone():
+    for t in ("pwd: xqzvkwpjhtrmd", "password: xqzvkwpjht", "passphrase: XqzVkwpJhtrmd"):
+        assert [s[0] for s in secret_scan.all_spans(t)[1]] == ["guess"]
+    for w in ("required", "configuration", "authentication", "information", "Changed", "letmein"):
+        assert secret_scan.all_spans(f"the pwd: {w}, ok")[1] == []
+
+
 def test_secrets_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (None, ""), (2, "password=abcdefghijklm")], "base long, text string")
     out = secret_scan.scan(docs, keep=["text"]).collect()
