@@ -1,7 +1,8 @@
 """URL filters: a blocked Bloom filter of the listed canonical URLs passes possible hits to an exact hash join.
 
 A listed URL is ``host/path-prefix``. It fits a page if its host is the page's host or a domain above it and the page's
-path starts with its path, so a page has a key for each of its domains and each path length that occurs in the list. The
+path starts with its path, so a page has a key for each of its domains and each path length that occurs in the list (of
+very many different lengths, for each length above the first ``LENGTHS``). The
 filter drops the keys that are surely not listed; the few others go to an exact join, which removes the false positives,
 and the longest listed URL wins. Beyond a bounded number of listed URLs, the filter stays at its largest size and only
 passes more keys to the join.
@@ -16,6 +17,7 @@ empty table gives an empty result, an empty list the default verdict.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,10 @@ from plumbline.llm.common import cut
 
 #: More listed URLs than this are added to the filter in several reads of the list.
 LIST_BLOCK = 500_000
+#: Of more different path lengths than this, all lengths above these are tried.
+LENGTHS = 4096
+#: Characters of keys that are looked up at a time.
+KEY_CHARS = 1 << 24
 
 
 def host_of(url: Column) -> Column:
@@ -52,10 +58,14 @@ def _hashes(keys: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
-def listed_filter(listed: DataFrame, bits_per_key: int = 16) -> tuple[BlockedBloom, list[int]]:
-    """The filter and the path lengths of ``listed(rule)``. The driver sees the list in blocks of bounded size."""
+def listed_filter(listed: DataFrame, bits_per_key: int = 16) -> tuple[BlockedBloom, list[int], range]:
+    """The filter, the least path lengths of ``listed(rule)`` and the range in which its other ones lie. The driver sees the list in blocks of bounded size."""
     n = listed.count()
-    lengths = [r[0] for r in listed.select(F.length(F.col("path")).alias("n")).distinct().orderBy("n").limit(4096).collect()]
+    every = listed.select(F.length(F.col("path")).alias("n"))
+    lengths = [r[0] for r in every.distinct().orderBy("n").limit(LENGTHS + 1).collect()]
+    beyond = range(0)
+    if len(lengths) > LENGTHS:
+        beyond = range(lengths.pop(), every.agg(F.max("n")).first()[0] + 1)
     bloom = BlockedBloom(n, bits_per_key)
     blocks = max(1, -(-n // LIST_BLOCK))
     part = F.pmod(F.xxhash64("rule"), F.lit(blocks))
@@ -63,7 +73,7 @@ def listed_filter(listed: DataFrame, bits_per_key: int = 16) -> tuple[BlockedBlo
         keys = [r[0] for r in listed.filter(part == k).select("rule").collect()]
         if keys:
             bloom.add(_hashes(keys))
-    return bloom, lengths
+    return bloom, lengths, beyond
 
 
 def match_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
@@ -76,28 +86,34 @@ def match_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> Dat
     rules = listed.filter(F.col("rule").isNotNull()).select("rule", "action", "list")
     rules = rules.groupBy("rule").agg(F.min(F.struct("list", F.when(F.col("action") == "block", 0).otherwise(1).alias("o"), "action")).alias("m"))
     rules = rules.select("rule", F.col("m.action").alias("action"), F.col("m.list").alias("list"), F.substring("rule", F.length(F.substring_index("rule", "/", 1)) + 1, F.length("rule")).alias("path"))
-    bloom, lengths = listed_filter(rules)
-    shared = pages.sparkSession.sparkContext.broadcast((bloom, lengths))
+    shared = pages.sparkSession.sparkContext.broadcast(listed_filter(rules))
     parsed = pages.select(F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).filter(F.length("host") > 0)
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, lengths = shared.value
+        bloom, lengths, beyond = shared.value
+
+        def passed(batch: pa.RecordBatch, rows: list[int], keys: list[str]) -> pa.RecordBatch:
+            hit = np.flatnonzero(bloom.might_contain(_hashes(keys)))
+            return pa.RecordBatch.from_arrays([batch.column("url").take(pa.array([rows[i] for i in hit], pa.int64())), pa.array([keys[i] for i in hit], pa.string())], names=["url", "rule"])
+
         for batch in batches:
-            rows, keys = [], []
+            rows, keys, chars = [], [], 0
             for row, (host, path) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())):
                 domains = [host]
                 while "." in domains[-1]:
                     domains.append(domains[-1].split(".", 1)[1])
-                for n in lengths:
+                for n in chain(lengths, beyond):
                     if n > len(path):
                         break
                     start = path[:n]
                     keys += [d + start for d in domains]
                     rows += [row] * len(domains)
-            if not keys:
-                continue
-            hit = np.flatnonzero(bloom.might_contain(_hashes(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column("url").take(pa.array([rows[i] for i in hit], pa.int64())), pa.array([keys[i] for i in hit], pa.string())], names=["url", "rule"])
+                    chars += len(domains) * (len(host) + n)
+                    if chars > KEY_CHARS:
+                        yield passed(batch, rows, keys)
+                        rows, keys, chars = [], [], 0
+            if keys:
+                yield passed(batch, rows, keys)
 
     hits = parsed.mapInArrow(possible, "url string, rule string").distinct()
     exact = hits.join(rules.select("rule", "action", "list"), "rule")

@@ -159,6 +159,14 @@ def test_bloom_has_no_false_negatives():
     assert bloom.might_contain(keys).all() and bloom.might_contain(others).mean() < 0.02
 
 
+def test_urls_with_many_path_lengths(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LENGTHS", 3)
+    listed = spark.createDataFrame([(f"x.org/{'a' * n}", "block" if n % 2 else "allow", "a") for n in (0, 1, 2, 3, 5, 9, 12)], "rule string, action string, list string")
+    pages = spark.createDataFrame([(n, f"http://y.x.org/{'a' * n}") for n in range(15)], "page_id long, url string")
+    out = {r["page_id"]: r["rule"] for r in url_filter.judge_urls(pages, listed).collect()}
+    assert out == {n: f"x.org/{'a' * max(k for k in (0, 1, 2, 3, 5, 9, 12) if k <= n)}" for n in range(15)}
+
+
 def test_urls_edge_cases(spark):
     pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "http://A.Example.ORG"), (4, "http://a.example.org/en/17?x#y"), (4, "http://a.example.org/en/17?x#y"), (5, "https://borg/x"), (None, "ftp://x.org:80/")], "page_id long, url string")
     listed = spark.createDataFrame([("org/", "allow", "a"), ("example.org/en/1", "block", "a"), (None, "block", "a"), ("example.org/", "block", "b")], "rule string, action string, list string")
