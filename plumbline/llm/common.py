@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,13 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII white space, as the contracts define words: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 
+#: With it Spark removes a query's shuffle files when the query ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where that is unset and Spark runs on this
+    machine alone, one of our own; on a cluster an unset folder is an error."""
     set_for_us = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_for_us:
         return set_for_us.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='plumbline-')}")
     return str(spark.sparkContext.getCheckpointDir()).rstrip("/")
 
@@ -29,13 +36,46 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries planned inside lose their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: later plans start there, so a lost
-    executor costs a reread and never a recomputation of what came before."""
+    executor costs a reread and never a recomputation of what came before. Hashes gain nothing from a strong ``codec``."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with cleaned(spark):
+        df.write.mode("error").option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote. Nothing that is still to run may read them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with so many underscores in front that none of ``columns`` has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 class Recent(dict):

@@ -1,22 +1,27 @@
 """Line dedup as an exact set-similarity join, in DataFrame operations and column functions only.
 
-A line is the set of its lower-cased words; lines without words (fewer than ``LEAST_WORDS``) are left alone. A line is
-removed if an *earlier* line (by document id, then place), removed or not, has a Jaccard similarity of 0.8 or more with it.
-
-1. Equal sets: one aggregation by a 128-bit hash of the set gives the first line of each; later ones match it.
-2. Tokens are ordered by rarity (their hash bucket's count over all documents, a table of fixed size) and by hash. Two sets that match
-   share two tokens among the first ``n - ceil(0.8 n) + 2`` of each (prefix filter).
-3. Lines that very many others resemble: those that share a signature with at least ``GROUP`` others are compared with the first
-   of the group. A match settles them, so a family of a million variants isn't joined with itself.
-4. The others of at least ``NEAR_WORDS`` words (smaller sets match equal ones only) are joined by prefix tokens, with each other and with the settled ones, under the length filter and the positional
-   filter; the surviving pairs' lines are fetched and verified word by word.
+A line is the set of its lower-cased words; lines without words are left alone. A line is removed if an *earlier* line (by
+document id, then place), removed or not, has a Jaccard similarity of 0.8 or more with it. So what stays is the first line of
+each set that no earlier set is like.
+
+1. Equal lines: one aggregation by a 128-bit hash of the line gives the first place of each; only these go on. Lines that
+   differ in order, case or repeats of words alone are one set, and the first place of the set stays.
+2. Tokens are counted over all lines and ordered by rarity (of the ``FREQUENT`` most frequent ones, in a table of fixed size;
+   the others are rarer than those) and by hash. Two sets that match share two tokens among the first ``n - ceil(0.8 n) + 2``
+   of each (prefix filter).
+3. Sets that others resemble: those that share a signature are compared with the first of the group. A match settles
+   them, so a family of a million variants isn't joined with itself.
+4. The others of at least ``NEAR_WORDS`` words (smaller sets match equal ones only) are joined by prefix tokens, with each
+   other and with the settled ones, under the length filter, the positional filter and a sketch whose difference bounds that
+   of the sets from below. Each is verified, word by word, against the earlier set with which it shares most of its
+   prefix, and if that fails against all the rest.
 
 Steps 3 and 4 change how matches are found, not which: every line with an earlier match is removed, no other.
 
 Nulls and edge cases: null and empty texts stay as they are; a null id counts as earlier than any other; rows that repeat a
 document (equal id and text) share their places and are treated alike; a document may lose all its lines and then has the
-empty text; very long lines are sets like others; further columns stay; an empty table gives an empty result. Words are
-compared by 64-bit hashes.
+empty text; very long lines are sets like others; further columns stay, whatever their names; ids may be of any type that has
+an order; an empty table gives an empty result. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,45 +31,32 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
-from plumbline.llm.quality_rules import let, words
+from plumbline.llm.common import cut, drop, unused
+from plumbline.llm.quality_rules import let
 
-LEAST_WORDS = 1
 NEAR_WORDS = 4  # 4 words and 5 that contain them are alike by exactly 4 / 5; sets of 3 and fewer match equal sets only
 COMMON = 2  # prefixes are so long that sets that match share at least this many tokens of them
-GROUP = 8
-RARITY_BUCKETS = 1 << 16
-BLOOM_WORDS = 1 << 16
+FREQUENT, RARITY_SLOTS = 1 << 17, 1 << 20
+BLOOM_WORDS = 1 << 17
+FEW = 4  # one candidate pair to so many sets
 TOP, BASE = 4, 5  # the least similarity, 4 / 5
+_HASH_BITS = 55  # of a token's place in the order; above them is its rarity
 
 
-def line_tokens(line: Column) -> Column:
-    """The hashes of a line's different words, in ascending order."""
-    return F.sort_array(F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w))))
-
-
-def _constants(values: list[int]) -> Column:
-    """A table of numbers as one constant."""
-    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<long>")
+def _words(line: Column) -> Column:
+    spaced = F.lower(line)
+    for c in "\t\x0b\x0c\r":  # a search for a byte each, far cheaper than translating every character
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """For each bucket of token hashes, how often the documents have tokens of it (in steps of a twelfth of a doubling)."""
-    tokens = docs.select(F.explode(words(F.lower(F.col(text_col)))).alias("w"))
-    counts = tokens.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).cast("int").alias("b")).count()
-    out = [0] * RARITY_BUCKETS
-    for b, n in counts.collect():  # at most RARITY_BUCKETS rows
-        out[b] = round(12 * math.log2(1 + n))
-    return out
+def line_tokens(line: Column) -> Column:
+    """The hashes of a line's different words, in ascending order."""
+    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))))
 
 
-def prefix(tokens: Column, levels: Column) -> Column:
-    """The rarest tokens of a set, as many as the prefix filter needs: numbers with the rarity in the upper 12 bits and the
-    hash below, so that their order is the common order of tokens. (Hashes cut to 52 bits may add candidates, never lose one.)"""
-    low = F.lit((1 << 52) - 1).cast("long")
-    by = F.sort_array(F.transform(tokens, lambda h: F.get(levels, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")) * F.lit(1 << 52).cast("long") + h.bitwiseAND(low)))
-    n = F.size(tokens)
-    return F.slice(by, 1, n - F.ceil(n * TOP / BASE).cast("int") + COMMON)
+def _has_words(line: Column) -> Column:
+    return F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0
 
 
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,88 +64,146 @@ def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
 
 
-def _bloom(keys: DataFrame, key: str) -> Column:
-    """A bit table of fixed size over a column of 64-bit hashes, as a test on such hashes."""
-    bit = F.pmod(F.col(key), F.lit(64 * BLOOM_WORDS))
-    words_ = keys.groupBy((bit / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("w")).collect()
-    table = [0] * BLOOM_WORDS
-    for i, w in words_:  # at most BLOOM_WORDS rows
-        table[i] = w
-    return _constants(table)
-
-
-def _might_have(table: Column, key: Column) -> Column:
-    bit = F.pmod(key, F.lit(64 * BLOOM_WORDS))
-    return F.getbit(F.get(table, (bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs ``a, b`` of set keys, the later key of those that match: its line has an earlier match."""
-    keys = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    needed = cut(sets.join(keys, "k1", "left_semi").select("k1", "k2", "first"), "needed-lines")
-    place = lambda a, t, n: F.xxhash64(a, t, n)
-    at = needed.select("k1", "k2", "first", place(F.col("first.id"), F.col("first.t"), F.col("first.line_no")).alias("place"))
-    table = _bloom(at, "place")
-    lines = numbered_lines(docs, id_col, text_col).withColumn("place", place(F.col("id"), F.col("t"), F.col("line_no")))
-    lines = lines.filter(_might_have(table, F.col("place"))).join(at, "place").filter(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.t") == F.col("t")) & (F.col("first.line_no") == F.col("line_no")))
-    fetched = cut(lines.dropDuplicates(["k1", "k2"]).select("k1", "k2", "first", line_tokens(F.col("line")).alias("tokens")), "fetched-lines")
-    side = lambda x: fetched.select(F.col("k1").alias(x), F.col("k2").alias(f"{x}2"), F.col("first").alias(f"{x}_first"), F.col("tokens").alias(f"{x}_tokens"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    inter = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    match = (BASE + TOP) * inter >= TOP * (F.size("a_tokens") + F.size("b_tokens"))
-    later = F.when(F.col("a_first") < F.col("b_first"), F.struct(F.col("b").alias("k1"), F.col("b2").alias("k2"))).otherwise(F.struct(F.col("a").alias("k1"), F.col("a2").alias("k2")))
-    return both.filter(match & (F.col("a_first") != F.col("b_first"))).select(later.alias("k")).select("k.k1", "k.k2").distinct()
-
-
-def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, t, line_no`` of every line that an earlier line matches."""
-    levels = _constants(rarity(docs, text_col))
-    tokened = numbered_lines(docs, id_col, text_col).select(F.struct("id", "t", "line_no").alias("at"), line_tokens(F.col("line")).alias("h")).filter(F.size("h") >= LEAST_WORDS)
-    lines = tokened.select(
-        "at", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit("second"), F.col("h")).alias("k2"), F.size("h").alias("n"), F.when(F.size("h") >= NEAR_WORDS, prefix(F.col("h"), levels)).alias("prefix"),
-        F.xxhash64(F.slice("h", 1, 3)).alias("s1"), F.xxhash64(F.slice("h", -3, 3)).alias("s2"),
-    )
-    lines = cut(lines, "lines")
-    # equal sets: the least struct has the least place; its other fields are the same for all lines of a set
-    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("at", "n", "prefix", "s1", "s2")).alias("m"))
-    sets = cut(sets.select("k1", "k2", F.col("m.at").alias("first"), "m.n", "m.prefix", "m.s1", "m.s2"), "line-sets")
-
-    nearby = sets.filter(F.col("n") >= NEAR_WORDS)
-    signed = nearby.select("k1", "first", F.explode(F.array("s1", "s2")).alias("s"))
-    groups = signed.groupBy("s").agg(F.min(F.struct("first", "k1")).alias("lead"), F.count("*").alias("members")).filter(F.col("members") > GROUP)
-    to_lead = signed.join(groups.select("s", F.col("lead.k1").alias("b")), "s").filter(F.col("k1") != F.col("b"))
-    to_lead = cut(to_lead.select(F.col("k1").alias("a"), "b").distinct(), "line-leaders")
-    settled = cut(_verified(docs, to_lead, sets, id_col, text_col), "settled-lines")
-
-    marked = nearby.select("k1", "k2", "n", "prefix").join(settled.withColumn("done", F.lit(True)), ["k1", "k2"], "left")
-    marked = cut(marked.select("k1", "n", "prefix", F.coalesce("done", F.lit(False)).alias("done")), "line-marks")
-    post = lambda s: s.select("k1", "n", F.posexplode("prefix").alias("p", "token"))
-    open_, done = post(marked.filter("not done")), post(marked.filter("done"))
-    pairs = _joined(open_, open_, True).unionByName(_joined(open_, done, False))
-    pairs = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).select("a", "b"), "line-pairs")
-    near = settled.unionByName(_verified(docs, pairs, sets, id_col, text_col)).distinct().withColumn("near", F.lit(True))
-
-    known = sets.select("k1", "k2", "first").join(near, ["k1", "k2"], "left")
-    found = lines.select("k1", "k2", "at").join(known, ["k1", "k2"]).filter(F.coalesce("near", F.lit(False)) | (F.col("at") != F.col("first")))
-    return found.select("at.id", "at.t", "at.line_no")
-
-
-def _joined(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
-    """Pairs of keys with a common prefix token whose sizes and positions leave room for enough common tokens."""
-    a = left.select(F.col("token"), F.col("k1").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"))
-    b = right.select(F.col("token"), F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"))
-    room = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
-    # what stands from here on, with the tokens that may have been found before, must reach the overlap that is needed
-    fits = ((BASE + TOP) * (room + COMMON - 1) >= TOP * (F.col("an") + F.col("bn"))) & (BASE * F.col("an") >= TOP * F.col("bn")) & (BASE * F.col("bn") >= TOP * F.col("an"))
-    order = F.col("a") < F.col("b") if same else F.col("a") != F.col("b")
-    return a.join(b, (a["token"] == b["token"]) & fits & order).select("a", "b")
+def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each different line: a number ``k``, its ``first`` place and its ``tokens``."""
+    lines = numbered_lines(docs, id_col, text_col).filter(_has_words(F.col("line")))
+    lines = lines.select(F.xxhash64("line").alias("r1"), F.xxhash64(F.lit("second"), "line").alias("r2"), F.struct("id", "t", "line_no", "line").alias("m"))
+    firsts = lines.groupBy("r1", "r2").agg(F.min("m").alias("m"))
+    return firsts.select(F.monotonically_increasing_id().alias("k"), F.struct("m.id", "m.t", "m.line_no").alias("first"), line_tokens(F.col("m.line")).alias("tokens"))
+
+
+def rarity(sets: DataFrame) -> bytes:
+    """For each slot of token hashes, how often the lines have the frequent token that falls there (in steps of a quarter of
+    a doubling); 0 in most slots, where only others fall."""
+    counts = sets.select(F.explode("tokens").alias("h")).groupBy("h").count()
+    out = bytearray(RARITY_SLOTS)
+    for h, n in counts.orderBy(F.desc("count"), "h").limit(FREQUENT).collect():  # at most FREQUENT rows
+        slot = max(0, (h & (RARITY_SLOTS - 1)) - 1)  # SQL counts from 1, and takes 0 as 1
+        out[slot] = max(out[slot], min(127, round(4 * math.log2(n))))
+    return bytes(out)
+
+
+def by_rarity(tokens: Column, slots: bytes) -> Column:
+    """A set's tokens as numbers, rarity above and hash below, so that their order is the common order of tokens."""
+
+    def number(h: Column) -> Column:
+        level = F.ascii(F.substring(F.lit(slots), h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"), F.lit(1)).cast("string"))
+        return F.call_function("shiftleft", level.cast("long"), F.lit(_HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - _HASH_BITS)))
+
+    return F.sort_array(F.transform(tokens, number))
+
+
+def prefix(numbers: Column) -> Column:
+    """The rarest tokens of a set, as many as the prefix filter needs, by 31 bits of their hashes: numbers that happen to
+    be equal may add candidates, never lose one."""
+    n = F.size(numbers)
+    first = F.slice(numbers, 1, n - F.ceil(n * TOP / BASE).cast("int") + COMMON)
+    return F.transform(first, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+
+
+def sketch(tokens: Column) -> Column:
+    """64 bits, each whether an odd number of tokens falls there: two sets differ in as many tokens at least as their sketches
+    in bits."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
+
+
+def described(sets: DataFrame) -> DataFrame:
+    """``k, first, n``, of sets of ``NEAR_WORDS`` and more ``prefix`` and ``sketch``, and signatures ``s``: two of the rarer half
+    of the tokens (which frequent words don't enter), of smaller sets one of all."""
+    ordered = sets.select("k", "first", "tokens", F.size("tokens").alias("n"), by_rarity(F.col("tokens"), rarity(sets)).alias("x"))
+    near = F.col("n") >= NEAR_WORDS
+    rare = F.sort_array(F.transform(F.slice("x", 1, F.ceil(F.col("n") / 2).cast("int") + 1), lambda v: v.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))))
+    signed = ordered.select("k", "first", "n", F.when(near, prefix(F.col("x"))).alias("prefix"), F.when(near, sketch(F.col("tokens"))).alias("sketch"), "tokens", F.when(near, rare).alias("rare"))
+    two = F.array(F.xxhash64(F.slice("rare", 1, 3)), F.xxhash64(F.slice("rare", -3, 3)))
+    return signed.select("k", "first", "n", "prefix", "sketch", F.when(near, two).otherwise(F.array(F.xxhash64("tokens"))).alias("s"))
+
+
+def _only(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose ``k`` may be in one of ``pairs``: a bit table of bounded size that saves the joins that follow most
+    of its rows while there are few enough, and nothing but time beyond."""
+    size = min(BLOOM_WORDS, 1 << max(6, pairs.count() // 2).bit_length())
+    bit = lambda c: F.xxhash64(c).bitwiseAND(F.lit(64 * size - 1))
+    word = lambda c: F.call_function("shiftright", c, F.lit(6)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("k")).select(bit(F.col("k")).alias("bit"))
+    bits = [0] * size
+    for i, w in keys.groupBy(word(F.col("bit")).alias("i")).agg(F.bit_or(one).alias("w")).collect():  # at most BLOOM_WORDS rows
+        bits[i] = w
+    known = F.from_json(F.lit("[" + ",".join(map(str, bits)) + "]"), "array<long>")
+    return table.filter(F.getbit(F.get(known, word(bit(F.col("k")))), bit(F.col("k")).bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of stored pairs ``a, b`` of set numbers, the later one of those that match: ``k``."""
+    some = _only(sets, pairs)
+    side = lambda x: some.select(F.col("k").alias(x), F.col("first").alias(f"{x}_first"), F.col("tokens").alias(f"{x}_tokens"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(F.col("a_first") != F.col("b_first"))
+    match = (BASE + TOP) * F.size(F.array_intersect("a_tokens", "b_tokens")) >= TOP * (F.size("a_tokens") + F.size("b_tokens"))
+    return both.filter(match).select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("k")).distinct()
+
+
+def later_sets(sets: DataFrame) -> DataFrame:
+    """``k`` of every set of the stored table that an earlier one matches, as a stored table."""
+    facts = cut(described(sets), "line-facts", "snappy")
+
+    # the first of those that share a signature
+    signed = facts.select("k", "first", F.explode("s").alias("s"))
+    leads = signed.groupBy("s").agg(F.min(F.struct("first", "k")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("s", F.col("m.k").alias("b"))
+    to_lead = cut(signed.select(F.col("k").alias("a"), "s").join(leads, "s").filter("a != b").select("a", "b").distinct(), "line-leaders")
+    settled = cut(_verified(to_lead, sets), "settled-lines")
+    drop(to_lead)
+
+    # the rest, by prefix tokens
+    marks = facts.filter(F.col("n") >= NEAR_WORDS).select("k", F.col("first.id").alias("id"), "n", "sketch", "prefix").join(settled.withColumn("done", F.lit(True)), "k", "left")
+    marks = cut(marks.withColumn("done", F.coalesce("done", F.lit(False))), "line-marks", "snappy")
+    drop(facts)
+    pairs = cut(_joined(marks).groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= COMMON), "line-pairs")
+    drop(marks)
+    if pairs.count() > sets.count() // FEW:  # else one step is cheaper than two
+        best = cut(pairs.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best-pairs")
+        first = cut(settled.union(_verified(best, sets)), "settled-lines")
+        rest = cut(pairs.join(best, ["a", "b"], "left_anti").join(first, F.col("a") == F.col("k"), "left_anti"), "line-pairs")
+        drop(pairs, best, settled)
+        settled, pairs = first, rest
+    out = cut(settled.union(_verified(pairs, sets)).distinct(), "later-sets")
+    drop(settled, pairs)
+    return out
+
+
+def _joined(marks: DataFrame) -> DataFrame:
+    """``a, b``, for each prefix token that they share at places that, with their sizes and sketches, leave room for enough
+    common tokens: a set that isn't settled, and one that isn't of a later document."""
+    post = lambda s: s.select("k", "id", "n", "sketch", F.posexplode("prefix").alias("p", "token"))
+    open_, done = post(marks.filter("not done")), post(marks.filter("done"))
+    a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("k", "id", "n", "p", "sketch")])
+    out = None
+    for right in (open_, done):
+        b = right.select("token", *[F.col(c).alias(f"b_{c}") for c in ("k", "id", "n", "p", "sketch")])
+        total = F.col("a_n") + F.col("b_n")
+        room = F.least(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p"))
+        # what stands from here on, with the tokens that may have been found before, must reach the overlap that is needed; the
+        # first COMMON common tokens of sets that match pass this
+        fits = ((BASE + TOP) * (room + COMMON - 1) >= TOP * total) & (BASE * F.col("a_n") >= TOP * F.col("b_n")) & (BASE * F.col("b_n") >= TOP * F.col("a_n"))
+        alike = (BASE + TOP) * F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= (BASE - TOP) * total
+        # of two sets of one document either may be the later; the pair is verified once for each
+        earlier = (F.col("a_k") != F.col("b_k")) & (F.col("b_id").isNull() | (F.col("b_id") <= F.col("a_id")))
+        found = a.join(b, (a["token"] == b["token"]) & earlier & alike & fits).select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every later matching line removed from the texts; all rows stay, with the columns that they had."""
-    gone = later_matches(docs, id_col, text_col).groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set("line_no").alias("_gone"))
-    gone = cut(gone, "gone-lines")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"]), "left")
-    kept = let(F.array_sort("_gone"), lambda g: F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains(g, i)))
-    out = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
+    sets = cut(line_sets(docs, id_col, text_col), "line-sets", "snappy")
+    later = later_sets(sets)
+    i, t, keep = (unused(docs.columns, x) for x in ("_id", "_t", "_keep"))
+    kept = sets.select("k", "first").join(later, "k", "left_anti").groupBy(F.col("first.id").alias(i), F.col("first.t").alias(t)).agg(F.collect_list("first.line_no").alias(keep))
+    kept = cut(kept, "kept-lines")
+    drop(sets, later)
+    joined = docs.join(kept, docs[id_col].eqNullSafe(kept[i]) & (F.xxhash64(docs[text_col]) == kept[t]), "left")
+    blank = lambda lines: F.filter(F.transform(lines, lambda x, j: F.when(~_has_words(x), j)), lambda x: x.isNotNull())
+    stays = lambda lines: F.array_sort(F.concat(F.coalesce(kept[keep], F.array().cast("array<int>")), blank(lines)))
+    rebuilt = let(F.split(docs[text_col], "\n"), lambda lines: let(stays(lines), lambda s: F.when(F.size(s) < F.size(lines), F.array_join(F.transform(s, lambda j: F.get(lines, j)), "\n"))))
+    out = F.coalesce(rebuilt, docs[text_col])
     return joined.select(*[out.alias(c) if c == text_col else docs[c] for c in docs.columns])

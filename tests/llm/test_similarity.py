@@ -121,7 +121,7 @@ def removed_lines(rows):
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         for k, line in enumerate((text or "").split("\n")):
             w = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line.lower()))
-            if len(w) < line_dedup.LEAST_WORDS:
+            if not w:
                 continue
             if any(5 * len(w & x) >= 4 * len(w | x) for x in seen):
                 out.add((i, k))
@@ -129,15 +129,15 @@ def removed_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("group", [8, 2])
-def test_lines_against_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(line_dedup, "GROUP", group)
+@pytest.mark.parametrize("frequent,few", [(0, 4), (16, 1 << 20), (1 << 17, 1 << 20)])
+def test_lines_against_brute_force(spark, monkeypatch, frequent, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
     lines = variants(80, 12, 1, 4) + variants(40, 30, 4, 5) + ["short line"] * 9 + ["The same line with enough words in it"] * 9
     r = random.Random(6)
     r.shuffle(lines)
     rows = [(k, "\n".join(lines[k * 6 : k * 6 + 6])) for k in range(len(lines) // 6)] + [(900, None), (901, ""), (902, "\n\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(x["id"], x["line_no"]) for x in line_dedup.later_matches(docs).collect()} == removed_lines(rows)
     out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs).collect()}
     gone = removed_lines(rows)
     for i, text in rows:
