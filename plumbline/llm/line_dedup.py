@@ -36,6 +36,7 @@ from plumbline.llm.quality_rules import let
 
 NEAR_WORDS = 4  # 4 words and 5 that contain them are alike by exactly 4 / 5; sets of 3 and fewer match equal sets only
 COMMON = 2  # prefixes are so long that sets that match share at least this many tokens of them
+ROUNDS = 2  # the join by prefix tokens runs in so many parts, one after the other, to hold less on disk at once
 FREQUENT, RARITY_SLOTS = 1 << 17, 1 << 20
 BLOOM_WORDS = 1 << 17
 FEW = 4  # one candidate pair to so many sets
@@ -74,12 +75,21 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def rarity(sets: DataFrame) -> bytes:
     """For each slot of token hashes, how often the lines have the frequent token that falls there (in steps of a quarter of
-    a doubling); 0 in most slots, where only others fall."""
-    counts = sets.select(F.explode("tokens").alias("h")).groupBy("h").count()
+    a doubling); 0 in most slots, where only others fall. At most ``FREQUENT`` tokens are frequent, those above some step."""
+    level = F.least(F.lit(127), F.round(4 * F.log2("count")).cast("int"))
+    counts = sets.select(F.explode("tokens").alias("h")).groupBy("h").count().filter("count >= 4")
+    counts = cut(counts.select(F.greatest(F.lit(1), F.col("h").bitwiseAND(F.lit(RARITY_SLOTS - 1))).alias("slot"), level.alias("level")), "token-levels")
+    room, least = FREQUENT, 128
+    for step, n in sorted(counts.groupBy("level").count().collect(), reverse=True):  # at most 128 rows
+        if n > room:
+            break
+        room, least = room - n, step
+    slots = counts.filter(F.col("level") >= least).groupBy("slot").agg(F.max("level").alias("level"))
+    listed = slots.agg(F.array_join(F.collect_list(F.concat_ws(":", "slot", "level")), ",")).first()[0]  # of at most FREQUENT
+    drop(counts)
     out = bytearray(RARITY_SLOTS)
-    for h, n in counts.orderBy(F.desc("count"), "h").limit(FREQUENT).collect():  # at most FREQUENT rows
-        slot = max(0, (h & (RARITY_SLOTS - 1)) - 1)  # SQL counts from 1, and takes 0 as 1
-        out[slot] = max(out[slot], min(127, round(4 * math.log2(n))))
+    for slot, step in (x.split(":") for x in listed.split(",") if x):
+        out[int(slot) - 1] = int(step)  # SQL counts from 1, and takes 0 as 1
     return bytes(out)
 
 
@@ -93,12 +103,20 @@ def by_rarity(tokens: Column, slots: bytes) -> Column:
     return F.sort_array(F.transform(tokens, number))
 
 
+def _alike() -> Column:
+    """Whether sizes and sketches of ``a`` and ``b`` leave open that they match."""
+    total = F.col("a_n") + F.col("b_n")
+    return (BASE + TOP) * F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= (BASE - TOP) * total
+
+
 def prefix(numbers: Column) -> Column:
     """The rarest tokens of a set, as many as the prefix filter needs, by 31 bits of their hashes: numbers that happen to
     be equal may add candidates, never lose one."""
-    n = F.size(numbers)
-    first = F.slice(numbers, 1, n - F.ceil(n * TOP / BASE).cast("int") + COMMON)
-    return F.transform(first, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+
+    def first(x: Column) -> Column:
+        return F.slice(x, 1, F.size(x) - F.ceil(F.size(x) * TOP / BASE).cast("int") + COMMON)
+
+    return F.transform(let(numbers, first), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
 
 
 def sketch(tokens: Column) -> Column:
@@ -109,14 +127,12 @@ def sketch(tokens: Column) -> Column:
 
 
 def described(sets: DataFrame) -> DataFrame:
-    """``k, first, n``, of sets of ``NEAR_WORDS`` and more ``prefix`` and ``sketch``, and signatures ``s``: two of the rarer half
-    of the tokens (which frequent words don't enter), of smaller sets one of all."""
-    ordered = sets.select("k", "first", "tokens", F.size("tokens").alias("n"), by_rarity(F.col("tokens"), rarity(sets)).alias("x"))
-    near = F.col("n") >= NEAR_WORDS
-    rare = F.sort_array(F.transform(F.slice("x", 1, F.ceil(F.col("n") / 2).cast("int") + 1), lambda v: v.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))))
-    signed = ordered.select("k", "first", "n", F.when(near, prefix(F.col("x"))).alias("prefix"), F.when(near, sketch(F.col("tokens"))).alias("sketch"), "tokens", F.when(near, rare).alias("rare"))
-    two = F.array(F.xxhash64(F.slice("rare", 1, 3)), F.xxhash64(F.slice("rare", -3, 3)))
-    return signed.select("k", "first", "n", "prefix", "sketch", F.when(near, two).otherwise(F.array(F.xxhash64("tokens"))).alias("s"))
+    """``k, first, n, sketch``, of sets of ``NEAR_WORDS`` and more the ``prefix``, and signatures ``s``: two of the ends of the
+    tokens, of smaller sets one of all."""
+    near = F.size("tokens") >= NEAR_WORDS
+    ordered = F.when(near, prefix(by_rarity(F.col("tokens"), rarity(sets))))
+    two = F.array(F.xxhash64(F.slice("tokens", 1, 3)), F.xxhash64(F.slice("tokens", -3, 3)))
+    return sets.select("k", "first", F.size("tokens").alias("n"), ordered.alias("prefix"), sketch(F.col("tokens")).alias("sketch"), F.when(near, two).otherwise(F.array(F.xxhash64("tokens"))).alias("s"))
 
 
 def _only(table: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -148,9 +164,11 @@ def later_sets(sets: DataFrame) -> DataFrame:
     facts = cut(described(sets), "line-facts", "snappy")
 
     # the first of those that share a signature
-    signed = facts.select("k", "first", F.explode("s").alias("s"))
-    leads = signed.groupBy("s").agg(F.min(F.struct("first", "k")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("s", F.col("m.k").alias("b"))
-    to_lead = cut(signed.select(F.col("k").alias("a"), "s").join(leads, "s").filter("a != b").select("a", "b").distinct(), "line-leaders")
+    signed = facts.select("k", "first", "n", "sketch", F.explode("s").alias("s"))
+    leads = signed.groupBy("s").agg(F.min(F.struct("first", "k", "n", "sketch")).alias("m"), F.count("*").alias("c")).filter("c > 1")
+    leads = leads.select("s", F.col("m.k").alias("b"), F.col("m.n").alias("b_n"), F.col("m.sketch").alias("b_sketch"))
+    to_lead = signed.select(F.col("k").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), "s").join(leads, "s")
+    to_lead = cut(to_lead.filter((F.col("a") != F.col("b")) & _alike()).select("a", "b").distinct(), "line-leaders")
     settled = cut(_verified(to_lead, sets), "settled-lines")
     drop(to_lead)
 
@@ -158,8 +176,13 @@ def later_sets(sets: DataFrame) -> DataFrame:
     marks = facts.filter(F.col("n") >= NEAR_WORDS).select("k", F.col("first.id").alias("id"), "n", "sketch", "prefix").join(settled.withColumn("done", F.lit(True)), "k", "left")
     marks = cut(marks.withColumn("done", F.coalesce("done", F.lit(False))), "line-marks", "snappy")
     drop(facts)
-    pairs = cut(_joined(marks).groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= COMMON), "line-pairs")
+    parts = [cut(_joined(marks, part), "line-pairs") for part in range(ROUNDS)]
     drop(marks)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    pairs = cut(found.groupBy("a", "b").agg(F.sum("c").alias("c")), "line-pairs")
+    drop(*parts)
     if pairs.count() > sets.count() // FEW:  # else one step is cheaper than two
         best = cut(pairs.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best-pairs")
         first = cut(settled.union(_verified(best, sets)), "settled-lines")
@@ -171,10 +194,10 @@ def later_sets(sets: DataFrame) -> DataFrame:
     return out
 
 
-def _joined(marks: DataFrame) -> DataFrame:
-    """``a, b``, for each prefix token that they share at places that, with their sizes and sketches, leave room for enough
-    common tokens: a set that isn't settled, and one that isn't of a later document."""
-    post = lambda s: s.select("k", "id", "n", "sketch", F.posexplode("prefix").alias("p", "token"))
+def _joined(marks: DataFrame, part: int) -> DataFrame:
+    """``a, b, c``: a set that isn't settled, one that isn't of a later document, and how many prefix tokens of this part they
+    share at places that, with their sizes and sketches, leave room for enough common tokens."""
+    post = lambda s: s.select("k", "id", "n", "sketch", F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(ROUNDS)) == part)
     open_, done = post(marks.filter("not done")), post(marks.filter("done"))
     a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("k", "id", "n", "p", "sketch")])
     out = None
@@ -185,12 +208,11 @@ def _joined(marks: DataFrame) -> DataFrame:
         # what stands from here on, with the tokens that may have been found before, must reach the overlap that is needed; the
         # first COMMON common tokens of sets that match pass this
         fits = ((BASE + TOP) * (room + COMMON - 1) >= TOP * total) & (BASE * F.col("a_n") >= TOP * F.col("b_n")) & (BASE * F.col("b_n") >= TOP * F.col("a_n"))
-        alike = (BASE + TOP) * F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= (BASE - TOP) * total
         # of two sets of one document either may be the later; the pair is verified once for each
         earlier = (F.col("a_k") != F.col("b_k")) & (F.col("b_id").isNull() | (F.col("b_id") <= F.col("a_id")))
-        found = a.join(b, (a["token"] == b["token"]) & earlier & alike & fits).select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
+        found = a.join(b, (a["token"] == b["token"]) & earlier & _alike() & fits).select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.groupBy("a", "b").agg(F.count("*").alias("c"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -131,6 +131,7 @@ def removed_lines(rows):
 
 @pytest.mark.parametrize("frequent,few", [(0, 4), (16, 1 << 20), (1 << 17, 1 << 20)])
 def test_lines_against_brute_force(spark, monkeypatch, frequent, few):
+    monkeypatch.setattr(line_dedup, "ROUNDS", 1 + few % 3)
     monkeypatch.setattr(line_dedup, "FEW", few)
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
     lines = variants(80, 12, 1, 4) + variants(40, 30, 4, 5) + ["short line"] * 9 + ["The same line with enough words in it"] * 9
