@@ -14,8 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII white space, as the contracts define words: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 
-#: With it Spark removes a query's shuffle files when the query ends, not when the driver next collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark removes a query's shuffle files when the query ends, not when the driver next collects garbage, and Python workers
+#: get batches of bounded bytes, whatever the rows hold.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,17 +42,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def cleaned(spark: SparkSession) -> Iterator[None]:
-    """Queries planned inside lose their shuffle files when they end."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def planned_with(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Queries planned inside have these settings; afterwards the session has its own again."""
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -55,7 +62,7 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     executor costs a reread and never a recomputation of what came before. Hashes gain nothing from a strong ``codec``."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    with cleaned(spark):
+    with planned_with(spark, WRITING):
         df.write.mode("error").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path

@@ -14,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, drop
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
     """``node, component``: for every node that has a link to another, the least node it is connected with. Null ends are
     ignored, as are links from a node to itself; repeated links count once."""
     now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-    now = cut(_contracted(cut(now.distinct(), "links")), "links")
+    every = cut(now.distinct(), "links")
+    now = cut(_contracted(every), "links")
+    drop(every)
     mark = _mark(now)
     for _ in range(most_rounds):
         if not mark[0]:
@@ -33,7 +35,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        now = cut(small, "links")
+        last, now = now, cut(small, "links")
+        drop(last)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.bloom import BlockedBloom
-from plumbline.llm.common import cut, slices
+from plumbline.llm.common import cut, drop, slices
 from plumbline.llm.components import components
 from plumbline.llm.shingles import least_difference, parity_sketch, set_identity, shingle_sets, signatures
 
@@ -44,6 +44,8 @@ POST = np.dtype([("token", "<u8"), ("key", "<i8"), ("least", "<u4"), ("most", "<
 #: Bounds of what is broadcast: shingles with a known rank, groups with a leader, shingles of all leaders.
 FREQUENT, FREQUENT_MIN, LEADERS, GROUP_MIN, LEADER_SHINGLES = 100_000, 24, 4_000, 12, 3_000_000
 BUCKET_POSTINGS = 250_000
+#: What a Python worker holds at most: postings before they are packed, identities of sets that it has met.
+HELD, SEEN = 250_000, 50_000
 
 
 def _u(x: int) -> np.uint64:
@@ -167,19 +169,20 @@ def jaccard_components(docs: DataFrame, share: tuple[int, int] = (80, 100), id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     facts = cut(describe_sets(rows), "sets")
     texts = facts.filter("kind = 0").select("doc_id", "n", "hi", "lo", "s1", "s2", "s3", "sketch")
-    found = _set_links(spark, rows, facts, texts, share)
+    found, tables = _set_links(spark, rows, facts, texts, share)
     # sets -> documents: the least id of each set stands for it
     sets = texts.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     named = found.join(sets.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("rep").alias("a")), ["a_hi", "a_lo"]).join(sets.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("rep").alias("b")), ["b_hi", "b_lo"])
     classes = components(named.select("a", "b"))
+    drop(*tables)
     own = sets.join(classes, sets["rep"] == classes["node"], "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.coalesce("component", "rep").alias("_component"))
     out = texts.join(own, (texts["hi"] == own["_hi"]) & (texts["lo"] == own["_lo"]), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("_component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links between different sets that connect all that are connected: ``a_hi, a_lo, b_hi, b_lo``."""
+def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: DataFrame, share: tuple[int, int]) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between different sets that connect all that are connected: ``a_hi, a_lo, b_hi, b_lo``; and the tables that it reads."""
     context = spark.sparkContext
     frequent = facts.filter("kind = 1").groupBy("lo").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_MIN)
     order = Order([(r[0], r[1]) for r in frequent.orderBy(F.desc("n"), "lo").limit(FREQUENT).collect()])
@@ -217,8 +220,10 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
     spread = cut(members.groupBy(F.col("l_lo").alias("lo")).agg(F.max("d").alias("d"), F.max("n").alias("n")), "spread")
 
     # Distances of the candidates, leader to leader; then of the members that these can't settle.
-    pairs = cut(_sketched(pairs, texts, spread, share), "likely")
-    checked = cut(_distances(rows, pairs, share), "distances")
+    likely = cut(_sketched(pairs, texts, spread, share), "likely")
+    drop(pairs)
+    checked = cut(_distances(rows, likely, share), "distances")
+    drop(likely)
     linked = checked.filter("linked").select("a_hi", "a_lo", "b_hi", "b_lo")
     stars = members.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("l_hi").alias("b_hi"), F.col("l_lo").alias("b_lo"))
     result = linked.unionByName(stars)
@@ -230,6 +235,7 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     open_ = far.filter(near(F.col("d") - zero("da") - zero("db"), F.greatest(zero("ma"), "na") + F.greatest(zero("mb"), "nb"))).select("a_lo", "b_lo", "d", "na", "nb")
     open_ = cut(open_.distinct(), "open")
+    tables = [first, spread, checked, open_]
     if not open_.isEmpty():
         each = members.select("l_lo", "lo", "n", "d").unionByName(members.select("l_lo", F.col("l_lo").alias("lo"), F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("d")).distinct())
         left = each.select(F.col("l_lo").alias("a_lo"), F.col("lo").alias("m"), F.col("n").alias("mn"), F.col("d").alias("md"))
@@ -238,9 +244,13 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
         both = some.join(right, "b_lo", "left").select("a", F.coalesce("m", "b_lo").alias("b"), "d", "an", F.coalesce("mn", "nb").alias("bn"), "ad", zero("md").alias("bd"))
         both = both.filter(near(F.col("d") - F.col("ad") - F.col("bd"), F.col("an") + F.col("bn")) & (F.col("ad") + F.col("bd") > 0))
         more = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = cut(_sketched(cut(more, "candidates"), texts, spread.limit(0), share), "likely")
-        result = result.unionByName(cut(_distances(rows, more, share), "distances").filter("linked").select("a_hi", "a_lo", "b_hi", "b_lo"))
-    return result
+        more = cut(more, "candidates")
+        likely = cut(_sketched(more, texts, spread.limit(0), share), "likely")
+        drop(more)
+        tables.append(cut(_distances(rows, likely, share), "distances"))
+        drop(likely)
+        result = result.unionByName(tables[-1].filter("linked").select("a_hi", "a_lo", "b_hi", "b_lo"))
+    return result, tables
 
 
 def _postings(rows: DataFrame, known, share: tuple[int, int], buckets: int) -> DataFrame:
@@ -275,7 +285,7 @@ def _postings(rows: DataFrame, known, share: tuple[int, int], buckets: int) -> D
                 who = set_identity(s)
                 if who in seen:
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(who)
                 key, best = who[1], None
@@ -297,7 +307,7 @@ def _postings(rows: DataFrame, known, share: tuple[int, int], buckets: int) -> D
                 size += len(post)
             if stars:
                 yield batch(1, dict(zip(("hi", "lo", "n", "l_hi", "l_lo", "d"), zip(*stars))), len(stars))
-            if size > 600_000:
+            if size > HELD:
                 yield packed(held)
                 held, size = [], 0
         if size:
@@ -363,7 +373,7 @@ def _sets_of(rows: DataFrame, bloom) -> DataFrame:
             at = []
             for k in np.flatnonzero(hit).tolist():
                 if who[k] not in seen:
-                    if len(seen) > 200_000:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(who[k])
                     at.append(k)
