@@ -8,8 +8,8 @@ prefix, its rarest shingles, goes into index lists by shingle; two sets that lin
 * Answers of alike sets are derived. A set that links to the *leader* of its group (a set that many others resemble) takes
   the leader's place in the lists; its distance to the leader is kept. What links to a member lies, by the triangle
   inequality of the set difference, within the leader's distance plus the member's, so the leader's computed distances
-  settle nearly all of the members' answers: either the leaders link and so all are connected, or no member can link, or only the
-  members near enough are compared on their own.
+  settle nearly all of the members' answers: either the leaders link or are connected otherwise, and so are all, or no member can
+  link, or only the members near enough are compared on their own.
 
 So a group of a million near copies costs a million comparisons with its leader, not their square, and no link is lost. Rarity
 is counted over all texts; only the order of the most frequent shingles is broadcast, in a table of bounded size (any
@@ -236,6 +236,13 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
     open_ = far.filter(near(F.col("d") - zero("da") - zero("db"), F.greatest(zero("ma"), "na") + F.greatest(zero("mb"), "nb"))).select("a_lo", "b_lo", "d", "na", "nb")
     open_ = cut(open_.distinct(), "open")
     tables = [first, spread, checked, open_]
+    if not open_.isEmpty():
+        # members of groups that are connected already have the same class: they need no answers of their own
+        known = components(result.select(F.col("a_lo").alias("a"), F.col("b_lo").alias("b")))
+        of = lambda x: known.select(F.col("node").alias(f"{x}_lo"), F.col("component").alias(f"{x}_class"))
+        classed = open_.join(of("a"), "a_lo", "left").join(of("b"), "b_lo", "left")
+        open_ = cut(classed.filter(F.coalesce("a_class", "a_lo") != F.coalesce("b_class", "b_lo")).select(*open_.columns), "open")
+        tables.append(open_)
     if not open_.isEmpty():
         each = members.select("l_lo", "lo", "n", "d").unionByName(members.select("l_lo", F.col("l_lo").alias("lo"), F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("d")).distinct())
         left = each.select(F.col("l_lo").alias("a_lo"), F.col("lo").alias("m"), F.col("n").alias("mn"), F.col("d").alias("md"))
