@@ -36,6 +36,11 @@ def suppress(boxes: Column, threshold: float) -> Column:
     return once(once(named, ranked), fold)
 
 
+def _named(items: Column) -> Column:
+    """Each item ``v`` with the canonical form ``c`` of its label: labels that differ in case, underscores or spaces, or are null and empty, are one class."""
+    return F.transform(items, lambda x: F.struct(canonical_label(x["label"]).alias("c"), x.alias("v")))
+
+
 def _fold(items: Column, targets: Column, choose) -> Column:
     """``tp, fp, fn`` of greedy matching: each item in turn takes the unmatched target that ``choose`` gives (or none)."""
     start = F.struct(F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.expr(_INTS).alias("used"))
@@ -56,21 +61,27 @@ def detection_counts(targets: Column, predictions: Column, threshold: float = 0.
     """Each prediction in turn takes the unmatched target of its class with the largest overlap of at least ``threshold``;
     among equal overlaps the one that comes last. Both arrays: ``label, box``."""
 
-    def choose(used: Column, p: Column) -> Column:
-        scored = F.transform(targets, lambda t, i: F.struct(F.when(t["label"] == p["label"], g.iou(p["box"], t["box"])).alias("v"), i.alias("i")))
-        return F.array_max(F.filter(scored, lambda s: (s["v"] >= threshold) & ~F.array_contains(used, s["i"])))["i"]
+    def fold(named: Column) -> Column:
+        def choose(used: Column, p: Column) -> Column:
+            scored = F.transform(named, lambda t, i: F.struct(F.when(t["c"] == p["c"], g.iou(p["v"]["box"], t["v"]["box"])).alias("v"), i.alias("i")))
+            return F.array_max(F.filter(scored, lambda s: (s["v"] >= threshold) & ~F.array_contains(used, s["i"])))["i"]
 
-    return _fold(predictions, targets, choose)
+        return _fold(_named(predictions), named, choose)
+
+    return once(_named(targets), fold)
 
 
 def pointing_counts(targets: Column, points: Column) -> Column:
     """Each point in turn takes the first unmatched target of its class that it lies in."""
 
-    def choose(used: Column, p: Column) -> Column:
-        at = F.transform(targets, lambda t, i: F.when((t["label"] == p["label"]) & g.inside(p["point"], t["box"]), i))
-        return F.get(F.filter(at, lambda i: i.isNotNull() & ~F.array_contains(used, i)), 0)
+    def fold(named: Column) -> Column:
+        def choose(used: Column, p: Column) -> Column:
+            at = F.transform(named, lambda t, i: F.when((t["c"] == p["c"]) & g.inside(p["v"]["point"], t["v"]["box"]), i))
+            return F.get(F.filter(at, lambda i: i.isNotNull() & ~F.array_contains(used, i)), 0)
+
+        return _fold(_named(points), named, choose)
 
-    return _fold(points, targets, choose)
+    return once(_named(targets), fold)
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, left_id: str, right_id: str) -> DataFrame:

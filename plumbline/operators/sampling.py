@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: More rows than this are numbered in blocks rather than by one window.
-NUMBER_BLOCKS = 64
-
-
-def numbered(rows: DataFrame, order: list[Column | str], out: str = "pos", blocks: int = NUMBER_BLOCKS) -> DataFrame:
-    """Add each row's place (from 0) in a total order without sending all rows to one task: rows are range-partitioned and
-    sorted, each partition's rows are counted, and its places start after those before it."""
-    ordered = rows.repartitionByRange(blocks, *order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*order)
-    local = ordered.withColumn("_k", F.row_number().over(w) - 1)
-    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_start"))
-    return local.join(F.broadcast(starts), "_part").withColumn(out, (F.col("_k") + F.col("_start")).cast("long")).drop("_part", "_k", "_start")
+from plumbline.sources.workspace import fresh_path
+
+
+def numbered(rows: DataFrame, order: list[Column | str], out: str = "pos") -> DataFrame:
+    """Add each row's place (from 0) in a total order without sending all rows to one task: rows are range-partitioned,
+    sorted and stored with their number in their partition, and a partition's places start after those before it.
+
+    They are stored because range bounds come from a sample: two plans of the same rows may have different bounds."""
+    spark = rows.sparkSession
+    own = [f"c{k}" for k in range(len(rows.columns))]  # further columns may have any names
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = ordered.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(rows.columns, own)], F.monotonically_increasing_id().alias("at"))
+    path = fresh_path(spark, "numbered")
+    stored.write.mode("error").parquet(path)
+    stored = spark.read.schema(stored.schema).parquet(path)
+    part, k = F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = stored.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row per partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = stored.withColumn("part", part).join(F.broadcast(counts.select("part", before.alias("start"))), "part")
+    return placed.select(*[F.col(o).alias(c) for c, o in zip(rows.columns, own)], (F.col("start") + k).cast("long").alias(out))
 
 
 def round_robin(pos: Column, shards: int, total: Column) -> Column:

@@ -203,17 +203,26 @@ def round_robin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARDS_SQL = "SELECT CAST((k - 1) % 7 AS INT) AS shard, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1"
 
 
+def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places with further columns kept."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return sampling.numbered(o, [F.desc("o_totalprice"), "o_orderkey"])
+
+
+POSITIONS_SQL = "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos FROM orders"
+
+
 def rank_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     total = o.count()
     pad = -total % 16
-    return sampling.rank_schedule(sampling.numbered(o, ["o_orderkey"]), "pos", total, pad, 16, start=3).select("o_orderkey", "rank", "step")
+    return sampling.rank_schedule(sampling.numbered(o, ["o_orderkey"]), "pos", total, pad, 16).select("o_orderkey", "rank", "step")
 
 
 SCHEDULE_SQL = """
 WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders),
 p AS (SELECT o_orderkey, k FROM o UNION ALL SELECT o_orderkey, k + n FROM o WHERE k < (16 - n % 16) % 16)
-SELECT o_orderkey, CAST(k % 16 AS INT) AS rank, k // 16 AS step FROM p WHERE k // 16 >= 3"""
+SELECT o_orderkey, CAST(k % 16 AS INT) AS rank, k // 16 AS step FROM p"""
 
 
 def next_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +233,7 @@ def next_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives per language, by a fold over each language's array of sizes."""
-    d = table(spark, sf_dir, "documents").filter("source in ('src1', 'src2', 'src3')")
+    d = table(spark, sf_dir, "documents")
     a = d.groupBy("source", "lang").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))).alias("rows"))
     packs = packing.next_fit_array(F.transform("rows", lambda r: r["n_chars"]), 15_000)
     each = a.select("source", "lang", F.explode(F.arrays_zip("rows", packs.alias("pack"))).alias("z"))
@@ -244,7 +253,7 @@ s AS (
 
 
 FIT_SQL = _fit_sql("source", "", 20_000, "SELECT g AS source, CAST(pack AS INT) AS pack, count(*) AS n, sum(n_chars)::BIGINT AS bytes, min(doc_id) AS first FROM s GROUP BY g, pack")
-ARCHIVE_SQL = _fit_sql("concat(source, '-', lang)", "WHERE source IN ('src1', 'src2', 'src3')", 15_000, "SELECT format('images-{}-part-{:05d}.tar', g, pack) AS archive, count(*) AS members, sum(n_chars)::BIGINT AS bytes FROM s GROUP BY g, pack")
+ARCHIVE_SQL = _fit_sql("concat(source, '-', lang)", "", 15_000, "SELECT format('images-{}-part-{:05d}.tar', g, pack) AS archive, count(*) AS members, sum(n_chars)::BIGINT AS bytes FROM s GROUP BY g, pack")
 
 
 def selection_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,9 +367,9 @@ SELECT conv_id, array_to_string(list_concat(list_transform(range(greatest(12 - l
 
 def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", "doc_id")
-    w = Window.partitionBy("source").orderBy("doc_id")
     files = sampling.offsets(d.groupBy("source").agg(F.count("*").alias("records")), order="source")
-    return d.withColumn("line", F.row_number().over(w)).join(F.broadcast(files), "source").select("doc_id", "source", F.col("line").cast("long").alias("line"), (F.col("start") + F.col("line") - 1).cast("long").alias("pos"))
+    placed = sampling.numbered(d, ["source", "doc_id"])
+    return placed.join(files, "source").select("doc_id", "source", (F.col("pos") - F.col("start") + 1).alias("line"), "pos")
 
 
 INDEX_SQL = "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line, row_number() OVER (ORDER BY source, doc_id) - 1 AS pos FROM documents"
@@ -427,7 +436,7 @@ QUERIES = {
         content_dedup, holdout_overlap_exact, holdout_overlap_contained, split_leakage, duplicate_keys, resume_anti_join, merge_coverage, ledger_check, multiset_difference, manifest_counters,
         loss_weights, weight_range_lookup, pad_and_steps, stress_argmax, hard_smoke_selection, stratified_monitor, round_robin_shards, rank_schedule, next_fit_shards, archive_plan,
         selection_digest, single_valued_contract, contract_difference, curve_truncate, keep_latest, sample_seed, lr_schedule, token_splice, soft_argmax_top5, merge_summary, padded_rows,
-        global_index, path_scopes, inventory_totals, paired_arms, recipe_order, stream_resume,
+        global_index, order_positions, path_scopes, inventory_totals, paired_arms, recipe_order, stream_resume,
     )
 }
 ORACLES = {
@@ -463,6 +472,7 @@ ORACLES = {
     "merge_summary": SUMMARY_SQL,
     "padded_rows": PADDED_SQL,
     "global_index": INDEX_SQL,
+    "order_positions": POSITIONS_SQL,
     "path_scopes": SCOPES_SQL,
     "inventory_totals": INVENTORY_SQL,
     "paired_arms": ARMS_SQL,

@@ -187,14 +187,14 @@ SELECT image_id, label AS class_name, concat('<ref>', label, '</ref>', string_ag
 def evaluation_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("sample_id"), F.lit(None).cast("string").alias("image_id"), F.concat(F.lit("images/"), F.col("doc_id").cast("string")).alias("image_path"),
-        F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit("..")).alias("query"), F.array(F.lit(1.0), F.lit(2.0), F.col("n_chars").cast("double"), F.lit(9.0)).alias("gt_hbox"),
+        F.concat(F.lit(" "), F.col("text"), F.lit("..")).alias("query"), F.array(F.lit(1.0), F.lit(2.0), F.col("n_chars").cast("double"), F.lit(9.0)).alias("gt_hbox"),
     )
     m = expand.grounding_manifest(d, "DOCS")
     return m.select("sample_key", "image_id", "image", "task", "point_prompt", F.get("classes", 0).alias("class"), F.get(F.get("gt", 0)["hbox"], 2).alias("x2"))
 
 
 MANIFEST_SQL = f"""
-WITH q AS (SELECT *, regexp_replace(trim(concat(' ', substr(text, 1, 20), '..'), ' '), '\\.+$', '') AS query FROM documents)
+WITH q AS (SELECT *, regexp_replace(regexp_replace(concat(' ', text, '..'), '^\\s+', ''), '\\.+$', '') AS query FROM documents)
 SELECT concat('DOCS:grounding:', doc_id) AS sample_key, CAST(doc_id AS VARCHAR) AS image_id, concat('images/', doc_id) AS image, 'grounding' AS task,
   concat('{t.SINGLE}', query, '.') AS point_prompt, query AS class, CAST(n_chars AS DOUBLE) AS x2 FROM q"""
 

@@ -44,10 +44,11 @@ p AS (
 
 
 def grouped(b: DataFrame, by: list[str]) -> DataFrame:
-    """Targets in order and predictions in falling ``k`` of each group, made by one aggregation."""
+    """Targets in order and predictions in falling ``k`` of each group, made by one aggregation. The predictions' labels are the
+    same classes in another spelling."""
     items = F.sort_array(F.collect_list(F.struct("k", "image_id", "label", "box")))
     dx, dy = lambda r: (r["k"] % 3).cast("double"), lambda r: (r["image_id"] % 4).cast("double")
-    moved = lambda r: F.struct(r["k"].alias("k"), r["label"].alias("label"), g.box(r["box"]["x1"] + dx(r), r["box"]["y1"] + dy(r), r["box"]["x2"] + dx(r), r["box"]["y2"] + dy(r)).alias("box"))
+    moved = lambda r: F.struct(r["k"].alias("k"), F.concat(F.lit("_"), F.lower(r["label"]), F.lit(" ")).alias("label"), g.box(r["box"]["x1"] + dx(r), r["box"]["y1"] + dy(r), r["box"]["x2"] + dx(r), r["box"]["y2"] + dy(r)).alias("box"))
     made = b.groupBy(*by).agg(items.alias("targets"))
     kept = F.filter("targets", lambda r: (r["image_id"] + r["k"]) % 5 != 0)
     return made.withColumn("predictions", F.reverse(F.transform(kept, moved)))

@@ -83,9 +83,9 @@ def test_prefix_free_arrays(spark):
     [
         ((450, 450, 550, 550), 1, "box", None),
         (None, 2, "None", "negative_address"),
-        ((100, 100, 900, 900), 2, "None", "target_not_contained"),
-        ((429, 450, 550, 550), 2, "None", "target_not_contained"),
-        ((430, 450, 550, 550), 2, "box", "target_touches_margin"),
+        ((100, 100, 900, 900), 2, "None", "target_not_fully_contained_in_fixed_144px_crop"),
+        ((429, 450, 550, 550), 2, "None", "target_not_fully_contained_in_fixed_144px_crop"),
+        ((430, 450, 550, 550), 2, "box", "complete_target_touches_local_fallback_margin"),
     ],
 )
 def test_expansion(spark, target, rows, answer, reason):
