@@ -6,8 +6,8 @@ normalised compressed sizes: the difference between both dictionaries by compres
 one, and how much smaller the whole text is than its pieces (repeated text); a logistic curve, fitted on labelled rows that
 the dictionaries have not seen, makes a calibrated score of them.
 
-Learning uses at most ``sample_rows`` labelled rows of each class and ``sample_chars`` of each text (documented bounds);
-scoring takes every whole text. Nulls and edge cases: a null or empty text scores as the logistic curve has it for zero
+Learning uses at most ``sample_rows`` labelled rows of each class (a documented bound), with their whole texts; scoring takes
+every whole text. Nulls and edge cases: a null or empty text scores as the logistic curve has it for zero
 sizes; null labels are not learned from; labels of unknown documents are ignored; repeated rows and further columns are
 harmless; an empty table gives an empty result, and without examples of both classes every score is the share of the good
 ones, 0.5 without any.
@@ -116,13 +116,14 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, sample_chars: int = 8192, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on the ``sample_rows`` rows of each class that come first in a hashed order, without the held-out ones."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """Fit on whole texts: of the ``sample_rows`` labelled rows of each class that come first in a hashed order, without the held-out
+    ones. Of documents that repeat an id at most ``4 * sample_rows`` rows count in all, the first by hash."""
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("q")).filter(F.col("id").isNotNull() & F.col("q").isin(0, 1) & ~held_out(F.col("id")))
     first = lambda q: usable.filter(F.col("q") == q).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     chosen = first(0).unionByName(first(1))  # at most 2 * sample_rows rows of two numbers
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col), 1, sample_chars).alias("t")).join(F.broadcast(chosen), "id")
-    rows = found.select("t", "q", (F.pmod(F.xxhash64(F.col("id"), F.lit("part")), F.lit(2)) == 0).alias("d"), "id").limit(4 * sample_rows).collect()
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
+    rows = found.select("t", "q", (F.pmod(F.xxhash64(F.col("id"), F.lit("part")), F.lit(2)) == 0).alias("d"), "id").orderBy(F.xxhash64("id", "t"), "id").limit(4 * sample_rows).collect()
     rows.sort(key=lambda r: (r["id"], r["t"] or ""))
     return fit([(r["t"], r["q"], r["d"]) for r in rows])
 
