@@ -181,7 +181,7 @@ def later_sets(sets: DataFrame) -> DataFrame:
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    pairs = cut(found.groupBy("a", "b").agg(F.sum("c").alias("c")), "line-pairs")
+    pairs = cut(found.groupBy("a", "b").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON), "line-pairs")
     drop(*parts)
     if pairs.count() > sets.count() // FEW:  # else one step is cheaper than two
         best = cut(pairs.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best-pairs")
