@@ -77,6 +77,11 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def besides(columns: Iterable[str], *outs: str) -> list[str]:
+    """The columns that stay beside new ones: a column with the name of a new one, in any case, is replaced by it."""
+    return [c for c in columns if c.lower() not in {o.lower() for o in outs}]
+
+
 def unused(columns: Iterable[str], name: str) -> str:
     """``name``, with so many underscores in front that none of ``columns`` has it, in any case."""
     taken = {c.lower() for c in columns}

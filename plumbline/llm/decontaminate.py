@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Recent, slices
 from plumbline.llm.shingles import mix
 
-WINDOW, LEAST, COVERAGE, RUN, DRIFT = 5, 4, 0.5, 13, 8
+WINDOW, LEAST, COVERAGE, RUN, DRIFT = 5, 3, 0.5, 13, 8
 BLOCK = 500_000
 
 # Units of measure that may follow a number.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import besides, slices
 
 PIECE = 2048
 LEVEL = 3
@@ -129,8 +129,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, id_col: s
 
 
 def with_score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
-    """Add ``out``, the calibrated score from 0 to 1, to the columns ``keep`` (all by default)."""
-    keep = docs.columns if keep is None else keep
+    """Add ``out``, the calibrated score from 0 to 1, to the columns ``keep`` (all by default); a column named so is
+    replaced."""
+    keep = besides(docs.columns if keep is None else keep, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(keep)], F.coalesce(docs[text_col], F.lit("")).alias("text"))
     schema = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)) + ", score double"

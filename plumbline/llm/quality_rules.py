@@ -28,7 +28,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
+    spaced = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":  # a search for a byte each, far cheaper than translating every character
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     return F.array_remove(F.split(spaced, " "), "")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import besides, slices
 
 # The base patterns, their least lengths, and the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -160,8 +160,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Add ``base`` and ``spans`` (arrays of ``kind, start, end``) to the columns ``keep`` (all by default)."""
-    keep = docs.columns if keep is None else keep
+    """Add ``base`` and ``spans`` (arrays of ``kind, start, end``) to the columns ``keep`` (all by default); columns with these names
+    are replaced."""
+    keep = besides(docs.columns if keep is None else keep, "base", "spans")
     rows = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(keep)], F.coalesce(docs[text_col], F.lit("")).alias("text"))
     span = "array<struct<kind:string,start:long,end:long>>"
     schema = ", ".join([*[f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)], f"base {span}", f"spans {span}"])

@@ -11,19 +11,21 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import besides, slices
 from plumbline.llm.wordbpe import worker_bpe
 
 
 def with_prefix_counts(docs: DataFrame, vocab_path: str, text_col: str = "text", out: str = "prefix_counts", keep: list[str] | None = None) -> DataFrame:
     """Add ``out``: binary, one little-endian unsigned 32-bit number per code point; number ``i`` is the exact token
-    count of the text's first ``i + 1`` code points. ``keep``: the columns to keep, all by default."""
-    keep = docs.columns if keep is None else keep
+    count of the text's first ``i + 1`` code points. ``keep``: the columns to keep, all by default; one
+    named ``out`` is replaced."""
+    keep = besides(docs.columns if keep is None else keep, out)
     rows = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(keep)], F.coalesce(docs[text_col], F.lit("")).alias("text"))
     schema = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)] + [T.StructField("counts", T.BinaryType())])
 
@@ -47,12 +49,15 @@ def count_at(counts: Column, chars: Column | int) -> Column:
     return F.when(n <= 0, F.lit(0)).otherwise(F.conv(big, 16, 10).cast("long")).cast("long")
 
 
-@F.udf(T.LongType())
-def _fit(counts, budget):
-    if counts is None or budget is None:
-        return None
-    within = np.flatnonzero(np.frombuffer(counts, "<u4") <= budget)
-    return int(within[-1]) + 1 if len(within) else 0
+@F.pandas_udf(T.LongType())
+def _fit(counts: pd.Series, budget: pd.Series) -> pd.Series:
+    def one(blob, most):
+        if blob is None or pd.isna(most):
+            return None
+        within = np.flatnonzero(np.frombuffer(blob, "<u4") <= most)
+        return int(within[-1]) + 1 if len(within) else 0
+
+    return pd.Series([one(*x) for x in zip(counts, budget)], dtype="Int64")
 
 
 def longest_prefix_within(counts: Column, budget: Column | int) -> Column:

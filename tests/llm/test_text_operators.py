@@ -10,7 +10,7 @@ import pytest
 from conftest import duck, same_rows
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, quality_model, quality_rules, queries, secret_scan, url_filter, warc
+from plumbline.llm import decontaminate, quality_model, quality_rules, queries, secret_scan, token_counts, url_filter, warc
 from plumbline.llm.bloom import BlockedBloom
 
 
@@ -227,3 +227,40 @@ def test_pipeline_stages(spark, sf_dir):
         assert after.columns == docs.columns
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and out.filter("length > 4096 or offset + length > 4096").count() == 0
+
+
+def test_output_names_that_the_input_has(spark):
+    rows = [(1, "password: hunter2hunter2", 7, "x", 0.5), (2, None, 8, "y", 0.25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base int, prefix_counts string, SCORE double")
+    found = secret_scan.scan(docs)
+    assert found.columns == ["doc_id", "text", "prefix_counts", "SCORE", "base", "spans"]
+    assert {r["doc_id"]: len(r["base"]) for r in found.collect()} == {1: 1, 2: 0}
+    counted = token_counts.with_prefix_counts(docs, queries.vocabulary())
+    assert counted.columns == ["doc_id", "text", "base", "SCORE", "prefix_counts"]
+    fits = counted.select("doc_id", token_counts.longest_prefix_within(F.col("prefix_counts"), 1).alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in fits}[2] == 0
+    model = quality_model.fit([])
+    scored = quality_model.with_score(docs, model)
+    assert scored.columns == ["doc_id", "text", "base", "prefix_counts", "score"] and scored.count() == 2
+
+
+def test_items_of_three_words(spark):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "They asked: Who wrote Hamlet and when"), (2, "Who wrote this play")], "doc_id long, text string")
+    found = {r["doc_id"]: len(r["matches"]) for r in decontaminate.find_items(docs, items).collect()}
+    assert found == {1: 1, 2: 0}
+
+
+def test_stages_with_nulls_and_clashing_names(spark, sf_dir):
+    import corpus_pipeline
+
+    ten = "one two three four five six seven eight nine ten"
+    rows = [(1, ten, "en", "s", 48, 1), (2, None, "en", "s", 0, 2), (None, ten + " eleven", "en", "s", 55, 3), (3, "", None, None, 0, 4), (4, ten, "en", "s", 48, 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, _keep int"
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(rows, schema)
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() <= len(rows)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    lines = {r["_keep"]: r["text"] for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, schema), sf_dir).collect()}
+    assert lines == {1: "", 2: None, 3: ten + " eleven", 4: "", 5: ""}
