@@ -132,7 +132,7 @@ def described(sets: DataFrame) -> DataFrame:
     near = F.size("tokens") >= NEAR_WORDS
     ordered = F.when(near, prefix(by_rarity(F.col("tokens"), rarity(sets))))
     two = F.array(F.xxhash64(F.slice("tokens", 1, 3)), F.xxhash64(F.slice("tokens", -3, 3)))
-    return sets.select("k", "first", F.size("tokens").alias("n"), ordered.alias("prefix"), sketch(F.col("tokens")).alias("sketch"), F.when(near, two).otherwise(F.array(F.xxhash64("tokens"))).alias("s"))
+    return sets.select("k", "first", F.size("tokens").alias("n"), ordered.alias("prefix"), sketch(F.col("tokens")).alias("sketch"), F.when(near, two).otherwise(F.array(F.xxhash64(F.lit("all"), F.col("tokens")))).alias("s"))
 
 
 def _only(table: DataFrame, pairs: DataFrame) -> DataFrame:
