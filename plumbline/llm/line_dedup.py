@@ -44,25 +44,22 @@ TOP, BASE = 4, 5  # the least similarity, 4 / 5
 _HASH_BITS = 55  # of a token's place in the order; above them is its rarity
 
 
-def _words(line: Column) -> Column:
-    spaced = F.lower(line)
-    for c in "\t\x0b\x0c\r":  # a search for a byte each, far cheaper than translating every character
-        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(spaced, " "), "")
-
-
 def line_tokens(line: Column) -> Column:
     """The hashes of a line's different words, in ascending order."""
-    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))))
+    rare = "\t\x0b\x0c\r"  # few lines have these, so the others aren't translated
+    spaced = F.lower(F.when(line.rlike(f"[{rare}]"), F.translate(line, rare, " " * len(rare))).otherwise(line))
+    hashes = F.transform(F.split(spaced, " "), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
 
 
 def _has_words(line: Column) -> Column:
-    return F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0
+    return F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, t, line_no, line``: ``t`` is a hash of the text, so that documents that repeat an id aren't mixed up."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    once = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.split(F.col(text_col), "\n").alias("lines"))  # before there are lines
+    return once.select("id", "t", F.posexplode("lines").alias("line_no", "line"))
 
 
 def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +95,8 @@ def by_rarity(tokens: Column, slots: bytes) -> Column:
 
     def number(h: Column) -> Column:
         level = F.ascii(F.substring(F.lit(slots), h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"), F.lit(1)).cast("string"))
-        return F.call_function("shiftleft", level.cast("long"), F.lit(_HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - _HASH_BITS)))
+        both = F.call_function("shiftleft", level.cast("long"), F.lit(_HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - _HASH_BITS)))
+        return F.coalesce(both, F.lit(0).cast("long"))  # never null: numbers that can't be are sorted without comparators
 
     return F.sort_array(F.transform(tokens, number))
 
