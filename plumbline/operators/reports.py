@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,3 +85,48 @@ def allowed(points: Column, classes: Column) -> Column:
 def ordered_distinct(listed: DataFrame, path: str, order: list[str]) -> DataFrame:
     """Each path once, at its first place over all groups."""
     return listed.groupBy(path).agg(F.min(F.struct(*order)).alias("_at")).select(path, "_at.*")
+
+
+# Fixed values of the record format: the image placeholder and the marks of boxes and references.
+IMAGE, BOX, REF = "<image>", "<box>", "<ref>"
+
+
+def placeholders(prompt: Column) -> Column:
+    """How many image placeholders a prompt has; a null prompt has none."""
+    p = F.coalesce(prompt, F.lit(""))
+    return ((F.length(p) - F.length(F.replace(p, F.lit(IMAGE), F.lit("")))) / len(IMAGE)).cast("long")
+
+
+def box_only(answer: Column) -> Column:
+    """Whether an answer begins with a box and refers to nothing; a null answer doesn't."""
+    return F.coalesce(F.startswith(answer, F.lit(BOX)) & ~F.contains(answer, F.lit(REF)), F.lit(False))
+
+
+def path_digest(path: Column) -> Column:
+    """The SHA-256 that names a content-addressed file, without its suffix; null if the name is no digest."""
+    found = F.regexp_extract(path, r"(?:^|/)([0-9a-f]{64})(?:\.[^./]*)?$", 1)
+    return F.when(found != "", found)
+
+
+def grid_rankings(rows: DataFrame, dimensions: dict[str, list[str]], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of every cell of a grid, with the cell's place in the fixed order of the dimensions' values; cells
+    without rows have none. The grid is as large as its lists and is broadcast."""
+    cells = [(k, *cell) for k, cell in enumerate(itertools.product(*dimensions.values()))]
+    grid = rows.sparkSession.createDataFrame(cells, ["cell", *dimensions])
+    ranked = rows.join(F.broadcast(grid), list(dimensions)).withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy(*order)))
+    return ranked.filter(F.col("place") <= n)
+
+
+def zipped(addresses: DataFrame, outputs: DataFrame, key: str, pos: str) -> DataFrame:
+    """Addresses with the output at the same place of the same key; ``paired`` is false where only one side has the place."""
+    a, b = addresses.withColumn("_a", F.lit(True)), outputs.withColumn("_b", F.lit(True))
+    return a.join(b, [key, pos], "full").withColumn("paired", F.col("_a").isNotNull() & F.col("_b").isNotNull()).drop("_a", "_b")
+
+
+def roll_up(summaries: dict[str, DataFrame], name: str = "benchmark") -> DataFrame:
+    """One table of the summaries of all benchmarks, each under its name; a metric that one lacks is null there."""
+    out = None
+    for k in sorted(summaries):
+        part = summaries[k].withColumn(name, F.lit(k))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

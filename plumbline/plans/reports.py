@@ -133,7 +133,67 @@ SELECT l_partkey, l_orderkey, l_linenumber FROM (
   SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1"""
 
 
-QUERIES = {f.__name__: f for f in (release_histograms, replay_shares, declared_counts, class_contract, rank_means, candidate_features, hard_candidates_fill, allowed_points, recipe_paths)}
+def prompt_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders and box-only answers of prompts and answers made from conversations."""
+    c = table(spark, sf_dir, "conversations")
+    prompt = F.concat(F.repeat(F.lit("<image>"), (F.col("conv_id") % 4).cast("int")), F.col("text"))
+    answer = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<box>"), F.col("text"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<box><ref>"), F.col("text"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", reports.placeholders(prompt).alias("images"), reports.box_only(answer).alias("box_only"))
+
+
+SHAPES_SQL = """
+SELECT conv_id, turn, CASE WHEN text IS NULL THEN 0 ELSE conv_id % 4 + (length(text) - length(replace(text, '<image>', ''))) // 7 END AS images,
+  coalesce(turn % 3 = 0 AND NOT contains(text, '<ref>') OR turn % 3 = 2 AND starts_with(text, '<box>') AND NOT contains(text, '<ref>'), false) AS box_only FROM conversations"""
+
+
+def addressed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests in names of files of three kinds: named by a digest, by one with more behind it, by none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat("h", F.lit(".png"))).when(F.col("doc_id") % 3 == 1, F.concat("h", F.lit("0.png"))).otherwise(F.concat(F.lit("x-"), "h"))
+    return d.select("doc_id", reports.path_digest(F.concat(F.lit("images/"), name)).alias("digest"))
+
+
+ADDRESSED_SQL = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(doc_id::VARCHAR) END AS digest FROM documents"
+
+
+def grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest orders of each status and priority, in the grid's order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    dimensions = {"o_orderstatus": ["O", "F", "P"], "o_orderpriority": ["5-LOW", "1-URGENT"]}
+    top = reports.grid_rankings(o, dimensions, [F.desc("o_totalprice"), F.asc("o_orderkey")], 5)
+    return top.select("cell", F.col("place").cast("long").alias("place"), "o_orderkey")
+
+
+GRID_SQL = """
+WITH g(cell, s, p) AS (VALUES (0::BIGINT, 'O', '5-LOW'), (1, 'O', '1-URGENT'), (2, 'F', '5-LOW'), (3, 'F', '1-URGENT'), (4, 'P', '5-LOW'), (5, 'P', '1-URGENT')),
+r AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey FROM orders JOIN g ON o_orderstatus = s AND o_orderpriority = p)
+SELECT cell, place, o_orderkey FROM r WHERE place <= 5"""
+
+
+def zipped_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses against outputs, of which every 11th order lacks the last line."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_partkey").alias("address"), F.col("l_suppkey").alias("output"))
+    one = reports.ordered_distinct(li, "key", ["pos", "address", "output"]).select("key", "pos", "address", "output")
+    outputs = one.filter("key % 11 <> 0").select("key", "pos", "output")
+    return reports.zipped(one.select("key", "pos", "address"), outputs, "key", "pos")
+
+
+ZIPPED_SQL = """
+WITH o AS (SELECT l_orderkey AS key, l_linenumber::BIGINT AS pos, l_partkey AS address, l_suppkey AS output,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem)
+SELECT key, pos, address, CASE WHEN key % 11 <> 0 THEN output END AS output, key % 11 <> 0 AS paired FROM o WHERE r = 1"""
+
+
+def benchmark_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return reports.roll_up({"lines": li.agg(F.count("*").alias("n"), F.max("l_linenumber").cast("long").alias("most")), "orders": o.agg(F.count("*").alias("n"))})
+
+
+ROLL_UP_SQL = """
+SELECT 'lines' AS benchmark, count(*) AS n, max(l_linenumber)::BIGINT AS most FROM lineitem UNION ALL SELECT 'orders', count(*), NULL FROM orders"""
+
+
+QUERIES = {f.__name__: f for f in (release_histograms, replay_shares, declared_counts, class_contract, rank_means, candidate_features, hard_candidates_fill, allowed_points, recipe_paths, prompt_shapes, addressed_paths, grid_order, zipped_outputs, benchmark_roll_up)}
 ORACLES = {
     "release_histograms": HISTOGRAMS_SQL,
     "replay_shares": SHARES_SQL,
@@ -144,4 +204,9 @@ ORACLES = {
     "hard_candidates_fill": FILL_SQL,
     "allowed_points": ALLOWED_SQL,
     "recipe_paths": PATHS_SQL,
+    "prompt_shapes": SHAPES_SQL,
+    "addressed_paths": ADDRESSED_SQL,
+    "grid_order": GRID_SQL,
+    "zipped_outputs": ZIPPED_SQL,
+    "benchmark_roll_up": ROLL_UP_SQL,
 }
