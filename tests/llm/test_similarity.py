@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard, line_dedup, queries
 from plumbline.llm.components import components
@@ -167,3 +168,14 @@ def test_short_lines(spark):
     ]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in out} == {1: rows[0][1], 2: "some rights reserved.\n", 3: "x y z\n \nx y z w", 4: "k l m n o\nk l m\nk k k k k k l", 5: "n m k p"}
+
+
+def test_line_tokens_split_at_all_white_space(spark):
+    lines = ["a b", "A\tb\x0bC\x0cd\r", "  x  x ", "\t\r", "", None, "ä Ö z", "b a a"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string")
+    h = {w: spark.sql("SELECT xxhash64(w) FROM VALUES (:w) AS t(w)", args={"w": w}).first()[0] for w in ("a", "b", "c", "d", "x", "ä ö", "z")}
+    found = [r[0] for r in rows.orderBy("k").select(line_dedup.line_tokens(F.col("line"))).collect()]
+    wanted = ["a b", "a b c d", "x", "", "", None, "ä ö z", "a b"]
+    assert found == [None if w is None else sorted(h[x] for x in w.split(" ") if x) for w in wanted]
+    words = [r[0] for r in rows.orderBy("k").select(line_dedup._has_words(F.col("line"))).collect()]
+    assert words == [True, True, True, False, False, None, True, True]
