@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, line_dedup, packing, quality_model, quality_rules, secret_scan, token_counts, url_filter, warc
+from plumbline.llm import bytebpe, clustering, decontaminate, hard_negatives, jaccard, line_dedup, packing, quality_model, quality_rules, secret_scan, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +132,72 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", shifted), anchors=F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND (a.label <> b.label OR a.vec_id <> b.vec_id)),
+p AS (
+  SELECT a, b AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.a, positive_id ORDER BY score DESC, b) AS INTEGER) AS rank,
+  b AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = clustering.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return clustering.with_inertia(assigned, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op12_sql(clusters: int = 16, rounds: int = 3, dimensions: int = 64, scale: int = 64) -> str:
+    """Each round as two common table expressions: the nearest centroid of every vector, and the floored means."""
+    steps = [f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {dimensions}),
+x AS MATERIALIZED (SELECT r, unnest(range({dimensions})) AS i, unnest(v) AS x FROM e),
+c0 AS MATERIALIZED (
+  SELECT k, unnest(range({dimensions})) AS i, unnest(v) AS c FROM (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v FROM e) WHERE k < {clusters})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, k, d FROM (SELECT r, k, sum((x - c) * (x - c)) AS d FROM x JOIN c{n} USING (i) GROUP BY r, k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+c{n + 1} AS MATERIALIZED (
+  SELECT c{n}.k, c{n}.i, coalesce(m.c, c{n}.c) AS c FROM c{n} LEFT JOIN (
+    SELECT k, i, CAST((s - (s % n + n) % n) // n AS BIGINT) AS c FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN x USING (r) GROUP BY k, i)) m
+  ON m.k = c{n}.k AND m.i = c{n}.i)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} a JOIN e USING (r) JOIN (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k) h ON h.k = a.k"""
+
+
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bytebpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=["doc_id"])
+    both = bytebpe.decode_ids(encoded, path)
+    listed = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -143,10 +209,15 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_hard_negative_mining": op11_hard_negative_mining,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_bpe_encoding": op13_bpe_encoding,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality_rules.REPORT_SQL,
     "op6_url_filters": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_hard_negative_mining": OP11_SQL,
+    "op12_centroid_clustering": _op12_sql(),
 }
