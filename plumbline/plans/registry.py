@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import boxes, corpus, reports, text
+from plumbline.plans import boxes, corpus, reports, text, verify
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**boxes.QUERIES, **text.QUERIES, **corpus.QUERIES, **reports.QUERIES}
-ORACLES: dict[str, str] = {**boxes.ORACLES, **text.ORACLES, **corpus.ORACLES, **reports.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**boxes.QUERIES, **text.QUERIES, **corpus.QUERIES, **reports.QUERIES, **verify.QUERIES}
+ORACLES: dict[str, str] = {**boxes.ORACLES, **text.ORACLES, **corpus.ORACLES, **reports.ORACLES, **verify.ORACLES}
