@@ -9,26 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, line_no, line``: every line of every file with its number from 1.
-
-    A file is read whole, since a line's number depends on all lines before it; shards are bounded by their writer."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
-    lines = whole.filter(F.length("value") > 0).select("path", F.posexplode(F.split("value", "\n")).alias("k", "line"))
-    return lines.select("path", (F.col("k") + 1).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+from plumbline.sources.ranges import SPLIT, numbered_lines
 
 
 def blank(line: Column) -> Column:
     return F.length(F.regexp_replace(line, r"(?U)\s+", "")) == 0
 
 
-def scan(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None, strict: bool = True) -> DataFrame:
+def scan(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None, strict: bool = True, split_bytes: int = SPLIT) -> DataFrame:
     """``path, line_no`` and the record, as ``record`` (variant, or a struct with ``schema``).
 
     Strict: a blank line, bad JSON or a line that is no object is an error with its place. Lenient: blank lines are skipped
     and keep their numbers; a bad line has a null record."""
-    lines = numbered_lines(spark, paths)
+    lines = numbered_lines(spark, paths, split_bytes)
     if not strict:
         lines = lines.filter(~blank(F.col("line")))
     parsed = lines.withColumn("v", F.try_parse_json("line"))
