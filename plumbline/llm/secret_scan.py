@@ -19,6 +19,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,10 @@ COMMON = (
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
-NEAR_ENDS = 96  # characters
 THRESHOLD = 8.0  # log10 guesses
+CHOICE = 0.3  # each further part costs the attacker a choice
+DATE_COST = math.log10(365 * 120)
+WALK_COST = math.log10(94 * 4)  # and the log of the length
 
 WORDS = "word_bpe_49k.json"  # the vocabulary whose words and word pieces follow the common ones, in its order
 LONGEST = 24  # characters of a word
@@ -77,55 +80,47 @@ def _char_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-def _ends(v: str, goes_on: Callable[[int], bool]) -> list[int]:
-    """For each character, the end of the run that it is in; ``goes_on``: whether a character continues the one before."""
-    out = [len(v)] * len(v)
-    for i in range(len(v) - 1, 0, -1):
-        out[i - 1] = out[i] if goes_on(i) else i
-    return out
+def _runs_of(v: str, goes_on: Callable[[int], bool]) -> list[tuple[int, int]]:
+    """For each character, where the run that it is in starts and ends; ``goes_on``: whether a character continues the one before."""
+    edges = [0, *(i for i in range(1, len(v)) if not goes_on(i)), len(v)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) for _ in range(b - a)]
 
 
 def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation of ``value``."""
+    """log10 of the guesses of the cheapest segmentation of ``value``: the minimum over all segmentations into all kinds of parts, in time
+    linear in the value's length.
+
+    A brute-force part may have any length, so its cost so far is carried along. Repeats and walks may end anywhere in their run, but need to be
+    tried only from the run's first ``LONGEST + 1`` places: a part from further left ends there at the latest (words are that long at most, and a
+    brute-force part is dearer than to begin the run), and a single part over the rest of a run is never dearer than several."""
     v = value
     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)  # as long as the value
     plain = low.translate(LEET)
-    same, walk = _ends(v, lambda i: low[i] == low[i - 1]), _ends(v, lambda i: low[i - 1 : i + 1] in WALKS)
+    same, walk = _runs_of(v, lambda i: low[i] == low[i - 1]), _runs_of(v, lambda i: low[i - 1 : i + 1] in WALKS)
     n, ranks = len(v), word_ranks()
-    best = [0.0] + [math.inf] * n
-    dates = {}
-    for i in range(n):
-        for m in [DATE.match(v, i)]:
-            if m:
-                dates[i] = m.end()
+    best = np.full(n + 1, math.inf)
+    best[0] = 0.0
+    logs = np.log10(np.arange(1, n + 1)) if n else best
+    brute = math.inf  # the cheapest segmentation so far whose last part is brute force and goes on
     for i in range(n):
-        here = best[i] + (0.3 if i else 0.0)  # each further part costs the attacker a choice
-
-        def offer(j: int, cost: float) -> None:
-            if here + cost < best[j]:
-                best[j] = here + cost
-
-        # brute force, character by character: the part's first pays for the choice, its next ones don't
-        total = 0.0
-        for j in range(i + 1, min(n, i + 24) + 1):
-            total += _char_cost(v[j - 1]) + (0.25 if v[j - 1].isupper() and j > 1 else 0.0)
-            offer(j, total)
+        here = float(best[i]) + (CHOICE if i else 0.0)
+        each = _char_cost(v[i]) + (0.25 if v[i].isupper() and i else 0.0)
+        brute = min(here, brute) + each
+        best[i + 1] = min(best[i + 1], brute)
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             rank = ranks.get(low[i:j])
             other = ranks.get(plain[i:j]) if rank is None else None
             if rank or other:
                 upper = 0.3 if v[i:j] != low[i:j] else 0.0
-                offer(j, math.log10((rank or other) * 10) + upper + (0.5 if other else 0.0))
-        if i in dates:
-            offer(dates[i], math.log10(365 * 120))
-        # repeats and walks of any length: ends near the start and near the end of the run
-        for j in {*range(i + 3, min(same[i], i + NEAR_ENDS) + 1), *range(max(i, same[i] - LONGEST), same[i] + 1)}:
-            if j - i >= 3:
-                offer(j, _char_cost(v[i]) + math.log10(j - i))
-        for j in {*range(i + 3, min(walk[i], i + NEAR_ENDS) + 1), *range(max(i, walk[i] - LONGEST), walk[i] + 1)}:
-            if j - i >= 3:
-                offer(j, math.log10(94 * (j - i) * 4))
-    return best[n]
+                best[j] = min(best[j], here + math.log10((rank or other) * 10) + upper + (0.5 if other else 0.0))
+        if v[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if DATE.fullmatch(v, i, j):
+                    best[j] = min(best[j], here + DATE_COST)
+        for (start, end), cost in ((same[i], _char_cost(v[i])), (walk[i], WALK_COST)):
+            if end - i >= 3 and i - start <= LONGEST:
+                best[i + 3 : end + 1] = np.minimum(best[i + 3 : end + 1], here + cost + logs[2 : end - i])
+    return float(best[n])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
