@@ -381,7 +381,7 @@ ID = "urn:page:"
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000) -> DataFrame:
     """A record per page. Of equal payloads of ``least_bytes`` or more, the page with the largest id is the response and
-    the others revisit it; equal ids there are all responses."""
+    the others revisit it; equal ids there are all responses, and so are pages without an id, which read back without one."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
     keyed = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
@@ -389,8 +389,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     # written down first: if it is small, its size is then known and the payloads needn't be shuffled
     first = cut(first.select(F.col("payload_digest").alias("d"), "first"), "payloads")
     joined = keyed.join(first, keyed["payload_digest"] == first["d"], "left")
-    revisit = F.col("first").isNotNull() & (F.col("id") < F.col("first")) & (F.col("payload_bytes") >= least_bytes)
-    uid = lambda c: F.concat(F.lit(f"<{ID}"), c.cast("string"), F.lit(">"))
+    revisit = F.coalesce((F.col("id") < F.col("first")) & (F.col("payload_bytes") >= least_bytes), F.lit(False))
+    uid = lambda c: F.concat(F.lit(f"<{ID}"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     return joined.select(
         uid(F.col("id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit("1970-01-01T00:00:00Z").alias("date"),
         F.when(revisit, uid(F.col("first"))).alias("refers_to"), "payload_digest", "payload_bytes", F.lit(None).cast("string").alias("content_type"),
