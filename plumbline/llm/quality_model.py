@@ -112,8 +112,8 @@ def scores(model: QualityModel, texts: list[bytes], sizes: Sizes) -> np.ndarray:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows whose labels must not be learned from."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+    """Rows whose labels must not be learned from; a row without an id has no label and is not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
