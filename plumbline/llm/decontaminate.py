@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Recent, slices
+from plumbline.llm.common import Recent, besides, slices, unused
 from plumbline.llm.shingles import mix
 
 WINDOW, LEAST, COVERAGE, RUN, DRIFT = 5, 3, 0.5, 13, 8
@@ -331,10 +331,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fresh, _KIND)], names=batch.schema.names)
 
         found = found.mapInArrow(run, schema)
-    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names) if c != out], F.col("matches").alias(out))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names) if c in besides(keep, out)], F.col("matches").alias(out))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows in which no benchmark item is found, with the columns that they had."""
-    found = find_items(docs, benchmark, text_col, out="_matches")
-    return found.filter(F.size("_matches") == 0).select(*docs.columns)
+    out = unused(docs.columns, "matches")
+    return find_items(docs, benchmark, text_col, out=out).filter(F.size(out) == 0).select(*docs.columns)
