@@ -181,8 +181,11 @@ def _before(group: str, order: str):
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut what is longer than ``capacity``, and pack: a row per piece with its sequence and its place there."""
-    return pack(cut(token_pieces(docs, vocab_path, end_id, capacity, id_col, text_col), "pieces"), capacity)
+    """Tokenise, cut what is longer than ``capacity``, and pack: a row per piece with its sequence and its place there; further columns are dropped.
+
+    Pieces are stored with a number of their own, so that repeated rows are dealt to different salts too."""
+    pieces = token_pieces(docs, vocab_path, end_id, capacity, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
+    return pack(cut(pieces, "pieces"), capacity, order_cols=("doc_id", "piece", "_row")).drop("_row")
 
 
 def pack_one_by_one(lengths: list[int], capacity: int) -> int:
