@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -137,6 +138,41 @@ def test_guess_costs_of_long_values():
     assert cost("*" * 150 + "kV9#tq7Lm") > secret_scan.THRESHOLD
 
 
+def cheapest(v: str) -> float:
+    """The cost of the cheapest segmentation, by trying every segmentation."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
+    plain, ranks = low.translate(secret_scan.LEET), secret_scan.word_ranks()
+
+    def part(i, j):
+        w, n = low[i:j], j - i
+        costs = [sum(secret_scan._char_cost(c) + (0.25 if c.isupper() and k else 0) for k, c in enumerate(v[i:j], i))]
+        rank, other = ranks.get(w), ranks.get(plain[i:j])
+        if 3 <= n <= secret_scan.LONGEST and (rank or other):
+            costs.append(np.log10((rank or other) * 10) + (0.3 if v[i:j] != w else 0) + (0 if rank else 0.5))
+        if secret_scan.DATE.fullmatch(v[i:j]):
+            costs.append(np.log10(365 * 120))
+        if n >= 3 and len(set(w)) == 1:
+            costs.append(secret_scan._char_cost(v[i]) + np.log10(n))
+        if n >= 3 and all(w[k : k + 2] in secret_scan.WALKS for k in range(n - 1)):
+            costs.append(np.log10(94 * n * 4))
+        return min(costs)
+
+    best = [0.0]
+    for j in range(1, len(v) + 1):
+        best.append(min(best[i] + (0.3 if i else 0) + part(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_costs_are_the_minimum_over_all_segmentations():
+    assert secret_scan.all_spans("pwd: 19122019")[1] == secret_scan.all_spans("pwd: 1903192019")[1] == []
+    rng = random.Random(11)
+    bits = ["pass", "word", "19", "20", "12", "03", "2019", "1903", "aaa", "111", "qwe", "rty", "123", "xK", "#", "dragon", "p4ss", "Z", "-", "987", "s"]
+    values = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(1500)] + ["".join(rng.choice("12a9sS0q") for _ in range(12)) for _ in range(800)]
+    values += ["x" * 40 + "yZ1", "pas" + "s" * 60 + "word", "kV9#tq7Lm" * 6, "qwertyuiop" * 5 + "0987654321" * 5, "aB" * 40, "ma" + "m" * 70 + "mma"]
+    for v in values:
+        assert abs(secret_scan.guess_cost(v) - cheapest(v)) < 1e-9, v
+
+
 def test_values_of_letters_alone():
     for t in ("pwd: xqzvkwpjhtrmd", "password: xqzvkwpjht", "passphrase: XqzVkwpJhtrmd"):
         assert [s[0] for s in secret_scan.all_spans(t)[1]] == ["guess"]
@@ -151,6 +187,24 @@ def test_secrets_edge_cases(spark):
     assert secret_scan.scan(docs.limit(0), keep=["text"]).count() == 0
 
 
+def test_names_that_the_operators_use_inside(spark):
+    bench = spark.createDataFrame([(1, "some question with enough words to matter here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "nothing of it", 5, 6, 7), (2, "yes: some question with enough words to matter here", 5, 6, 7)], "doc_id long, text string, _matches int, Matches int, __MATCHES int")
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "nothing of it", 5, 6, 7)]
+    found = decontaminate.find_items(docs, bench)
+    assert found.columns == ["doc_id", "text", "_matches", "__MATCHES", "matches"] and sorted(len(r["matches"]) for r in found.collect()) == [0, 1]
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "good text " * 30), (1, None)], "doc_id long, text string")
+    assert [r[0] for r in docs.orderBy("doc_id").select(quality_model.held_out(F.col("doc_id"))).collect()][0] is False
+    big = "<p>" + "x" * 2000
+    pages = spark.createDataFrame([(None, "http://a/1", big), (None, None, None), (1, "http://a/2", big), (2, "http://a/3", big)], "page_id long, url string, html string")
+    read = warc.read_archives(spark, warc.write_pages(pages)).select(warc.page_id(F.col("record_id")).alias("id"), "record_type", F.octet_length("payload").alias("n"), warc.page_id(F.col("refers_to")).alias("to"))
+    assert sorted(map(tuple, read.collect()), key=str) == sorted([(None, "response", len(big), None), (None, "response", 0, None), (1, "revisit", None, 2), (2, "response", len(big), None)], key=str)
+
+
 def test_bloom_has_no_false_negatives():
     r = np.random.default_rng(0)
     keys, others = r.integers(0, 1 << 63, 5000, dtype=np.uint64), r.integers(0, 1 << 63, 5000, dtype=np.uint64)

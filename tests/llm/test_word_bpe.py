@@ -87,6 +87,15 @@ def test_pieces_and_packing(spark, sf_dir, bpe):
     assert packing.pack(pieces.limit(0), 512).count() == 0
 
 
+def test_repeated_rows_are_packed_each(spark, monkeypatch):
+    rows = [(7, "the same words again and again")] * 3000 + [(None, None)] * 500
+    monkeypatch.setattr(packing.pack, "__defaults__", (4096, "length", ("doc_id", "piece"), 200))
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.vocabulary(), 64).toPandas()
+    assert len(out) == 3500 and not out.duplicated(["sequence_id", "offset"]).any()
+    ends = (out.offset + out.length).groupby(out.sequence_id).max()
+    assert (ends <= 64).all() and ends.sum() == out.length.sum()
+
+
 def test_plan_is_that_of_single_pieces():
     from collections import Counter
 
