@@ -1,52 +1,94 @@
-"""Tar archives: a member scan, and a writer with nothing of the machine in it."""
+"""Tar archives as streams: an index of members by hopping from header to header, payloads read by member ranges, and checks."""
 
 from __future__ import annotations
 
-import io
+import hashlib
 import tarfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.ranges import MOST_TASKS, files
+from plumbline.sources.store import CHUNK, open_store
 
-def members(spark: SparkSession, paths: str, payload: bool = True) -> DataFrame:
-    """``archive, path, bytes, sha256, content`` of the regular members of archives; members that lead out of the target
-    folder are an error. Archives are bounded by their plan, so one fits a task."""
-    import hashlib
+#: Bytes of payload that a task reads, about; a member is never divided.
+SPLIT = 64 << 20
+#: A cell of a row holds less than 2 GB; larger payloads are hashed, but not returned.
+MOST_CONTENT = (1 << 31) - 4096
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for archive, content in zip(frame["path"], frame["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
+def member_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``archive, path, at, bytes``: the regular members of archives and where their payloads begin.
+
+    Only headers are read: the reader seeks over payloads, so an archive of any size costs its number of members. A member
+    that leads out of the folder it is unpacked to is an error."""
+    found = files(spark, paths).select("path")
+    n = found.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive in batch.column("path").to_pylist():
+                store, at = open_store(archive)
+                names, places, sizes = [], [], []
+                with store.open_input_file(at) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+                    while (m := tar.next()) is not None:
+                        tar.members = []  # else the whole index stays in memory
                         if not m.isfile():
                             continue
                         if m.name.startswith("/") or ".." in m.name.split("/"):
                             raise ValueError(f"unsafe member {m.name!r} in {archive}")
-                        raw = tar.extractfile(m).read()
-                        yield pd.DataFrame({"archive": [archive], "path": [m.name], "bytes": [m.size], "sha256": [hashlib.sha256(raw).hexdigest()], "content": [raw if payload else None]})
+                        names.append(m.name)
+                        places.append(m.offset_data)
+                        sizes.append(m.size)
+                        if len(names) == 20_000:
+                            yield _index(archive, names, places, sizes)
+                            names, places, sizes = [], [], []
+                yield _index(archive, names, places, sizes)
+
+    return found.repartition(max(1, min(n, MOST_TASKS)), "path").mapInArrow(run, "archive string, path string, at long, bytes long")
+
+
+def _index(archive: str, names: list, places: list, sizes: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([archive] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], names=["archive", "path", "at", "bytes"])
 
-    return files.mapInPandas(run, "archive string, path string, bytes long, sha256 string, content binary")
 
+def members(spark: SparkSession, paths: str | list[str], payload: bool = True, split_bytes: int = SPLIT) -> DataFrame:
+    """``archive, path, bytes, sha256, content`` of the regular members of archives.
 
-def build(rows: DataFrame) -> DataFrame:
-    """``archive, content, members, bytes`` from rows ``archive, path, content``: members in order of their paths, owner and
-    times zeroed, so equal rows give equal bytes. An archive's rows are grouped; the plan bounds them."""
+    Members are dealt to tasks by where they stand, about ``split_bytes`` of an archive a task, and read in place, in chunks. ``content`` is null without
+    ``payload``, and for members that no cell can hold."""
+    index = member_index(spark, paths)
+    part = F.floor(F.col("at") / split_bytes)
+    total = files(spark, paths).agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    dealt = index.withColumn("part", part).repartition(int(max(1, min(total, MOST_TASKS))), "archive", "part").sortWithinPartitions("archive", "at")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for _, r in frame.sort_values("path").iterrows():
-                info = tarfile.TarInfo(r["path"])
-                info.size, info.mode, info.mtime, info.uid, info.gid = len(r["content"]), 0o644, 0, 0, 0
-                tar.addfile(info, io.BytesIO(r["content"]))
-        return pd.DataFrame({"archive": [frame["archive"].iloc[0]], "content": [out.getvalue()], "members": [len(frame)], "bytes": [int(frame["content"].map(len).sum())]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file = None, None
+        for batch in batches:
+            for archive, path, at, size in zip(*(batch.column(c).to_pylist() for c in ("archive", "path", "at", "bytes"))):
+                if archive != name:
+                    if file is not None:
+                        file.close()
+                    store, place = open_store(archive)
+                    name, file = archive, store.open_input_file(place)
+                file.seek(at)
+                digest, kept, left = hashlib.sha256(), [] if payload and size <= MOST_CONTENT else None, size
+                while left:
+                    data = file.read(min(CHUNK, left))
+                    if not data:
+                        raise ValueError(f"{archive} ends within {path!r}")
+                    digest.update(data)
+                    left -= len(data)
+                    if kept is not None:
+                        kept.append(data)
+                content = pa.array([None if kept is None else b"".join(kept)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([path]), pa.array([size], pa.int64()), pa.array([digest.hexdigest()]), content], names=["archive", "path", "bytes", "sha256", "content"])
+        if file is not None:
+            file.close()
 
-    return rows.select("archive", "path", "content").groupBy("archive").applyInPandas(run, "archive string, content binary, members long, bytes long")
+    return dealt.mapInArrow(run, "archive string, path string, bytes long, sha256 string, content binary")
 
 
 def check_members(inventory: DataFrame, found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import integrity, packing, sampling
-from plumbline.sources import archives, jsonl, sinks
+from plumbline.sources import jsonl, sinks
 from plumbline.streaming import resume
 
 
@@ -48,17 +48,6 @@ def test_image_size(spark):
     assert tuple(row[0]["s"]) == (640, 480)
 
 
-def test_tar_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([("x.tar", "b", bytearray(b"22")), ("x.tar", "a", bytearray(b"1"))], "archive string, path string, content binary")
-    one, two = archives.build(rows).first(), archives.build(rows.orderBy("path")).first()
-    assert one["content"] == two["content"] and one["members"] == 2
-    (tmp_path / "x.tar").write_bytes(one["content"])
-    found = archives.members(spark, str(tmp_path / "x.tar"))
-    assert sorted((r["path"], bytes(r["content"])) for r in found.collect()) == [("a", b"1"), ("b", b"22")]
-    inventory = found.select("path", "bytes", "sha256").filter("path = 'a'")
-    assert [tuple(r) for r in archives.check_members(inventory, found).collect()] == [("b", "extra")]
-
-
 def test_shards(spark, tmp_path):
     rows = spark.createDataFrame([("train", k, "x" * (k % 5) + "é") for k in range(40)], "split string, k int, t string")
     out = sinks.with_shards(rows, ["split"], ["k"], 200).orderBy("k").collect()
