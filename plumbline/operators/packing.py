@@ -1,15 +1,11 @@
 """Next-fit packing in a declared order: a new pack starts where the next item would exceed the target.
 
-Next fit is sequential by definition. For groups of a few thousand items a fold over an array does; for whole corpora the
-rows of a group stream through one task in order, with nothing but the running sum in memory.
+``next_fit_array`` folds over one array, for groups that a row may hold; for groups of any size there is ``ordered.next_fit``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -23,25 +19,3 @@ def next_fit_array(sizes: Column, target: int) -> Column:
         return F.struct(pack.alias("pack"), (F.when(new, F.lit(0)).otherwise(a["held"]) + size).cast("long").alias("held"), F.concat(a["out"], F.array(pack)).alias("out"))
 
     return F.aggregate(sizes, start, step, lambda a: a["out"])
-
-
-def next_fit(rows: DataFrame, group: str, order: list[str], size: str, target: int, count_items: bool = False, out: str = "pack") -> DataFrame:
-    """Add each row's pack number. ``count_items``: a pack that holds items of size 0 counts as begun."""
-    dealt = rows.repartition(group).sortWithinPartitions(group, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` int"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, pack, held, items = object(), 0, 0, 0
-        for frame in frames:
-            packs = []
-            for g, n in zip(frame[group], frame[size]):
-                if g != now and not (pd.isna(g) and now is None):
-                    now, pack, held, items = None if pd.isna(g) else g, 0, 0, 0
-                if (items if count_items else held) > 0 and held + n > target:
-                    pack, held, items = pack + 1, 0, 0
-                held, items = held + n, items + 1
-                packs.append(pack)
-            frame[out] = packs
-            yield frame
-
-    return dealt.mapInPandas(run, schema)

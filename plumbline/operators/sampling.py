@@ -84,12 +84,6 @@ def offsets(files: DataFrame, size: str = "records", order: str = "path") -> Dat
     return files.withColumn("end", upto.cast("long")).withColumn("start", (F.col("end") - F.col(size)).cast("long"))
 
 
-def range_lookup(places: DataFrame, ranges: DataFrame, pos: str = "pos") -> DataFrame:
-    """Each place with the file whose range has it. Ranges are a row per file; few enough of them are broadcast by
-    Spark's own size check."""
-    return places.join(ranges, (F.col(pos) >= F.col("start")) & (F.col(pos) < F.col("end")), "left")
-
-
 def argmax_per_reason(rows: DataFrame, shard: str, line: str, scores: dict[str, Column], payload: list[str]) -> DataFrame:
     """For every shard and reason the row with the largest score, the earliest on ties; then a row per place with its
     sorted reasons. A null score doesn't compete."""

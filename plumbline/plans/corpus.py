@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as n
 from plumbline.functions import text as t
-from plumbline.operators import integrity, metrics, packing, sampling
+from plumbline.operators import integrity, metrics, ordered, sampling
 from plumbline.plans.views import table
 from plumbline.sources import sinks
 from plumbline.sources.workspace import fresh_path
@@ -129,7 +129,7 @@ SELECT lang, flat, queries, round((queries / sum(queries) OVER ()) / (flat / sum
 def weight_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = sampling.offsets(_signature(spark, sf_dir).select("path", "records"))
     places = table(spark, sf_dir, "documents").select((F.col("doc_id") * 3 + 1).alias("pos"))
-    return sampling.range_lookup(places, ranges).select("pos", "path")
+    return ordered.range_lookup(places, ranges).select("pos", "path")
 
 
 RANGE_SQL = f"""
@@ -137,6 +137,24 @@ WITH {_SIG_SQL}, r AS (SELECT path, sum(records) OVER (ORDER BY path) - records
 SELECT doc_id * 3 + 1 AS pos, path FROM documents LEFT JOIN r ON doc_id * 3 + 1 >= a AND doc_id * 3 + 1 < b"""
 
 
+def order_of_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many ranges as orders, each as wide as the order's part of the year; scattered places, many of them in no range or in the same."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 11).alias("records"), F.lit(0).alias("all"))
+    placed = ordered.running(o, "all", ["o_orderkey"], "records", before="start")
+    ranges = placed.select("o_orderkey", "start", (F.col("start") + F.col("records") - F.when(F.col("records") > 5, 1).otherwise(0)).alias("end"))
+    places = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_partkey") % 3 == 0, 7).otherwise(F.col("l_orderkey") * 3 + F.col("l_linenumber")).alias("pos"))
+    found = ordered.range_lookup(places, ranges)
+    return found.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+
+
+PLACES_SQL = """
+WITH r AS (
+  SELECT o_orderkey, s - records AS a, s - CASE WHEN records > 5 THEN 1 ELSE 0 END AS b
+  FROM (SELECT o_orderkey, o_orderkey % 11 AS records, sum(o_orderkey % 11) OVER (ORDER BY o_orderkey) AS s FROM orders)),
+p AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN 7 ELSE l_orderkey * 3 + l_linenumber END AS pos FROM lineitem)
+SELECT o_orderkey, count(*) AS n, sum(pos)::BIGINT AS places FROM p LEFT JOIN r ON pos >= a AND pos < b GROUP BY o_orderkey"""
+
+
 def pad_and_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("records"))
     return o.select("o_custkey", n.padding(F.col("records"), 8).alias("padding"), n.steps(F.col("records"), 8).alias("steps"))
@@ -227,18 +245,16 @@ SELECT o_orderkey, CAST(k % 16 AS INT) AS rank, k // 16 AS step FROM p"""
 
 def next_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    packed = packing.next_fit(d, "source", ["doc_id"], "n_chars", 20_000)
+    packed = ordered.next_fit(d, "source", ["doc_id"], "n_chars", 20_000)
     return packed.groupBy("source", "pack").agg(F.count("*").alias("n"), F.sum("n_chars").alias("bytes"), F.min("doc_id").alias("first"))
 
 
 def archive_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives per language, by a fold over each language's array of sizes."""
-    d = table(spark, sf_dir, "documents")
-    a = d.groupBy("source", "lang").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))).alias("rows"))
-    packs = packing.next_fit_array(F.transform("rows", lambda r: r["n_chars"]), 15_000)
-    each = a.select("source", "lang", F.explode(F.arrays_zip("rows", packs.alias("pack"))).alias("z"))
-    name = F.format_string("images-%s-%s-part-%05d.tar", "source", "lang", F.col("z.pack"))
-    return each.groupBy(name.alias("archive")).agg(F.count("*").alias("members"), F.sum("z.rows.n_chars").alias("bytes"))
+    """Archives of each source and language, planned in parallel."""
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "lang").alias("scope"), "doc_id", "n_chars")
+    packed = ordered.next_fit(d, "scope", ["doc_id"], "n_chars", 15_000)
+    name = F.format_string("images-%s-part-%05d.tar", "scope", "pack")
+    return packed.groupBy(name.alias("archive")).agg(F.count("*").alias("members"), F.sum("n_chars").alias("bytes"))
 
 
 def _fit_sql(group: str, where: str, target: int, out: str) -> str:
@@ -434,7 +450,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_dedup, holdout_overlap_exact, holdout_overlap_contained, split_leakage, duplicate_keys, resume_anti_join, merge_coverage, ledger_check, multiset_difference, manifest_counters,
-        loss_weights, weight_range_lookup, pad_and_steps, stress_argmax, hard_smoke_selection, stratified_monitor, round_robin_shards, rank_schedule, next_fit_shards, archive_plan,
+        loss_weights, weight_range_lookup, order_of_place, pad_and_steps, stress_argmax, hard_smoke_selection, stratified_monitor, round_robin_shards, rank_schedule, next_fit_shards, archive_plan,
         selection_digest, single_valued_contract, contract_difference, curve_truncate, keep_latest, sample_seed, lr_schedule, token_splice, soft_argmax_top5, merge_summary, padded_rows,
         global_index, order_positions, path_scopes, inventory_totals, paired_arms, recipe_order, stream_resume,
     )
@@ -452,6 +468,7 @@ ORACLES = {
     "manifest_counters": COUNTERS_SQL,
     "loss_weights": WEIGHTS_SQL,
     "weight_range_lookup": RANGE_SQL,
+    "order_of_place": PLACES_SQL,
     "pad_and_steps": PAD_SQL,
     "stress_argmax": STRESS_SQL,
     "hard_smoke_selection": SMOKE_SQL,

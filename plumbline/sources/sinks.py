@@ -9,7 +9,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.packing import next_fit
+from plumbline.operators.ordered import next_fit
 
 
 def write_document(path: str, value: object) -> None:

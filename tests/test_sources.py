@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import integrity, packing, sampling
+from plumbline.operators import integrity, sampling
 from plumbline.sources import jsonl, sinks
 from plumbline.streaming import resume
 
@@ -63,13 +63,6 @@ def test_shards(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() == 40
 
 
-def test_next_fit_forms_agree(spark):
-    rows = spark.createDataFrame([("g", k, (k * 7) % 11) for k in range(60)], "g string, k int, n long")
-    streamed = [r["pack"] for r in packing.next_fit(rows, "g", ["k"], "n", 25).orderBy("k").collect()]
-    folded = rows.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("a")).select(packing.next_fit_array(F.transform("a", lambda x: x["n"]), 25).alias("p")).first()["p"]
-    assert streamed == folded
-
-
 def test_stream_resumes(spark, tmp_path):
     source, store, check = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "check")
     source.mkdir()
