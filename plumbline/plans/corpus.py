@@ -440,7 +440,7 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = lambda: spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace("events.", "event[s].")).select("event_id", "event_type")
     for attempt in range(2):
         resume.process_stream(spark, source(), lambda rows: rows.withColumn("n", F.length("event_type")), store, "event_id", fresh_path(spark, f"stream-{attempt}"))
-    return spark.read.parquet(store).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"))
+    return resume.stored(spark, store).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"))
 
 
 STREAM_SQL = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys FROM events GROUP BY event_type"

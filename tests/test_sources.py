@@ -73,10 +73,20 @@ def test_stream_resumes(spark, tmp_path):
     (source / "b.json").write_text('{"k": 2}\n{"k": 3}\n')
     resume.process_stream(spark, read(), double, store, "k", check)
     resume.process_stream(spark, read(), double, store, "k", check + "-lost")  # the checkpoint is gone: nothing is added twice
-    rows = spark.read.parquet(store)
+    rows = resume.stored(spark, store)
     assert sorted(tuple(r) for r in rows.collect()) == [(1, 2), (2, 4), (3, 6)]
     resume.check_store(rows, "k")
     assert resume.certificate(rows, "k", 3)["complete"]
+    # batches read the state and not the store: what is deleted there doesn't come back
+    (source / "c.json").write_text('{"k": 1}\n{"k": 9}\n{"k": null}\n{"k": null}\n')
+    files = len(list((tmp_path / "store").rglob("*.parquet")))
+    resume.process_stream(spark, read(), double, store, "k", check)
+    assert len(list((tmp_path / "store").rglob("*.parquet"))) > files
+    assert sorted((tuple(r) for r in resume.stored(spark, store).collect()), key=str) == [(1, 2), (2, 4), (3, 6), (9, 18), (None, None)]
+    # a store that has a key twice can't start a new checkpoint
+    spark.createDataFrame([(3, 6)], "k long, v long").write.parquet(f"{store}/batch=by-hand")
+    with pytest.raises(Exception, match="stored twice"):
+        resume.process_stream(spark, read(), double, store, "k", check + "-new")
 
 
 def test_checks_report_what_was_planted(spark):
