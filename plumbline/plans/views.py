@@ -30,6 +30,24 @@ b AS (
   FROM lineitem)"""
 
 
+def crowded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``boxes``, but all lines on a few wide images."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 199).alias("image_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    w = Window.partitionBy("image_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    x, y = (F.col("l_partkey") * 31 % 211).cast("double"), (F.col("l_suppkey") * 17 % 223).cast("double")
+    box = g.box(x, y, x + 8 + F.col("l_quantity") % 43, y + 8 + 7 * F.col("l_linenumber"))
+    return rows.select("image_id", (F.row_number().over(w) - 1).alias("k"), F.col("l_returnflag").alias("label"), box.alias("box"))
+
+
+CROWDED_SQL = """
+b AS (
+  SELECT l_orderkey % 199 AS image_id, l_returnflag AS label,
+    row_number() OVER (PARTITION BY l_orderkey % 199 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS k,
+    CAST(l_partkey * 31 % 211 AS DOUBLE) AS x1, CAST(l_suppkey * 17 % 223 AS DOUBLE) AS y1,
+    CAST(l_partkey * 31 % 211 AS DOUBLE) + 8 + l_quantity % 43 AS x2, CAST(l_suppkey * 17 % 223 AS DOUBLE) + 8 + 7 * l_linenumber AS y2
+  FROM lineitem)"""
+
+
 def predicted(b: DataFrame) -> DataFrame:
     """Boxes moved by up to three pixels, without every fifth."""
     dx, dy = (F.col("k") % 3).cast("double"), (F.col("image_id") % 4).cast("double")
