@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import ordered
+from plumbline.operators import merge, ordered
 from plumbline.plans.corpus import _fit_sql
 from plumbline.plans.views import table
 from plumbline.sources import archives, assets, jsonl, sinks, staged
@@ -72,5 +72,24 @@ SELECT concat('lists/train/', substr(h, 1, 2), '/', h, '.img') AS target, h AS s
 FROM (SELECT sha256(string_agg(concat(o_orderkey, chr(10)), '' ORDER BY o_orderkey)) AS h, sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS b FROM orders GROUP BY o_custkey % 16)"""
 
 
-QUERIES = {f.__name__: f for f in (numbered_json_lines, archive_members, committed_inventory, content_addressed_files)}
-ORACLES = {"numbered_json_lines": LINES_SQL, "archive_members": MEMBERS_SQL, "committed_inventory": INVENTORY_SQL, "content_addressed_files": CONTENTS_SQL}
+def merged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of seven shards against the orders that were due, over buckets; some outputs are lost, some came twice, some have no order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k = F.col("o_orderkey")
+    shards = F.when(k % 50 == 0, F.array().cast("array<bigint>")).when(k % 51 == 0, F.array(k % 7, (k + 1) % 7)).otherwise(F.array(k % 7))
+    outputs = o.withColumn("shard", F.explode(shards)).withColumn("shard", F.concat(F.lit("shard-"), F.col("shard").cast("string")))
+    due = o.filter("o_orderkey % 53 <> 0").select("o_orderkey")
+    found = merge.checked_merge(merge.bucketed(outputs, "o_orderkey", 8), merge.bucketed(due, "o_orderkey", 8), "o_orderkey")
+    return found.select("o_orderkey", "status", F.array_join("shards", ",").alias("shards"), "row.o_custkey")
+
+
+MERGED_SQL = """
+WITH x AS (SELECT o_orderkey AS k, o_custkey, unnest(CASE WHEN o_orderkey % 50 = 0 THEN [] WHEN o_orderkey % 51 = 0 THEN [o_orderkey % 7, (o_orderkey + 1) % 7] ELSE [o_orderkey % 7] END) AS s FROM orders),
+g AS (SELECT k, count(*) AS n, string_agg('shard-' || s, ',' ORDER BY s) AS shards, min(o_custkey) AS c FROM x GROUP BY k),
+d AS (SELECT o_orderkey AS d FROM orders WHERE o_orderkey % 53 <> 0)
+SELECT coalesce(k, d) AS o_orderkey, CASE WHEN k IS NULL THEN 'missing' WHEN d IS NULL THEN 'extra' WHEN n > 1 THEN 'repeated' ELSE 'ok' END AS status, coalesce(shards, '') AS shards,
+  CASE WHEN k IS NOT NULL AND d IS NOT NULL AND n = 1 THEN c END AS o_custkey FROM g FULL JOIN d ON k = d"""
+
+
+QUERIES = {f.__name__: f for f in (numbered_json_lines, archive_members, committed_inventory, content_addressed_files, merged_shards)}
+ORACLES = {"numbered_json_lines": LINES_SQL, "archive_members": MEMBERS_SQL, "committed_inventory": INVENTORY_SQL, "content_addressed_files": CONTENTS_SQL, "merged_shards": MERGED_SQL}
