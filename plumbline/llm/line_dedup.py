@@ -39,6 +39,8 @@ COMMON = 2  # prefixes are so long that sets that match share at least this many
 ROUNDS = 2  # the join by prefix tokens runs in so many parts, one after the other, to hold less on disk at once
 FREQUENT, RARITY_SLOTS = 1 << 17, 1 << 20
 BLOOM_WORDS = 1 << 17
+WIDE = 24  # tokens
+LEADERS = 4  # further sets of a group that the others are compared with
 FEW = 4  # one candidate pair to so many sets
 TOP, BASE = 4, 5  # the least similarity, 4 / 5
 _HASH_BITS = 55  # of a token's place in the order; above them is its rarity
@@ -103,8 +105,10 @@ def by_rarity(tokens: Column, slots: bytes) -> Column:
 
 def _alike() -> Column:
     """Whether sizes and sketches of ``a`` and ``b`` leave open that they match."""
-    total = F.col("a_n") + F.col("b_n")
-    return (BASE + TOP) * F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= (BASE - TOP) * total
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    a, b, a2, b2 = (F.col(c) for c in ("a_sketch", "b_sketch", "a_upper", "b_upper"))
+    differ = F.coalesce(apart(a2, b2) + apart(a.bitwiseXOR(a2), b.bitwiseXOR(b2)), apart(a, b))
+    return (BASE + TOP) * differ <= (BASE - TOP) * (F.col("a_n") + F.col("b_n"))
 
 
 def prefix(numbers: Column) -> Column:
@@ -124,13 +128,19 @@ def sketch(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
 
 
+def upper_sketch(tokens: Column) -> Column:
+    """Of sets of ``WIDE`` tokens and more the sketch of half of the tokens, else null. With ``sketch``, which is that of both halves, it makes
+    128 bits, since many tokens fill 64."""
+    return F.when(F.size(tokens) >= WIDE, sketch(F.filter(tokens, lambda h: h.bitwiseAND(F.lit(64)) != 0)))
+
+
 def described(sets: DataFrame) -> DataFrame:
-    """``k, first, n, sketch``, of sets of ``NEAR_WORDS`` and more the ``prefix``, and signatures ``s``: two of the ends of the
+    """``k, first, n, sketch, upper``, of sets of ``NEAR_WORDS`` and more the ``prefix``, and signatures ``s``: two of the ends of the
     tokens, of smaller sets one of all."""
     near = F.size("tokens") >= NEAR_WORDS
     ordered = F.when(near, prefix(by_rarity(F.col("tokens"), rarity(sets))))
     two = F.array(F.xxhash64(F.slice("tokens", 1, 3)), F.xxhash64(F.slice("tokens", -3, 3)))
-    return sets.select("k", "first", F.size("tokens").alias("n"), ordered.alias("prefix"), sketch(F.col("tokens")).alias("sketch"), F.when(near, two).otherwise(F.array(F.xxhash64(F.lit("all"), F.col("tokens")))).alias("s"))
+    return sets.select("k", "first", F.size("tokens").alias("n"), ordered.alias("prefix"), sketch(F.col("tokens")).alias("sketch"), upper_sketch(F.col("tokens")).alias("upper"), F.when(near, two).otherwise(F.array(F.xxhash64(F.lit("all"), F.col("tokens")))).alias("s"))
 
 
 def _only(table: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -157,21 +167,41 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(match).select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("k")).distinct()
 
 
+def _to_lead(signed: DataFrame, leads: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of each set and the leader ``b`` of one of its signatures, where sizes and sketches leave a match open."""
+    leads = leads.select("s", F.col("m.k").alias("b"), F.col("m.n").alias("b_n"), F.col("m.sketch").alias("b_sketch"), F.col("m.upper").alias("b_upper"))
+    both = signed.select(F.col("k").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), F.col("upper").alias("a_upper"), "s").join(leads, "s")
+    return both.filter((F.col("a") != F.col("b")) & _alike()).select("a", "b").distinct()
+
+
 def later_sets(sets: DataFrame) -> DataFrame:
     """``k`` of every set of the stored table that an earlier one matches, as a stored table."""
     facts = cut(described(sets), "line-facts", "snappy")
 
     # the first of those that share a signature
-    signed = facts.select("k", "first", "n", "sketch", F.explode("s").alias("s"))
-    leads = signed.groupBy("s").agg(F.min(F.struct("first", "k", "n", "sketch")).alias("m"), F.count("*").alias("c")).filter("c > 1")
-    leads = leads.select("s", F.col("m.k").alias("b"), F.col("m.n").alias("b_n"), F.col("m.sketch").alias("b_sketch"))
-    to_lead = signed.select(F.col("k").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), "s").join(leads, "s")
-    to_lead = cut(to_lead.filter((F.col("a") != F.col("b")) & _alike()).select("a", "b").distinct(), "line-leaders")
+    signed = facts.select("k", "first", "n", "sketch", "upper", F.explode("s").alias("s"))
+    least = F.min(F.struct("first", "k", "n", "sketch", "upper")).alias("m")
+    leads = signed.groupBy("s").agg(least, F.count("*").alias("c")).filter("c > 1")
+    to_lead = cut(_to_lead(signed, leads), "line-leaders")
     settled = cut(_verified(to_lead, sets), "settled-lines")
     drop(to_lead)
 
+    # of those that this leaves in larger groups, the first again, a few times: each step goes over what is left of these groups alone
+    crowd = leads.filter("c > 2").select("s", F.col("m.first").alias("lead"))
+    left = cut(signed.join(crowd, "s").filter(F.col("first") > F.col("lead")).drop("lead").join(settled, "k", "left_anti"), "line-crowds")
+    for _ in range(LEADERS):
+        leads = left.groupBy("s").agg(least, F.count("*").alias("c")).filter("c > 1")
+        to_lead = cut(_to_lead(left, leads), "line-leaders")
+        more = cut(_verified(to_lead, sets), "settled-lines")
+        rest = left.join(leads.select("s", F.col("m.first").alias("lead")), "s").filter(F.col("first") > F.col("lead")).drop("lead")
+        rest = cut(rest.join(more, "k", "left_anti"), "line-crowds")
+        both = cut(settled.union(more).distinct(), "settled-lines")
+        drop(to_lead, more, left, settled)
+        left, settled = rest, both
+    drop(left)
+
     # the rest, by prefix tokens
-    marks = facts.filter(F.col("n") >= NEAR_WORDS).select("k", F.col("first.id").alias("id"), "n", "sketch", "prefix").join(settled.withColumn("done", F.lit(True)), "k", "left")
+    marks = facts.filter(F.col("n") >= NEAR_WORDS).select("k", F.col("first.id").alias("id"), "n", "sketch", "upper", "prefix").join(settled.withColumn("done", F.lit(True)), "k", "left")
     marks = cut(marks.withColumn("done", F.coalesce("done", F.lit(False))), "line-marks", "snappy")
     drop(facts)
     parts = [cut(_joined(marks, part), "line-pairs") for part in range(ROUNDS)]
@@ -195,12 +225,12 @@ def later_sets(sets: DataFrame) -> DataFrame:
 def _joined(marks: DataFrame, part: int) -> DataFrame:
     """``a, b, c``: a set that isn't settled, one that isn't of a later document, and how many prefix tokens of this part they
     share at places that, with their sizes and sketches, leave room for enough common tokens."""
-    post = lambda s: s.select("k", "id", "n", "sketch", F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(ROUNDS)) == part)
+    post = lambda s: s.select("k", "id", "n", "sketch", "upper", F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(ROUNDS)) == part)
     open_, done = post(marks.filter("not done")), post(marks.filter("done"))
-    a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("k", "id", "n", "p", "sketch")])
+    a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("k", "id", "n", "p", "sketch", "upper")])
     out = None
     for right in (open_, done):
-        b = right.select("token", *[F.col(c).alias(f"b_{c}") for c in ("k", "id", "n", "p", "sketch")])
+        b = right.select("token", *[F.col(c).alias(f"b_{c}") for c in ("k", "id", "n", "p", "sketch", "upper")])
         total = F.col("a_n") + F.col("b_n")
         room = F.least(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p"))
         # what stands from here on, with the tokens that may have been found before, must reach the overlap that is needed; the
