@@ -43,6 +43,7 @@ from plumbline.llm.shingles import least_difference, parity_sketch, set_identity
 POST = np.dtype([("token", "<u8"), ("key", "<i8"), ("least", "<u4"), ("most", "<u4"), ("pos", "<u4")])
 #: Bounds of what is broadcast: shingles with a known rank, groups with a leader, shingles of all leaders.
 FREQUENT, FREQUENT_MIN, LEADERS, GROUP_MIN, LEADER_SHINGLES = 100_000, 24, 4_000, 12, 3_000_000
+PER_GROUP = 6  # sets that lead a group; each set joins the nearest
 BUCKET_POSTINGS = 250_000
 #: What a Python worker holds at most: postings before they are packed, identities of sets that it has met.
 HELD, SEEN = 250_000, 50_000
@@ -187,27 +188,30 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
     frequent = facts.filter("kind = 1").groupBy("lo").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_MIN)
     order = Order([(r[0], r[1]) for r in frequent.orderBy(F.desc("n"), "lo").limit(FREQUENT).collect()])
 
-    # Groups of sets with a common signature; of each, the set with the least identity leads. Bounded: the largest ones.
+    # Groups of sets with a common signature; of each, a few sets lead, picked by hashes of their identities. Bounded: the largest groups.
     distinct = texts.filter("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), *[F.first(s).alias(s) for s in ("s1", "s2", "s3")])
     signed = distinct.select(F.explode(F.array("s1", "s2", "s3")).alias("s"), "hi", "lo", "n", "doc_id")
-    groups = signed.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("lo", "hi", "n", "doc_id")).alias("lead"))
-    groups = groups.filter((F.col("members") >= GROUP_MIN) & F.col("lead.doc_id").isNotNull()).orderBy(F.desc("members"), "s").limit(LEADERS).collect()
+    picks = [F.min(F.struct(F.xxhash64("lo", F.lit(k)).alias("h"), "lo", "hi", "n", "doc_id")).alias(f"lead{k}") for k in range(PER_GROUP)]
+    groups = signed.filter(F.col("doc_id").isNotNull()).groupBy("s").agg(F.count("*").alias("members"), *picks)
+    groups = groups.filter(F.col("members") >= GROUP_MIN).orderBy(F.desc("members"), "s").limit(LEADERS).collect()
     leads: dict[tuple[int, int], int] = {}
     room = LEADER_SHINGLES
-    for g in groups:
-        who = (g["lead"]["hi"], g["lead"]["lo"])
-        if who not in leads and g["lead"]["n"] <= room:
-            leads[who] = g["lead"]["doc_id"]
-            room -= g["lead"]["n"]
-    leader_of = {g["s"]: (g["lead"]["hi"], g["lead"]["lo"]) for g in groups if (g["lead"]["hi"], g["lead"]["lo"]) in leads}
+    for k in range(PER_GROUP):  # the first of every group, then the second
+        for g in groups:
+            lead = g[f"lead{k}"]
+            who = (lead["hi"], lead["lo"])
+            if who not in leads and lead["n"] <= room:
+                leads[who] = lead["doc_id"]
+                room -= lead["n"]
+    leader_of = {g["s"]: list(dict.fromkeys(w for k in range(PER_GROUP) for w in [(g[f"lead{k}"]["hi"], g[f"lead{k}"]["lo"])] if w in leads)) for g in groups}
     wanted = {lo for _, lo in leads}
     leader_sets: dict[tuple[int, int], np.ndarray] = {}
     if leads:
-        ids = spark.createDataFrame([(x,) for x in sorted(set(leads.values()))], "id long")  # at most LEADERS rows
+        ids = spark.createDataFrame([(x,) for x in sorted(set(leads.values()))], "id long")  # at most PER_GROUP * LEADERS rows
         picked = rows.join(F.broadcast(ids), rows["doc_id"] == ids["id"]).select("doc_id", "text")
         for r in _sets_of(picked, None).filter(F.col("lo").isin(sorted(wanted))).dropDuplicates(["hi", "lo"]).collect():
             leader_sets[(r["hi"], r["lo"])] = np.frombuffer(r["shingles"], np.uint64)
-    leader_of = {s: w for s, w in leader_of.items() if w in leader_sets}
+    leader_of = {s: [w for w in ws if w in leader_sets] for s, ws in leader_of.items()}
     known = context.broadcast((order, leader_of, leader_sets))
 
     n_postings = (texts.agg(F.sum("n")).first()[0] or 0) * (1 - share[0] / share[1]) + 1
@@ -236,27 +240,46 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
     open_ = far.filter(near(F.col("d") - zero("da") - zero("db"), F.greatest(zero("ma"), "na") + F.greatest(zero("mb"), "nb"))).select("a_lo", "b_lo", "d", "na", "nb")
     open_ = cut(open_.distinct(), "open")
     tables = [first, spread, checked, open_]
-    if not open_.isEmpty():
-        # members of groups that are connected already have the same class: they need no answers of their own
+
+    def unsettled(pairs: DataFrame) -> DataFrame:
+        """Of pairs of leaders those in different classes: members of groups that are connected already have the same class and need no
+        answers of their own."""
         known = components(result.select(F.col("a_lo").alias("a"), F.col("b_lo").alias("b")))
         of = lambda x: known.select(F.col("node").alias(f"{x}_lo"), F.col("component").alias(f"{x}_class"))
-        classed = open_.join(of("a"), "a_lo", "left").join(of("b"), "b_lo", "left")
-        open_ = cut(classed.filter(F.coalesce("a_class", "a_lo") != F.coalesce("b_class", "b_lo")).select(*open_.columns), "open")
-        tables.append(open_)
-    if not open_.isEmpty():
-        each = members.select("l_lo", "lo", "n", "d").unionByName(members.select("l_lo", F.col("l_lo").alias("lo"), F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("d")).distinct())
+        classed = pairs.join(of("a"), "a_lo", "left").join(of("b"), "b_lo", "left")
+        one, other = F.coalesce("a_class", "a_lo"), F.coalesce("b_class", "b_lo")
+        out = cut(classed.filter(one != other).select(*pairs.columns, F.least(one, other).alias("c1"), F.greatest(one, other).alias("c2")), "open")
+        tables.append(out)
+        return out
+
+    each = members.select("l_lo", "lo", "n", "d").unionByName(members.select("l_lo", F.col("l_lo").alias("lo"), F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("d")).distinct())
+
+    def of_members(pairs: DataFrame) -> DataFrame:
+        """The links between members of pairs of leaders, of which the distances to the leaders leave some open."""
         left = each.select(F.col("l_lo").alias("a_lo"), F.col("lo").alias("m"), F.col("n").alias("mn"), F.col("d").alias("md"))
-        some = open_.join(left, "a_lo", "left").select("b_lo", "d", "nb", F.coalesce("m", "a_lo").alias("a"), F.coalesce("mn", "na").alias("an"), zero("md").alias("ad"))
+        some = pairs.join(left, "a_lo", "left").select("b_lo", "d", "nb", F.coalesce("m", "a_lo").alias("a"), F.coalesce("mn", "na").alias("an"), zero("md").alias("ad"))
         right = each.select(F.col("l_lo").alias("b_lo"), F.col("lo").alias("m"), F.col("n").alias("mn"), F.col("d").alias("md"))
         both = some.join(right, "b_lo", "left").select("a", F.coalesce("m", "b_lo").alias("b"), "d", "an", F.coalesce("mn", "nb").alias("bn"), "ad", zero("md").alias("bd"))
         both = both.filter(near(F.col("d") - F.col("ad") - F.col("bd"), F.col("an") + F.col("bn")) & (F.col("ad") + F.col("bd") > 0))
-        more = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = cut(more, "candidates")
+        more = cut(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         likely = cut(_sketched(more, texts, spread.limit(0), share), "likely")
         drop(more)
         tables.append(cut(_distances(rows, likely, share), "distances"))
         drop(likely)
-        result = result.unionByName(tables[-1].filter("linked").select("a_hi", "a_lo", "b_hi", "b_lo"))
+        return tables[-1].filter("linked").select("a_hi", "a_lo", "b_hi", "b_lo")
+
+    if not open_.isEmpty():
+        open_ = unsettled(open_.select("a_lo", "b_lo", "d", "na", "nb"))
+    if not open_.isEmpty():
+        # the nearest leaders of two classes first: one link between their members settles all other pairs of these classes
+        pair = F.struct("a_lo", "b_lo", "d", "na", "nb")
+        nearest = cut(open_.groupBy("c1", "c2").agg(F.min_by(pair, F.struct("d", "a_lo", "b_lo")).alias("p")).select("p.*"), "nearest")
+        result = result.unionByName(of_members(nearest))
+        rest = open_.drop("c1", "c2").join(nearest.select("a_lo", "b_lo"), ["a_lo", "b_lo"], "left_anti")
+        rest = unsettled(rest)
+        tables.append(nearest)
+        if not rest.isEmpty():
+            result = result.unionByName(of_members(rest))
     return result, tables
 
 
@@ -296,9 +319,8 @@ def _postings(rows: DataFrame, known, share: tuple[int, int], buckets: int) -> D
                     seen.clear()
                 seen.add(who)
                 key, best = who[1], None
-                for sig in signatures(s) if leader_of else ():
-                    lead = leader_of.get(sig)
-                    if lead and lead != who and (best is None or best[1] != lead):
+                for lead in dict.fromkeys(w for sig in signatures(s) for w in leader_of.get(sig, ())) if leader_of else ():
+                    if lead != who:
                         other = leader_sets[lead]
                         inter = len(np.intersect1d(s, other, assume_unique=True))
                         if links(inter, n, len(other), share) and (best is None or n + len(other) - 2 * inter < best[0]):
