@@ -27,7 +27,6 @@ an order; an empty table gives an empty result. Words are compared by 64-bit has
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +39,7 @@ COMMON = 2  # prefixes are so long that sets that match share at least this many
 ROUNDS = 2  # the join by prefix tokens runs in so many parts, one after the other, to hold less on disk at once
 FREQUENT, RARITY_SLOTS = 1 << 17, 1 << 20
 BLOOM_WORDS = 1 << 17
-WIDE = 24, 48  # tokens
-SKETCHES = ("sketch", "one", "other", "both")
+WIDE = 48  # sets of so many tokens have signatures of the middle too
 LEADERS = 2  # further sets of a group that the others are compared with
 FEW = 4  # one candidate pair to so many sets
 TOP, BASE = 4, 5  # the least similarity, 4 / 5
@@ -107,11 +105,8 @@ def by_rarity(tokens: Column, slots: bytes) -> Column:
 
 def _alike() -> Column:
     """Whether sizes and sketches of ``a`` and ``b`` leave open that they match."""
-    apart = [F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in SKETCHES]
-    ones = lambda *x: F.bit_count(reduce(Column.bitwiseXOR, x))
-    every, one, other, both = apart
-    differ = F.coalesce(ones(every, one, other, both) + ones(one, both) + ones(other, both) + ones(both), ones(every, one) + ones(one), ones(every))
-    return (BASE + TOP) * differ <= (BASE - TOP) * (F.col("a_n") + F.col("b_n"))
+    total = F.col("a_n") + F.col("b_n")
+    return (BASE + TOP) * F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= (BASE - TOP) * total
 
 
 def prefix(numbers: Column) -> Column:
@@ -131,23 +126,15 @@ def sketch(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
 
 
-def part_sketches(tokens: Column) -> list[Column]:
-    """Sketches of parts of the tokens: of those with one bit of the hash, with another, and with both. Together with the sketch of all they give 128 bits for sets of
-    ``WIDE[0]`` tokens and more and 256 bits from ``WIDE[1]`` on, since many tokens fill 64; null where they aren't needed."""
-    part = lambda least, bits: F.when(F.size(tokens) >= least, sketch(F.filter(tokens, lambda h: h.bitwiseAND(F.lit(bits)) == bits)))
-    return [part(WIDE[0], 64), part(WIDE[1], 128), part(WIDE[1], 192)]
-
-
 def described(sets: DataFrame) -> DataFrame:
-    """``k, first, n`` and sketches, of sets of ``NEAR_WORDS`` and more the ``prefix``, and signatures ``s``: two of the ends of the
+    """``k, first, n, sketch``, of sets of ``NEAR_WORDS`` and more the ``prefix``, and signatures ``s``: two of the ends of the
     tokens, of wide sets two more of the middle, of smaller sets one of all."""
     near = F.size("tokens") >= NEAR_WORDS
-    sketches = [x.alias(c) for c, x in zip(SKETCHES, [sketch(F.col("tokens")), *part_sketches(F.col("tokens"))])]
     ordered = F.when(near, prefix(by_rarity(F.col("tokens"), rarity(sets))))
     ends = lambda x: (F.xxhash64(F.slice(x, 1, 3)), F.xxhash64(F.slice(x, -3, 3)))
     above, below = F.filter("tokens", lambda h: h >= 0), F.filter("tokens", lambda h: h < 0)
-    two = F.when(F.size("tokens") >= WIDE[1], F.array(*ends("tokens"), ends(above)[0], ends(below)[1])).otherwise(F.array(*ends("tokens")))
-    return sets.select("k", "first", F.size("tokens").alias("n"), ordered.alias("prefix"), *sketches, F.when(near, two).otherwise(F.array(F.xxhash64(F.lit("all"), F.col("tokens")))).alias("s"))
+    two = F.when(F.size("tokens") >= WIDE, F.array(*ends("tokens"), ends(above)[0], ends(below)[1])).otherwise(F.array(*ends("tokens")))
+    return sets.select("k", "first", F.size("tokens").alias("n"), ordered.alias("prefix"), sketch(F.col("tokens")).alias("sketch"), F.when(near, two).otherwise(F.array(F.xxhash64(F.lit("all"), F.col("tokens")))).alias("s"))
 
 
 def _only(table: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -176,8 +163,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _to_lead(signed: DataFrame, leads: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of each set and the leader ``b`` of one of its signatures, where sizes and sketches leave a match open."""
-    leads = leads.select("s", F.col("m.k").alias("b"), *[F.col(f"m.{c}").alias(f"b_{c}") for c in ("n", *SKETCHES)])
-    both = signed.select(F.col("k").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", *SKETCHES)], "s").join(leads, "s")
+    leads = leads.select("s", F.col("m.k").alias("b"), *[F.col(f"m.{c}").alias(f"b_{c}") for c in ("n", "sketch")])
+    both = signed.select(F.col("k").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "sketch")], "s").join(leads, "s")
     return both.filter((F.col("a") != F.col("b")) & _alike()).select("a", "b").distinct()
 
 
@@ -186,8 +173,8 @@ def later_sets(sets: DataFrame) -> DataFrame:
     facts = cut(described(sets), "line-facts", "snappy")
 
     # the first of those that share a signature
-    signed = facts.select("k", "first", "n", *SKETCHES, F.explode("s").alias("s"))
-    least = F.min(F.struct("first", "k", "n", *SKETCHES)).alias("m")
+    signed = facts.select("k", "first", "n", "sketch", F.explode("s").alias("s"))
+    least = F.min(F.struct("first", "k", "n", "sketch")).alias("m")
     leads = signed.groupBy("s").agg(least, F.count("*").alias("c")).filter("c > 1")
     to_lead = cut(_to_lead(signed, leads), "line-leaders")
     settled = cut(_verified(to_lead, sets), "settled-lines")
@@ -208,7 +195,7 @@ def later_sets(sets: DataFrame) -> DataFrame:
     drop(left)
 
     # the rest, by prefix tokens
-    marks = facts.filter(F.col("n") >= NEAR_WORDS).select("k", F.col("first.id").alias("id"), "n", *SKETCHES, "prefix").join(settled.withColumn("done", F.lit(True)), "k", "left")
+    marks = facts.filter(F.col("n") >= NEAR_WORDS).select("k", F.col("first.id").alias("id"), "n", "sketch", "prefix").join(settled.withColumn("done", F.lit(True)), "k", "left")
     marks = cut(marks.withColumn("done", F.coalesce("done", F.lit(False))), "line-marks", "snappy")
     drop(facts)
     parts = [cut(_joined(marks, part), "line-pairs") for part in range(ROUNDS)]
@@ -232,12 +219,12 @@ def later_sets(sets: DataFrame) -> DataFrame:
 def _joined(marks: DataFrame, part: int) -> DataFrame:
     """``a, b, c``: a set that isn't settled, one that isn't of a later document, and how many prefix tokens of this part they
     share at places that, with their sizes and sketches, leave room for enough common tokens."""
-    post = lambda s: s.select("k", "id", "n", *SKETCHES, F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(ROUNDS)) == part)
+    post = lambda s: s.select("k", "id", "n", "sketch", F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(ROUNDS)) == part)
     open_, done = post(marks.filter("not done")), post(marks.filter("done"))
-    a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("k", "id", "n", "p", *SKETCHES)])
+    a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("k", "id", "n", "p", "sketch")])
     out = None
     for right in (open_, done):
-        b = right.select("token", *[F.col(c).alias(f"b_{c}") for c in ("k", "id", "n", "p", *SKETCHES)])
+        b = right.select("token", *[F.col(c).alias(f"b_{c}") for c in ("k", "id", "n", "p", "sketch")])
         total = F.col("a_n") + F.col("b_n")
         room = F.least(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p"))
         # what stands from here on, with the tokens that may have been found before, must reach the overlap that is needed; the
