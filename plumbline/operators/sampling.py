@@ -115,7 +115,7 @@ def keep_latest(rows: DataFrame, name: str, k: int, protected: Column) -> DataFr
     return rows.join(F.broadcast(last), F.col(name) == F.col("_last"), "left").filter(F.col("_last").isNotNull() | F.coalesce(protected, F.lit(False))).drop("_last")
 
 
-def selection_digest(rows: DataFrame, order: list[str], value: Column) -> DataFrame:
-    """SHA-256 over the values of a selection in order. The list is one string, so this is for selections, not corpora."""
+def selection_digest(rows: DataFrame, order: list[str], value: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """SHA-256 over the values of a selection (of each group ``by``) in order, and how many there are. The digest is of one string, so this is for selections, not corpora."""
     listed = F.sort_array(F.collect_list(F.struct(*order, value.cast("string").alias("_v"))))
-    return rows.agg(F.sha2(F.array_join(F.transform(listed, lambda r: r["_v"]), ""), 256).alias("digest"), F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(listed, lambda r: r["_v"]), ""), 256).alias("digest"), F.count("*").alias("n"))

@@ -214,11 +214,16 @@ SELECT path, take::BIGINT AS take, (start + CASE WHEN take = records THEN s ELSE
 
 
 def round_robin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = sampling.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
-    return o.withColumn("shard", sampling.round_robin(F.col("pos"), 7, F.lit(1 << 40))).groupBy("shard").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    """Each customer's orders over seven shards, or as many as there are orders."""
+    o = ordered.running(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], "o_orderkey", place="pos")
+    total = o.groupBy("o_custkey").agg(F.count("*").alias("total"))
+    dealt = o.join(total, "o_custkey").withColumn("shard", sampling.round_robin(F.col("pos"), 7, F.col("total")))
+    return dealt.groupBy("o_custkey", "shard").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 
-SHARDS_SQL = "SELECT CAST((k - 1) % 7 AS INT) AS shard, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1"
+SHARDS_SQL = """
+SELECT o_custkey, CAST((k - 1) % least(7, n) AS INT) AS shard, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last
+FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) GROUP BY o_custkey, 2"""
 
 
 def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +248,17 @@ p AS (SELECT o_orderkey, k FROM o UNION ALL SELECT o_orderkey, k + n FROM o WHER
 SELECT o_orderkey, CAST(k % 16 AS INT) AS rank, k // 16 AS step FROM p"""
 
 
+def resumed_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a schedule after its first fifty steps, without its last ten."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    total = o.count()
+    pad = -total % 16
+    return sampling.rank_schedule(sampling.numbered(o, ["o_orderkey"]), "pos", total, pad, 16, 50, (total + pad) // 16 - 10).select("o_orderkey", "rank", "step")
+
+
+RESUMED_SQL = SCHEDULE_SQL + " WHERE k // 16 >= 50 AND k // 16 < (SELECT max(k) // 16 + 1 FROM p) - 10"
+
+
 def next_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     packed = ordered.next_fit(d, "source", ["doc_id"], "n_chars", 20_000)
@@ -273,11 +289,10 @@ ARCHIVE_SQL = _fit_sql("concat(source, '-', lang)", "", 15_000, "SELECT format('
 
 
 def selection_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return d.select("source", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ""), 256).alias("digest"))
+    return sampling.selection_digest(table(spark, sf_dir, "documents").select("source", "doc_id"), ["doc_id"], F.col("doc_id"), by=("source",))
 
 
-DIGEST_SQL = "SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source"
+DIGEST_SQL = "SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR), '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY source"
 
 
 def single_valued_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,7 +465,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_dedup, holdout_overlap_exact, holdout_overlap_contained, split_leakage, duplicate_keys, resume_anti_join, merge_coverage, ledger_check, multiset_difference, manifest_counters,
-        loss_weights, weight_range_lookup, order_of_place, pad_and_steps, stress_argmax, hard_smoke_selection, stratified_monitor, round_robin_shards, rank_schedule, next_fit_shards, archive_plan,
+        loss_weights, weight_range_lookup, order_of_place, pad_and_steps, stress_argmax, hard_smoke_selection, stratified_monitor, round_robin_shards, rank_schedule, resumed_schedule, next_fit_shards, archive_plan,
         selection_digest, single_valued_contract, contract_difference, curve_truncate, keep_latest, sample_seed, lr_schedule, token_splice, soft_argmax_top5, merge_summary, padded_rows,
         global_index, order_positions, path_scopes, inventory_totals, paired_arms, recipe_order, stream_resume,
     )
@@ -475,6 +490,7 @@ ORACLES = {
     "stratified_monitor": MONITOR_SQL,
     "round_robin_shards": SHARDS_SQL,
     "rank_schedule": SCHEDULE_SQL,
+    "resumed_schedule": RESUMED_SQL,
     "next_fit_shards": FIT_SQL,
     "archive_plan": ARCHIVE_SQL,
     "selection_digest": DIGEST_SQL,

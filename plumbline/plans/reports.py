@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import reports
@@ -157,31 +157,34 @@ ADDRESSED_SQL = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(doc_id::VAR
 
 
 def grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five largest orders of each status and priority, in the grid's order."""
+    """The five largest orders of each status and priority, in the grid's order: all 15 cells."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    dimensions = {"o_orderstatus": ["O", "F", "P"], "o_orderpriority": ["5-LOW", "1-URGENT"]}
+    dimensions = {"o_orderstatus": ["O", "F", "P"], "o_orderpriority": ["5-LOW", "1-URGENT", "3-MEDIUM", "2-HIGH", "4-NOT SPECIFIED"]}
     top = reports.grid_rankings(o, dimensions, [F.desc("o_totalprice"), F.asc("o_orderkey")], 5)
     return top.select("cell", F.col("place").cast("long").alias("place"), "o_orderkey")
 
 
 GRID_SQL = """
-WITH g(cell, s, p) AS (VALUES (0::BIGINT, 'O', '5-LOW'), (1, 'O', '1-URGENT'), (2, 'F', '5-LOW'), (3, 'F', '1-URGENT'), (4, 'P', '5-LOW'), (5, 'P', '1-URGENT')),
-r AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey FROM orders JOIN g ON o_orderstatus = s AND o_orderpriority = p)
+WITH s(s, i) AS (VALUES ('O', 0), ('F', 1), ('P', 2)), p(p, j) AS (VALUES ('5-LOW', 0), ('1-URGENT', 1), ('3-MEDIUM', 2), ('2-HIGH', 3), ('4-NOT SPECIFIED', 4)),
+r AS (SELECT CAST(i * 5 + j AS BIGINT) AS cell, row_number() OVER (PARTITION BY i, j ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey FROM orders JOIN s ON o_orderstatus = s JOIN p ON o_orderpriority = p)
 SELECT cell, place, o_orderkey FROM r WHERE place <= 5"""
 
 
 def zipped_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses against outputs, of which every 11th order lacks the last line."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_partkey").alias("address"), F.col("l_suppkey").alias("output"))
-    one = reports.ordered_distinct(li, "key", ["pos", "address", "output"]).select("key", "pos", "address", "output")
-    outputs = one.filter("key % 11 <> 0").select("key", "pos", "output")
-    return reports.zipped(one.select("key", "pos", "address"), outputs, "key", "pos")
+    """Every line of an order against its output by place; every 11th order lacks its last output, every 13th has one too many."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    w = Window.partitionBy("key")
+    placed = li.withColumn("pos", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long")).withColumn("last", F.count("*").over(w))
+    outputs = placed.filter("key % 11 <> 0 or pos < last").select("key", F.explode(F.when((F.col("key") % 13 == 0) & (F.col("pos") == F.col("last")), F.array("pos", F.col("pos") + 1)).otherwise(F.array("pos"))).alias("pos"), F.col("l_suppkey").alias("output"))
+    return reports.zipped(placed.select("key", "pos", F.col("l_partkey").alias("address")), outputs, "key", "pos")
 
 
 ZIPPED_SQL = """
-WITH o AS (SELECT l_orderkey AS key, l_linenumber::BIGINT AS pos, l_partkey AS address, l_suppkey AS output,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem)
-SELECT key, pos, address, CASE WHEN key % 11 <> 0 THEN output END AS output, key % 11 <> 0 AS paired FROM o WHERE r = 1"""
+WITH o AS (
+  SELECT l_orderkey AS key, l_partkey AS address, l_suppkey AS output, count(*) OVER (PARTITION BY l_orderkey) AS n,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos FROM lineitem)
+SELECT key, pos, address, CASE WHEN key % 11 <> 0 OR pos < n THEN output END AS output, key % 11 <> 0 OR pos < n AS paired FROM o
+UNION ALL SELECT key, n + 1, NULL, output, false FROM o WHERE pos = n AND key % 13 = 0 AND key % 11 <> 0"""
 
 
 def benchmark_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,17 +20,18 @@ def ints(*v):
 
 
 def test_crops(spark):
-    assert tuple(value(spark, g.crop_around(g.point(3, 4), F.lit(100), F.lit(80), 32))) == (0, 0, 32, 32)
-    assert tuple(value(spark, g.crop_around(g.point(98, 79), F.lit(100), F.lit(80), 32))) == (68, 48, 100, 80)
-    assert tuple(value(spark, g.crop_around_grid_point(ints(1000, 1000), F.lit(1024), F.lit(768), 144))) == (880, 624, 1024, 768)
+    around = lambda p, w, h, side: tuple(value(spark, g.crop_around(p, F.lit(w), F.lit(h), side)))
+    assert around(g.point(7, 90), 200, 95, 40) == (0, 55, 40, 95)  # moved into the image at two sides
+    assert around(g.point(50.5, 30), 200, 95, 41) == (30, 10, 71, 51)  # a half goes to the even side
+    assert around(g.point(3, 44), 20, 90, 41) == (0, 34, 20, 54)  # shrunk to the image
+    assert tuple(value(spark, g.crop_around_grid_point(ints(0, 500), F.lit(640), F.lit(480), 100))) == (0, 190, 100, 290)
     with pytest.raises(Exception, match="smaller than the crop"):
-        value(spark, g.crop_around_grid_point(ints(1, 1), F.lit(128), F.lit(1024), 144))
+        value(spark, g.crop_around_grid_point(ints(9, 9), F.lit(640), F.lit(99), 100))
 
 
 def test_local_to_global(spark):
-    crop = ints(112, 206, 208, 302)
-    b = value(spark, g.local_to_global(g.box(96, 48, 288, 336), crop, 384, 384))
-    assert tuple(b) == (136.0, 218.0, 184.0, 290.0)
+    b = value(spark, g.local_to_global(g.box(8, 4, 100, 40), ints(10, 20, 60, 120), 200, 400))
+    assert tuple(b) == (12.0, 21.0, 35.0, 30.0)
 
 
 def test_rounding_is_half_even(spark):
@@ -40,10 +41,10 @@ def test_rounding_is_half_even(spark):
 
 
 def test_parse_points(spark):
-    answer = "<ref>ship</ref><box><100><200></box><box><100><200></box><ref>vehicle</ref><box><200><200><400><600></box>"
-    found = [(p["label"], p["nx"], p["ny"]) for p in value(spark, t.parse_points(F.lit(answer), 1000, 1000))]
-    assert found == [("ship", 100, 200), ("vehicle", 300, 400)]
-    assert value(spark, t.parse_points(F.lit("<box><1><2></box>"), 10, 10)) == []
+    answer = "<ref>Crane</ref><box><7><8></box><ref>tug_boat </ref><box><10><20><31><40></box><box><7><8></box><box><7><8></box>"
+    found = [(p["label"], p["nx"], p["ny"], p["source"]) for p in value(spark, t.parse_points(F.lit(answer), 500, 2000))]
+    assert found == [("crane", 7, 8, "point"), ("tug boat", 20, 30, "box_center_fallback"), ("tug boat", 7, 8, "point")]
+    assert value(spark, t.parse_points(F.lit("no tokens <box><5><5></box> <ref>late</ref>"), 10, 10)) == []
 
 
 def test_single_box(spark):
@@ -58,17 +59,17 @@ def boxes(rows):
 
 
 def test_suppress_and_match(spark):
-    rows = [("ship", (0, 0, 10, 10)), ("Ship", (1, 1, 10, 10)), ("vehicle", (0, 0, 10, 10))]
-    kept = value(spark, matching.suppress(boxes(rows), 0.5))
-    assert len(kept) == 2
-    targets = boxes([("ship", (0, 0, 10, 10)), ("vehicle", (0, 0, 10, 10))])
-    assert tuple(value(spark, matching.detection_counts(targets, boxes([rows[0], rows[2]])))) == (2, 0, 0)
+    rows = [("tug", (0, 0, 8, 6)), ("barge", (1, 0, 9, 6)), ("TUG", (1, 0, 9, 6)), ("tug", (5, 0, 13, 6))]
+    kept = value(spark, matching.suppress(boxes(rows), 0.6))
+    assert [(k["label"], k["box"]["x1"]) for k in kept] == [("tug", 0.0), ("tug", 5.0), ("barge", 1.0)]  # 42 / 54 goes, 18 / 78 stays
+    targets = boxes([("tug", (0, 0, 8, 6)), ("tug", (5, 0, 13, 6)), ("crane", (0, 0, 8, 6))])
+    assert tuple(value(spark, matching.detection_counts(targets, boxes(rows)))) == (2, 2, 1)
 
 
 def test_pointing(spark):
-    targets = boxes([("ship", (0, 0, 10, 10)), ("ship", (20, 20, 30, 30))])
-    points = F.array(*[F.struct(F.lit("ship").alias("label"), g.point(x, x).alias("point")) for x in (5, 6, 25)])
-    assert tuple(value(spark, matching.pointing_counts(targets, points))) == (2, 1, 0)
+    targets = boxes([("tug", (0, 0, 4, 4)), ("tug", (3, 3, 9, 9)), ("barge", (0, 0, 99, 99))])
+    points = F.array(*[F.struct(F.lit(lab).alias("label"), g.point(x, x).alias("point")) for lab, x in (("tug", 3.5), ("tug", 1), ("tug", 9), ("barge", 100))])
+    assert tuple(value(spark, matching.pointing_counts(targets, points))) == (2, 2, 1)
 
 
 def test_prefix_free_arrays(spark):
@@ -78,31 +79,30 @@ def test_prefix_free_arrays(spark):
     assert value(spark, n.windows_2x2(grid, 1)) == [[0, 1, 3, 4], [1, 2, 4, 5], [3, 4, 6, 7], [4, 5, 7, 8]]
 
 
+def address(spark, point, target):
+    """On 1500 x 900 pixels: the crop around the grid point (300, 700) is 378 to 522 by 558 to 702."""
+    box = ints(*target) if target else F.lit(None).cast(expand.GRID_BOX)
+    return spark.range(1).select(
+        F.lit("q7").alias("record_id"), F.lit("tug boat").alias("reference"), ints(*point).alias("point"), box.alias("target"), F.lit("p.png").alias("image"), F.lit(1500).alias("width"), F.lit(900).alias("height")
+    )
+
+
 @pytest.mark.parametrize(
     ("target", "rows", "answer", "reason"),
     [
-        ((450, 450, 550, 550), 1, "box", None),
-        (None, 2, "None", "negative_address"),
-        ((100, 100, 900, 900), 2, "None", "target_not_fully_contained_in_fixed_144px_crop"),
-        ((429, 450, 550, 550), 2, "None", "target_not_fully_contained_in_fixed_144px_crop"),
-        ((430, 450, 550, 550), 2, "box", "complete_target_touches_local_fallback_margin"),
+        ((270, 660, 330, 740), 1, "<box><188><250><812><750></box>", None),
+        (None, 2, "<box>None</box>", expand.NEGATIVE),
+        ((100, 500, 600, 900), 2, "<box>None</box>", expand.NOT_CONTAINED),
+        ((251, 660, 330, 740), 2, "<box>None</box>", expand.NOT_CONTAINED),  # 376.5 pixels
+        ((252, 660, 330, 740), 2, "<box><0><250><812><750></box>", expand.TOUCHES_MARGIN),  # 378 pixels
     ],
 )
 def test_expansion(spark, target, rows, answer, reason):
-    box = ints(*target) if target else F.lit(None).cast(expand.GRID_BOX)
-    row = spark.range(1).select(
-        F.lit("source-row-1").alias("record_id"), F.lit("small vehicle").alias("reference"), ints(500, 500).alias("point"), box.alias("target"), F.lit("a.png").alias("image"), F.lit(1024).alias("width"), F.lit(1024).alias("height")
-    )
-    out = sorted(expand.expand_addresses(row).collect(), key=lambda r: r["route"], reverse=True)
-    assert len(out) == rows
-    assert out[0]["record_id"] == "source-row-1__local"
-    assert ("None" in out[0]["answer"]) == (answer == "None")
-    assert out[0]["fallback_reason"] == reason
+    out = sorted(expand.expand_addresses(address(spark, (300, 700), target)).collect(), key=lambda r: r["route"], reverse=True)
+    assert [r["record_id"] for r in out] == ["q7__local", "q7__global_fallback"][:rows]
+    assert out[0]["answer"] == answer and {r["fallback_reason"] for r in out} == {reason}
 
 
 def test_expansion_refuses(spark):
-    row = spark.range(1).select(
-        F.lit("r").alias("record_id"), F.lit("x").alias("reference"), ints(800, 800).alias("point"), ints(400, 400, 600, 600).alias("target"), F.lit("a").alias("image"), F.lit(1024).alias("width"), F.lit(1024).alias("height")
-    )
     with pytest.raises(Exception, match="outside its target"):
-        expand.expand_addresses(row).collect()
+        expand.expand_addresses(address(spark, (10, 10), (11, 5, 20, 20))).collect()

@@ -100,10 +100,13 @@ def test_checks_report_what_was_planted(spark):
 
 
 def test_water_fill(spark):
-    files = spark.createDataFrame([("a", 400), ("b", 94390), ("c", 350), ("d", 350), ("e", 250)], "path string, records long")
-    assert [r["take"] for r in sampling.water_fill(files, 1000).orderBy("path").collect()] == [200] * 5
-    assert [r["take"] for r in sampling.water_fill(files, 1202).orderBy("path").collect()] == [241, 241, 240, 240, 240]
-    assert [r["take"] for r in sampling.water_fill(files, 1500).orderBy("path").collect()] == [313, 313, 312, 312, 250]
+    files = spark.createDataFrame([("a", 7), ("b", 1000), ("c", 3), ("d", 12)], "path string, records long")
+    take = lambda limit: [r["take"] for r in sampling.water_fill(files, limit).orderBy("path").collect()]
+    assert take(8) == [2, 2, 2, 2]
+    assert take(30) == [7, 10, 3, 10]
+    assert take(31) == [7, 11, 3, 10]  # the earlier file has what is left over
+    assert take(40) == [7, 18, 3, 12]
+    assert take(0) == take(5000) == [7, 1000, 3, 12]
 
 
 def test_rank_schedule_covers_all(spark):
