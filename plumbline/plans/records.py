@@ -151,6 +151,20 @@ SELECT 'wharf:detection:' || image_id AS sample_key, 'images/' || image_id AS im
   string_agg(concat(label, ':', CAST(x1 AS BIGINT), ' ', CAST(y1 AS BIGINT), ' ', CAST(x2 AS BIGINT), ' ', CAST(y2 AS BIGINT)), ';' ORDER BY k) AS gt FROM b GROUP BY image_id"""
 
 
+def strict_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation rows with mandatory raw labels, and the listing that has their images."""
+    b = boxes(spark, sf_dir).withColumns({"image_id": F.col("image_id").cast("string"), "o": F.struct("k", F.concat(F.col("label"), F.lit(" ")).alias("raw_class_name"), F.array("box.x1", "box.y1", "box.x2", "box.y2").alias("hbox"))})
+    rows = b.groupBy("image_id").agg(F.sort_array(F.collect_list("o")).alias("objects")).withColumn("image_path", F.concat(F.lit("images/"), F.col("image_id")))
+    made = expand.strict_manifest(rows, "wharf-100", ["A", "N", "R"], "three", {"A": "first"}, {"a": "A"}, rows.select(F.col("image_path").alias("path")))
+    return made.select("sample_key", "image", "gt_label_field", F.to_json("class_prompts").alias("prompts"), F.to_json("label_aliases").alias("aliases"), F.size("gt").alias("objects"), F.array_join(F.transform("gt", lambda x: x["label"]), "").alias("labels"))
+
+
+STRICT_SQL = f"""
+WITH {BOXES_SQL}
+SELECT concat('wharf-100:', image_id) AS sample_key, concat('images/', image_id) AS image, 'raw_class_name' AS gt_label_field, '{{"A":"first"}}' AS prompts, '{{"a":"A"}}' AS aliases, CAST(count(*) AS INT) AS objects,
+  string_agg(label, '' ORDER BY k) AS labels FROM b GROUP BY image_id"""
+
+
 def first_existing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's file from an ordered list of candidates, against a listing that lacks many."""
     o = table(spark, sf_dir, "orders").select("o_orderkey")
@@ -174,9 +188,9 @@ FIRST_SQL = "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_
 
 QUERIES = {
     f.__name__: f
-    for f in (patch_windows, supplied_points, ground_truth, compact_violations, unknown_labels, usable_boxes, reentry_violations, detection_manifest, first_existing_paths, first_of_each)
+    for f in (patch_windows, supplied_points, ground_truth, compact_violations, unknown_labels, usable_boxes, reentry_violations, detection_manifest, strict_manifest, first_existing_paths, first_of_each)
 }
 ORACLES = {
     "patch_windows": PATCH_SQL, "supplied_points": SUPPLIED_SQL, "ground_truth": TRUTH_SQL, "compact_violations": COMPACT_SQL, "unknown_labels": UNKNOWN_SQL, "usable_boxes": USABLE_SQL,
-    "reentry_violations": REENTRY_SQL, "detection_manifest": DETECTION_SQL, "first_existing_paths": EXISTING_SQL, "first_of_each": FIRST_SQL,
+    "reentry_violations": REENTRY_SQL, "detection_manifest": DETECTION_SQL, "strict_manifest": STRICT_SQL, "first_existing_paths": EXISTING_SQL, "first_of_each": FIRST_SQL,
 }

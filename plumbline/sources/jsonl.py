@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.sources.assets import walk
 from plumbline.sources.ranges import SPLIT, numbered_lines
 
 
@@ -47,6 +48,14 @@ def count_records(spark: SparkSession, paths: str | list[str], strict: bool = Tr
     return lines.groupBy("path").agg(F.sum(one).alias("records"))
 
 
+def curriculum_plan(spark: SparkSession, root: str) -> DataFrame:
+    """One row for the JSONL files below ``root``: ``files, bytes, gib, records``; blank lines don't count, empty files do."""
+    found = walk(spark, root).filter(F.col("path").endswith(".jsonl"))
+    sizes = found.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    lines = numbered_lines(spark, root).filter(F.col("path").endswith(".jsonl") & ~blank(F.col("line")))
+    return sizes.crossJoin(lines.agg(F.count("*").alias("records"))).select("files", "bytes", (F.col("bytes") / 1024**3).alias("gib"), "records")  # a row and a row
+
+
 def line_set(spark: SparkSession, paths: str | list[str], first_word: bool = False) -> DataFrame:
     """``key``: the different lines of text files, stripped; with ``first_word``, what stands before the first white space."""
     text = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
@@ -55,11 +64,14 @@ def line_set(spark: SparkSession, paths: str | list[str], first_word: bool = Fal
 
 
 def ledger(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, digest`` from lines ``<64 hex>  <path>``; another form is an error."""
+    """``path, digest`` from lines ``<64 hex>  <path>``; another form is an error, and so is a path that comes twice."""
     rows = spark.read.text(paths).filter(F.length(F.trim("value")) > 0)
     ok = F.col("value").rlike(r"^[0-9a-f]{64}  .+$")
     checked = F.when(ok, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no ledger line: "), F.col("value"))))
-    return rows.select(checked.alias("value")).select(F.substring("value", F.lit(67), F.length("value")).alias("path"), F.substring("value", 1, 64).alias("digest"))
+    parts = rows.select(checked.alias("value")).select(F.substring("value", F.lit(67), F.length("value")).alias("path"), F.substring("value", 1, 64).alias("digest"))
+    once = parts.groupBy("path").agg(F.min("digest").alias("digest"), F.count("*").alias("n"))
+    twice = F.raise_error(F.concat(F.lit("a path comes twice in the ledger: "), F.col("path"))).cast("string")
+    return once.select(F.when(F.col("n") > 1, twice).otherwise(F.col("path")).alias("path"), "digest")
 
 
 def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -3,22 +3,44 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import next_fit
+from plumbline.sources.store import open_store
 
 
 def write_document(path: str, value: object) -> None:
-    """A small JSON document: written beside its place and moved there, so readers see the old or the new one."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    fd, temporary = tempfile.mkstemp(dir=os.path.dirname(path) or ".", suffix=".tmp")
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write(json.dumps(value, indent=2, sort_keys=True) + "\n")
-    os.replace(temporary, path)
+    """A small JSON document with sorted keys, in any store: written beside its place and moved there, so readers see the old or the new one."""
+    store, at = open_store(path)
+    folder = at.rpartition("/")[0]
+    if folder:
+        store.create_dir(folder, recursive=True)
+    temporary = f"{at}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(temporary, compression=None) as f:
+        f.write((json.dumps(value, indent=2, sort_keys=True) + "\n").encode())
+    store.move(temporary, at)
+
+
+def read_document(path: str) -> object:
+    store, at = open_store(path)
+    with store.open_input_file(at) as f:
+        return json.loads(f.read())
+
+
+def point_to(pointer: str, target: str) -> None:
+    """Let ``pointer`` (last, best) name ``target``: a small document, since not every store has links; replaced at once."""
+    write_document(pointer, {"target": target})
+
+
+def resolved(recipe: DataFrame, files: DataFrame) -> DataFrame:
+    """The recipe's rows (``path`` and others), if ``files`` (``path``) has each of their shards; a missing one is an error."""
+    there = files.select(F.col("path").alias("_path")).distinct()
+    missing = F.raise_error(F.concat(F.lit("a shard of the recipe isn't there: "), F.col("path"))).cast("string")
+    joined = recipe.join(there, F.col("path") == F.col("_path"), "left")
+    return joined.withColumn("path", F.when(F.col("_path").isNull(), missing).otherwise(F.col("path"))).drop("_path")
 
 
 def json_line(row: Column) -> Column:
