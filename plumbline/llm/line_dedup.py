@@ -36,11 +36,11 @@ from plumbline.llm.quality_rules import let
 
 NEAR_WORDS = 4  # 4 words and 5 that contain them are alike by exactly 4 / 5; sets of 3 and fewer match equal sets only
 COMMON = 2  # prefixes are so long that sets that match share at least this many tokens of them
-ROUNDS = 2  # the join by prefix tokens runs in so many parts, one after the other, to hold less on disk at once
+ROUNDS = 3  # the join by prefix tokens runs in so many parts, one after the other, to hold less on disk at once
 FREQUENT, RARITY_SLOTS = 1 << 17, 1 << 20
 BLOOM_WORDS = 1 << 17
-WIDE = 48  # sets of so many tokens have signatures of the middle too
-LEADERS = 2  # further sets of a group that the others are compared with
+WIDE = 48  # sets of so many tokens have signatures of the middle and sketches of parts too
+PARTS = ("one", "other", "both")
 FEW = 4  # one candidate pair to so many sets
 TOP, BASE = 4, 5  # the least similarity, 4 / 5
 _HASH_BITS = 55  # of a token's place in the order; above them is its rarity
@@ -109,6 +109,14 @@ def _alike() -> Column:
     return (BASE + TOP) * F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= (BASE - TOP) * total
 
 
+def _alike_wide() -> Column:
+    """The same with the part sketches of sets that are wide; true for others."""
+    every, one, other, both = (F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in ("sketch", *PARTS))
+    ones = lambda x: F.bit_count(x)
+    differ = ones(every.bitwiseXOR(one).bitwiseXOR(other).bitwiseXOR(both)) + ones(one.bitwiseXOR(both)) + ones(other.bitwiseXOR(both)) + ones(both)
+    return F.coalesce((BASE + TOP) * differ <= (BASE - TOP) * (F.col("a_n") + F.col("b_n")), F.lit(True))
+
+
 def prefix(numbers: Column) -> Column:
     """The rarest tokens of a set, as many as the prefix filter needs, by 31 bits of their hashes: numbers that happen to
     be equal may add candidates, never lose one."""
@@ -126,6 +134,13 @@ def sketch(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
 
 
+def part_sketches(tokens: Column) -> list[Column]:
+    """Of sets of ``WIDE`` tokens and more the sketches of those with one bit of the hash, with another, and with both, else null. With the sketch of all they make 256 bits,
+    since many tokens fill 64."""
+    part = lambda bits: F.when(F.size(tokens) >= WIDE, sketch(F.filter(tokens, lambda h: h.bitwiseAND(F.lit(bits)) == bits)))
+    return [part(bits).alias(c) for bits, c in zip((64, 128, 192), PARTS)]
+
+
 def described(sets: DataFrame) -> DataFrame:
     """``k, first, n, sketch``, of sets of ``NEAR_WORDS`` and more the ``prefix``, and signatures ``s``: two of the ends of the
     tokens, of wide sets two more of the middle, of smaller sets one of all."""
@@ -134,7 +149,7 @@ def described(sets: DataFrame) -> DataFrame:
     ends = lambda x: (F.xxhash64(F.slice(x, 1, 3)), F.xxhash64(F.slice(x, -3, 3)))
     above, below = F.filter("tokens", lambda h: h >= 0), F.filter("tokens", lambda h: h < 0)
     two = F.when(F.size("tokens") >= WIDE, F.array(*ends("tokens"), ends(above)[0], ends(below)[1])).otherwise(F.array(*ends("tokens")))
-    return sets.select("k", "first", F.size("tokens").alias("n"), ordered.alias("prefix"), sketch(F.col("tokens")).alias("sketch"), F.when(near, two).otherwise(F.array(F.xxhash64(F.lit("all"), F.col("tokens")))).alias("s"))
+    return sets.select("k", "first", F.size("tokens").alias("n"), ordered.alias("prefix"), sketch(F.col("tokens")).alias("sketch"), *part_sketches(F.col("tokens")), F.when(near, two).otherwise(F.array(F.xxhash64(F.lit("all"), F.col("tokens")))).alias("s"))
 
 
 def _only(table: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -180,22 +195,8 @@ def later_sets(sets: DataFrame) -> DataFrame:
     settled = cut(_verified(to_lead, sets), "settled-lines")
     drop(to_lead)
 
-    # of those that this leaves in larger groups, the first again, a few times: each step goes over what is left of these groups alone
-    crowd = leads.filter("c > 2").select("s", F.col("m.first").alias("lead"))
-    left = cut(signed.join(crowd, "s").filter(F.col("first") > F.col("lead")).drop("lead").join(settled, "k", "left_anti"), "line-crowds")
-    for _ in range(LEADERS):
-        leads = left.groupBy("s").agg(least, F.count("*").alias("c")).filter("c > 1")
-        to_lead = cut(_to_lead(left, leads), "line-leaders")
-        more = cut(_verified(to_lead, sets), "settled-lines")
-        rest = left.join(leads.select("s", F.col("m.first").alias("lead")), "s").filter(F.col("first") > F.col("lead")).drop("lead")
-        rest = cut(rest.join(more, "k", "left_anti"), "line-crowds")
-        both = cut(settled.union(more).distinct(), "settled-lines")
-        drop(to_lead, more, left, settled)
-        left, settled = rest, both
-    drop(left)
-
     # the rest, by prefix tokens
-    marks = facts.filter(F.col("n") >= NEAR_WORDS).select("k", F.col("first.id").alias("id"), "n", "sketch", "prefix").join(settled.withColumn("done", F.lit(True)), "k", "left")
+    marks = facts.filter(F.col("n") >= NEAR_WORDS).select("k", F.col("first.id").alias("id"), "n", "sketch", *PARTS, "prefix").join(settled.withColumn("done", F.lit(True)), "k", "left")
     marks = cut(marks.withColumn("done", F.coalesce("done", F.lit(False))), "line-marks", "snappy")
     drop(facts)
     parts = [cut(_joined(marks, part), "line-pairs") for part in range(ROUNDS)]
@@ -219,12 +220,12 @@ def later_sets(sets: DataFrame) -> DataFrame:
 def _joined(marks: DataFrame, part: int) -> DataFrame:
     """``a, b, c``: a set that isn't settled, one that isn't of a later document, and how many prefix tokens of this part they
     share at places that, with their sizes and sketches, leave room for enough common tokens."""
-    post = lambda s: s.select("k", "id", "n", "sketch", F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(ROUNDS)) == part)
+    post = lambda s: s.select("k", "id", "n", "sketch", *PARTS, F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(ROUNDS)) == part)
     open_, done = post(marks.filter("not done")), post(marks.filter("done"))
-    a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("k", "id", "n", "p", "sketch")])
+    a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("k", "id", "n", "p", "sketch", *PARTS)])
     out = None
     for right in (open_, done):
-        b = right.select("token", *[F.col(c).alias(f"b_{c}") for c in ("k", "id", "n", "p", "sketch")])
+        b = right.select("token", *[F.col(c).alias(f"b_{c}") for c in ("k", "id", "n", "p", "sketch", *PARTS)])
         total = F.col("a_n") + F.col("b_n")
         room = F.least(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p"))
         # what stands from here on, with the tokens that may have been found before, must reach the overlap that is needed; the
@@ -232,7 +233,7 @@ def _joined(marks: DataFrame, part: int) -> DataFrame:
         fits = ((BASE + TOP) * (room + COMMON - 1) >= TOP * total) & (BASE * F.col("a_n") >= TOP * F.col("b_n")) & (BASE * F.col("b_n") >= TOP * F.col("a_n"))
         # of two sets of one document either may be the later; the pair is verified once for each
         earlier = (F.col("a_k") != F.col("b_k")) & (F.col("b_id").isNull() | (F.col("b_id") <= F.col("a_id")))
-        found = a.join(b, (a["token"] == b["token"]) & earlier & _alike() & fits).select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
+        found = a.join(b, (a["token"] == b["token"]) & earlier & _alike() & _alike_wide() & fits).select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
         out = found if out is None else out.unionByName(found)
     return out.groupBy("a", "b").agg(F.count("*").alias("c"))
 
