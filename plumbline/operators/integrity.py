@@ -57,12 +57,20 @@ def contained(rows: DataFrame, holdout: DataFrame, text: str, holdout_text: str,
 
 
 def coverage(left: DataFrame, right: DataFrame, key: str, compare: list[str] = ()) -> DataFrame:
-    """Keys that one side lacks or whose compared fields differ: ``key, status`` (``missing``, ``extra`` or ``differs``)."""
-    a = left.select(key, F.lit(True).alias("_l"), *[F.col(c).alias(f"_l_{c}") for c in compare])
-    b = right.select(key, F.lit(True).alias("_r"), *[F.col(c).alias(f"_r_{c}") for c in compare])
-    differs = reduce(lambda x, y: x | y, [~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}")) for c in compare], F.lit(False))
-    status = F.when(F.col("_r").isNull(), "missing").when(F.col("_l").isNull(), "extra").when(differs, "differs")
-    return a.join(b, key, "full_outer").select(key, status.alias("status")).filter(F.col("status").isNotNull())
+    """Keys that one side lacks or whose compared fields differ: ``key, status`` (``missing``, ``extra`` or ``differs``).
+
+    A key may come often, and null is a key: its rows with the same fields on both sides cancel out one by one; of those left over, as many as both sides have
+    differ, and the rest is missing or extra, a row of the result each. Only counts are shuffled."""
+    side = lambda df, l, r: df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(compare)], F.lit(l).alias("_l"), F.lit(r).alias("_r"))
+    both = side(left, 1, 0).unionByName(side(right, 0, 1))
+    surplus = both.groupBy("_key", *[f"_c{k}" for k in range(len(compare))]).agg(F.sum(F.col("_l") - F.col("_r")).alias("_d"))
+    rest = surplus.groupBy("_key").agg(F.sum(F.greatest("_d", F.lit(0))).alias("_l"), F.sum(F.greatest(-F.col("_d"), F.lit(0))).alias("_r")).filter("_l > 0 or _r > 0")
+    pair = F.least("_l", "_r")
+    found = F.array(*[F.struct(F.lit(s).alias("status"), n.alias("n")) for s, n in (("missing", F.col("_l") - pair), ("extra", F.col("_r") - pair), ("differs", pair))])
+    counted = rest.select("_key", F.inline(found)).filter("n > 0")
+    # in two steps, so that no array is as long as a key has rows
+    chunks = counted.withColumn("_at", F.explode(F.expr("sequence(0L, n - 1, 4096L)")))
+    return chunks.select("_key", "status", F.explode(F.expr("sequence(_at, least(n, _at + 4096) - 1)"))).select(F.col("_key").alias(key), "status")
 
 
 def pairing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

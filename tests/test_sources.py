@@ -99,6 +99,15 @@ def test_checks_report_what_was_planted(spark):
         integrity.require_empty(integrity.duplicate_keys(a, ["k"]), "stored twice")
 
 
+def test_coverage_of_repeated_and_null_keys(spark):
+    a = spark.createDataFrame([("u", "x"), ("u", "x"), ("u", "y"), ("v", "x"), ("v", "x"), (None, "x"), (None, "y")], "k string, v string")
+    b = spark.createDataFrame([("u", "x"), ("u", "z"), ("v", "x"), ("v", "x"), ("v", "x"), (None, "x"), (None, "z")], "k string, v string")
+    got = sorted((str(r["k"]), r["status"]) for r in integrity.coverage(a, b, "k", ["v"]).collect())
+    assert got == [("None", "differs"), ("u", "differs"), ("u", "missing"), ("v", "extra")]
+    many = a.limit(1).crossJoin(spark.range(10_000)).select("k", "v")
+    assert integrity.coverage(many, b.limit(0), "k", ["v"]).groupBy("k", "status").count().collect() == [("u", "missing", 10_000)]
+
+
 def test_water_fill(spark):
     files = spark.createDataFrame([("a", 7), ("b", 1000), ("c", 3), ("d", 12)], "path string, records long")
     take = lambda limit: [r["take"] for r in sampling.water_fill(files, limit).orderBy("path").collect()]
