@@ -8,7 +8,8 @@ Search. For an anchor ``a`` and a list with centroid ``c`` and radius ``r``, Cau
 ``a.c + |a| r``. Lists are visited by falling upper bound in waves that grow fourfold. A list is skipped if its bounds miss the window, and a window is finished
 when the bound falls strictly below its kth score so far; equal scores are still visited, because a smaller id
 could win. Each wave joins the anchors with the blocks of the lists that they still need, scores each pair of blocks by one matrix product and
-keeps the best ``k`` of each window. Bounds that prune nothing cost time; they never cost results.
+keeps the best ``k`` of each window. Bounds that prune nothing cost time; they never cost results. The driver gets the sample and
+a row a list, both bounded; anchors and blocks meet by a shuffle, never by a broadcast.
 
 Positives are one window without limits over rows of the anchor's label; negatives have one window a positive over the others.
 
@@ -34,6 +35,8 @@ from plumbline.llm.common import cut, drop
 from plumbline.llm.vectors import bytes_of_rows, quantised, rows_of_bytes, rows_of_lists, usable
 
 SAMPLE = 20_000  # rows that centroids are fitted on, about
+SAMPLE_NUMBERS = 1 << 22  # and numbers in them: wide vectors give fewer rows
+FIT_CELLS = 1 << 21  # distances of rows from centroids that are held at once
 MOST_LISTS = 2_048  # with SAMPLE, it bounds what the driver fits and sends to tasks
 BLOCK = 2_048  # rows of a block of a list, about
 ANCHORS = 256  # anchors of a block, about
@@ -61,8 +64,10 @@ def fit(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Centroids of the sample ``x`` by k-means from evenly spaced rows."""
     x = x.astype(np.float32)
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    step = max(1, FIT_CELLS // k)
     for _ in range(rounds):
-        nearest = ((c**2).sum(1)[None, :] - 2 * (x @ c.T)).argmin(1)
+        norms = (c**2).sum(1)[None, :]
+        nearest = np.concatenate([(norms - 2 * (x[a : a + step] @ c.T)).argmin(1) for a in range(0, len(x), step)])
         order = np.argsort(nearest, kind="stable")
         some, first = np.unique(nearest[order], return_index=True)
         c[some] = np.add.reduceat(x[order].astype(np.float64), first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
@@ -71,16 +76,17 @@ def fit(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def _index(rows: DataFrame, width: int, n: int, kind: str) -> tuple[DataFrame, Lists]:
     """Inverted lists of all rows (``id, label, vec``): a table of blocks and what the search knows of them."""
-    sample = rows.select("vec").sample(min(1.0, SAMPLE / n), seed=7).limit(2 * SAMPLE).toArrow()["vec"].combine_chunks()
+    some = min(SAMPLE, max(1, SAMPLE_NUMBERS // max(1, width)))
+    sample = rows.select("vec").sample(min(1.0, some / n), seed=7).limit(2 * some).toArrow()["vec"].combine_chunks()
     sample = rows_of_bytes(sample, width) if len(sample) else np.zeros((1, width), np.int32)
     centroids = fit(sample, int(min(MOST_LISTS, len(sample), max(1, np.sqrt(n) / 2))))
-    norms = (centroids**2).sum(1)
+    norms, step = (centroids**2).sum(1), max(1, FIT_CELLS // len(centroids))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = rows_of_bytes(batch.column("vec"), width).astype(np.float64)
-            for a in range(0, len(x), 8192):
-                part = x[a : a + 8192]
+            for a in range(0, len(x), step):
+                part = x[a : a + step]
                 nearest = (norms[None, :] - 2 * (part @ centroids.T)).argmin(1)
                 away = np.sqrt(((part - centroids[nearest]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, len(part)).columns, pa.array(nearest.astype(np.int32)), pa.array(away)], names=["id", "label", "vec", "list", "away"])
@@ -169,11 +175,12 @@ def _search(stored: DataFrame, lists: Lists, anchors: DataFrame, width: int, k:
             # a window that is full may only change by scores from its kth on
             full = best.groupBy("aid", "w").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
             full = full.groupBy("aid").agg(F.map_from_entries(F.collect_list(F.struct("w", "least"))).alias("kth"))
-            now = anchors.join(full, "aid", "left")
+            now = anchors.join(full.hint("merge"), "aid", "left")
             raised = F.transform("low", lambda x, i: F.greatest(x, F.coalesce(F.try_element_at("kth", i), F.lit(LOWEST))))
             now = now.withColumn("low", F.coalesce(raised, "low")).select(anchors.columns)
         asked = _asks(now, lists, width, first, first + size)
-        found = _scored(asked.join(stored, ["list", "block"]), width, lists.kind, k, same, id_kind)
+        # merged, whatever Spark expects: it doesn't see how many rows the blocks of a list make, and would send them all through the driver
+        found = _scored(asked.hint("merge").join(stored, ["list", "block"]), width, lists.kind, k, same, id_kind)
         both = found if best is None else found.unionByName(best.drop("rank"))
         ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("aid", "w").orderBy(F.col("score").desc(), "other"))).filter(F.col("rank") <= k)
         last, best = best, cut(ranked, "best")
@@ -223,8 +230,8 @@ def mine(
     edges = edges.selectExpr("aid", "w", "-((x - pmod(x, 100)) div 100) AS low", "(y - pmod(y, 100)) div 100 AS high")
     filled = F.array_repeat(F.struct(F.lit(0).alias("w"), F.lit(HIGHEST).alias("low"), F.lit(LOWEST).alias("high")), F.lit(positives) - F.size("e"))  # these let nothing in
     edges = edges.groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("w", "low", "high"))).alias("e")).withColumn("e", F.concat("e", filled))
-    limited = asking.join(edges.select("aid", F.col("e.low").alias("low"), F.col("e.high").alias("high")), "aid")
+    limited = asking.join(edges.select("aid", F.col("e.low").alias("low"), F.col("e.high").alias("high")).hint("merge"), "aid")
     far = _search(stored, lists, cut(limited.select(open_.columns), "limited"), width, negatives, False, id_kind)
     far = far.select("aid", "w", "rank", F.col("other").alias("negative_id"), F.col("score").alias("negative_score"))
-    out = far.join(near, ["aid", "w"]).join(asking.select("aid", F.col("id").alias("anchor_id")), "aid")
+    out = far.join(near.hint("merge"), ["aid", "w"]).join(asking.select("aid", F.col("id").alias("anchor_id")).hint("merge"), "aid")
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

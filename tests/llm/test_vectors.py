@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,30 @@ def test_hard_negatives_are_those_of_brute_force(spark, monkeypatch, width, reac
     assert Counter(tuple(r) for r in out.collect()) == mined(rows, scale, 5, window=window)
 
 
+def test_anchors_and_blocks_meet_without_a_broadcast(spark, monkeypatch):
+    plans, cut = [], hard_negatives.cut
+
+    def seen(df, name, *more):
+        if name == "best":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name, *more)
+
+    monkeypatch.setattr(hard_negatives, "cut", seen)
+    monkeypatch.setattr(hard_negatives, "BLOCK", 4)  # a list has many blocks: what is asked of it grows when they are listed
+    out = hard_negatives.mine(spark.createDataFrame(awkward(3, 60, 3, 1.0), KINDS), F.col("vec_id") % 5 == 0)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_fitting_holds_a_bounded_part_of_the_distances():
+    x = np.random.default_rng(1).integers(-50, 50, (20_000, 4))
+    tracemalloc.start()
+    hard_negatives.fit(x, 1024, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
 def test_hard_negatives_of_little(spark):
     empty = spark.createDataFrame([], KINDS)
     assert hard_negatives.mine(empty, F.col("vec_id") % 5 == 0).count() == 0
