@@ -256,11 +256,20 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
 
     def of_members(pairs: DataFrame) -> DataFrame:
         """The links between members of pairs of leaders, of which the distances to the leaders leave some open."""
-        left = each.select(F.col("l_lo").alias("a_lo"), F.col("lo").alias("m"), F.col("n").alias("mn"), F.col("d").alias("md"))
-        some = pairs.join(left, "a_lo", "left").select("b_lo", "d", "nb", F.coalesce("m", "a_lo").alias("a"), F.coalesce("mn", "na").alias("an"), zero("md").alias("ad"))
-        right = each.select(F.col("l_lo").alias("b_lo"), F.col("lo").alias("m"), F.col("n").alias("mn"), F.col("d").alias("md"))
-        both = some.join(right, "b_lo", "left").select("a", F.coalesce("m", "b_lo").alias("b"), "d", "an", F.coalesce("mn", "nb").alias("bn"), "ad", zero("md").alias("bd"))
-        both = both.filter(near(F.col("d") - F.col("ad") - F.col("bd"), F.col("an") + F.col("bn")) & (F.col("ad") + F.col("bd") > 0))
+        slack = lambda d, n: (base + top) * d + (base - top) * n  # noqa: E731  (near, turned: a pair is open if both slacks add up to what its leaders' distance needs)
+        needs = (base + top) * F.col("d")
+        peaks = each.filter("n is not null").groupBy("l_lo").agg(F.max(slack(F.col("d"), F.col("n"))).alias("peak"))
+        known = pairs.join(peaks.select(F.col("l_lo").alias("a_lo"), F.col("peak").alias("pa")), "a_lo", "left").join(peaks.select(F.col("l_lo").alias("b_lo"), F.col("peak").alias("pb")), "b_lo", "left")
+
+        def side(x: str, other: str) -> DataFrame:
+            """Of each pair the members of group ``x`` that with the largest slack of the other group may be open; the others meet nobody."""
+            own = each.select(F.col("l_lo").alias(f"{x}_lo"), F.col("lo").alias("m"), F.col("n").alias("mn"), F.col("d").alias("md"))
+            here = known.join(own, f"{x}_lo", "left").withColumn("s", slack(zero("md"), F.coalesce("mn", f"n{x}")))
+            some = here.filter(F.col("s") + F.greatest(F.col(f"p{other}"), (base - top) * F.col(f"n{other}")) >= needs)
+            return some.select("a_lo", "b_lo", "d", F.coalesce("m", f"{x}_lo").alias(x), F.col("s").alias(f"{x}_s"), (zero("md") > 0).alias(f"{x}_off"))
+
+        left, right = side("a", "b"), side("b", "a").drop("d")
+        both = left.join(right, ["a_lo", "b_lo"]).filter((F.col("a_s") + F.col("b_s") >= needs) & (F.col("a_off") | F.col("b_off")))
         more = cut(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         likely = cut(_sketched(more, texts, spread.limit(0), share), "likely")
         drop(more)

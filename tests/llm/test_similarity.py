@@ -73,6 +73,25 @@ def test_large_families_and_borderline_links(spark, monkeypatch):
     assert run(spark, rows) == classes(sorted(rows))
 
 
+def test_members_of_groups_meet_only_where_both_leave_room(spark, monkeypatch):
+    """Groups with leaders that don't link: the join of their members has the bound as its condition, and is not a product that a later filter thins out."""
+    monkeypatch.setattr(jaccard, "GROUP_MIN", 4)
+    plans, cut = [], jaccard.cut
+
+    def seen(df, name, *more):
+        if name in ("nearest", "candidates"):
+            plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return cut(df, name, *more)
+
+    monkeypatch.setattr(jaccard, "cut", seen)
+    texts = variants(60, words=60, edits=6, seed=11)
+    found = run(spark, list(enumerate(texts)))
+    assert found == classes(list(enumerate(texts)))
+    at = [n for n, _ in plans].index("nearest")
+    first = next(x for x in plans[at + 1][1].splitlines() if "Join" in x)
+    assert "Join Inner" in first and "_s" in first and ">=" in first
+
+
 def test_join_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "ONE  two"), (6, "two one"), (7, "a b c d e"), (7, "a b c d e"), (8, "a b c d e f " * 2000), (None, "a b c d e")]
     found = run(spark, rows)
