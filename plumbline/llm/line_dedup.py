@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, drop, unused
@@ -72,9 +72,15 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return firsts.select(F.monotonically_increasing_id().alias("k"), F.struct("m.id", "m.t", "m.line_no").alias("first"), line_tokens(F.col("m.line")).alias("tokens"))
 
 
-def rarity(sets: DataFrame) -> bytes:
-    """For each slot of token hashes, how often the lines have the frequent token that falls there (in steps of a quarter of
-    a doubling); 0 in most slots, where only others fall. At most ``FREQUENT`` tokens are frequent, those above some step."""
+def _value(spark: SparkSession, value: bytes | list[int], kind: str) -> Column:
+    """A large value as a subquery: a literal would stand, megabytes long, in every printed form of the plans that have it.
+    Lambdas take it as a column of the table only, which the optimizer replaces by the subquery."""
+    return spark.createDataFrame([(value,)], f"value {kind}").scalar()
+
+
+def rarity(sets: DataFrame) -> Column:
+    """For each slot of token hashes a byte, how often the lines have the frequent token that falls there (in steps of a quarter
+    of a doubling); 0 in most slots, where only others fall. At most ``FREQUENT`` tokens are frequent, those above some step."""
     level = F.least(F.lit(127), F.round(4 * F.log2("count")).cast("int"))
     counts = sets.select(F.explode("tokens").alias("h")).groupBy("h").count().filter("count >= 4")
     counts = cut(counts.select(F.greatest(F.lit(1), F.col("h").bitwiseAND(F.lit(RARITY_SLOTS - 1))).alias("slot"), level.alias("level")), "token-levels")
@@ -89,14 +95,14 @@ def rarity(sets: DataFrame) -> bytes:
     out = bytearray(RARITY_SLOTS)
     for slot, step in (x.split(":") for x in listed.split(",") if x):
         out[int(slot) - 1] = int(step)  # SQL counts from 1, and takes 0 as 1
-    return bytes(out)
+    return _value(sets.sparkSession, bytes(out), "binary")
 
 
-def by_rarity(tokens: Column, slots: bytes) -> Column:
+def by_rarity(tokens: Column, slots: Column) -> Column:
     """A set's tokens as numbers, rarity above and hash below, so that their order is the common order of tokens."""
 
     def number(h: Column) -> Column:
-        level = F.ascii(F.substring(F.lit(slots), h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"), F.lit(1)).cast("string"))
+        level = F.ascii(F.substring(slots, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"), F.lit(1)).cast("string"))
         both = F.call_function("shiftleft", level.cast("long"), F.lit(_HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - _HASH_BITS)))
         return F.coalesce(both, F.lit(0).cast("long"))  # never null: numbers that can't be are sorted without comparators
 
@@ -145,7 +151,8 @@ def described(sets: DataFrame) -> DataFrame:
     """``k, first, n, sketch``, of sets of ``NEAR_WORDS`` and more the ``prefix``, and signatures ``s``: two of the ends of the
     tokens, of wide sets two more of the middle, of smaller sets one of all."""
     near = F.size("tokens") >= NEAR_WORDS
-    ordered = F.when(near, prefix(by_rarity(F.col("tokens"), rarity(sets))))
+    sets = sets.withColumn("slots", rarity(sets))
+    ordered = F.when(near, prefix(by_rarity(F.col("tokens"), F.col("slots"))))
     ends = lambda x: (F.xxhash64(F.slice(x, 1, 3)), F.xxhash64(F.slice(x, -3, 3)))
     above, below = F.filter("tokens", lambda h: h >= 0), F.filter("tokens", lambda h: h < 0)
     two = F.when(F.size("tokens") >= WIDE, F.array(*ends("tokens"), ends(above)[0], ends(below)[1])).otherwise(F.array(*ends("tokens")))
@@ -163,7 +170,7 @@ def _only(table: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = [0] * size
     for i, w in keys.groupBy(word(F.col("bit")).alias("i")).agg(F.bit_or(one).alias("w")).collect():  # at most BLOOM_WORDS rows
         bits[i] = w
-    known = F.from_json(F.lit("[" + ",".join(map(str, bits)) + "]"), "array<long>")
+    known = _value(table.sparkSession, bits, "array<long>")
     return table.filter(F.getbit(F.get(known, word(bit(F.col("k")))), bit(F.col("k")).bitwiseAND(F.lit(63)).cast("int")) == 1)
 
 

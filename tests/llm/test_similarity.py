@@ -165,6 +165,21 @@ def test_lines_against_brute_force(spark, monkeypatch, frequent, few):
         assert out[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone))
 
 
+def test_line_plans_print_no_tables(spark, monkeypatch):
+    """The driver holds every printed plan: tables that tasks look things up in are megabytes and stay out of them."""
+    sizes, cut = {}, line_dedup.cut
+
+    def seen(df, name, *more):
+        sizes[name] = max(sizes.get(name, 0), len(df._jdf.queryExecution().toString()))
+        return cut(df, name, *more)
+
+    monkeypatch.setattr(line_dedup, "cut", seen)
+    rows = [(k, x) for k, x in enumerate(variants(30, 12, 1, 4))]
+    line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert "line-facts" in sizes and "later-sets" in sizes
+    assert max(sizes.values()) < 200_000
+
+
 def test_line_query_against_brute_force(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     gone = removed_lines(rows)
