@@ -13,8 +13,8 @@ each set that no earlier set is like.
    them, so a family of a million variants isn't joined with itself.
 4. The others of at least ``NEAR_WORDS`` words (smaller sets match equal ones only) are joined by prefix tokens, with each
    other and with the settled ones, under the length filter, the positional filter and a sketch whose difference bounds that
-   of the sets from below. Each is verified, word by word, against the earlier set with which it shares most of its
-   prefix, and if that fails against all the rest.
+   of the sets from below. Each is verified, word by word, against the earlier set whose sketch is
+   nearest, and if that fails against all the rest.
 
 Steps 3 and 4 change how matches are found, not which: every line with an earlier match is removed, no other.
 
@@ -37,6 +37,7 @@ from plumbline.llm.quality_rules import let
 NEAR_WORDS = 4  # 4 words and 5 that contain them are alike by exactly 4 / 5; sets of 3 and fewer match equal sets only
 COMMON = 2  # prefixes are so long that sets that match share at least this many tokens of them
 ROUNDS = 3  # the join by prefix tokens runs in so many parts, one after the other, to hold less on disk at once
+FIRST = 12  # before them runs one over a token in so many, which settles most of a family
 FREQUENT, RARITY_SLOTS = 1 << 17, 1 << 20
 BLOOM_WORDS = 1 << 17
 WIDE = 48  # sets of so many tokens have signatures of the middle and sketches of parts too
@@ -115,12 +116,22 @@ def _alike() -> Column:
     return (BASE + TOP) * F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= (BASE - TOP) * total
 
 
-def _alike_wide() -> Column:
-    """The same with the part sketches of sets that are wide; true for others."""
+def _differ_wide() -> Column:
+    """The bits in which the part sketches of two sets differ; null if one isn't wide."""
     every, one, other, both = (F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in ("sketch", *PARTS))
     ones = lambda x: F.bit_count(x)
-    differ = ones(every.bitwiseXOR(one).bitwiseXOR(other).bitwiseXOR(both)) + ones(one.bitwiseXOR(both)) + ones(other.bitwiseXOR(both)) + ones(both)
-    return F.coalesce((BASE + TOP) * differ <= (BASE - TOP) * (F.col("a_n") + F.col("b_n")), F.lit(True))
+    return ones(every.bitwiseXOR(one).bitwiseXOR(other).bitwiseXOR(both)) + ones(one.bitwiseXOR(both)) + ones(other.bitwiseXOR(both)) + ones(both)
+
+
+def _alike_wide() -> Column:
+    """As ``_alike`` with the part sketches of sets that are wide; true for others."""
+    return F.coalesce((BASE + TOP) * _differ_wide() <= (BASE - TOP) * (F.col("a_n") + F.col("b_n")), F.lit(True))
+
+
+def _apart() -> Column:
+    """In how many tokens of a thousand of both two sets differ at least, by their sketches."""
+    differ = F.coalesce(_differ_wide(), F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))))
+    return (1000 * differ / (F.col("a_n") + F.col("b_n"))).cast("int")
 
 
 def prefix(numbers: Column) -> Column:
@@ -190,6 +201,11 @@ def _to_lead(signed: DataFrame, leads: DataFrame) -> DataFrame:
     return both.filter((F.col("a") != F.col("b")) & _alike()).select("a", "b").distinct()
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each ``a`` the pair whose sketches are nearest."""
+    return pairs.groupBy("a").agg(F.max(F.struct(-F.col("apart"), "c", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+
 def later_sets(sets: DataFrame) -> DataFrame:
     """``k`` of every set of the stored table that an earlier one matches, as a stored table."""
     facts = cut(described(sets), "line-facts", "snappy")
@@ -206,15 +222,26 @@ def later_sets(sets: DataFrame) -> DataFrame:
     marks = facts.filter(F.col("n") >= NEAR_WORDS).select("k", F.col("first.id").alias("id"), "n", "sketch", *PARTS, "prefix").join(settled.withColumn("done", F.lit(True)), "k", "left")
     marks = cut(marks.withColumn("done", F.coalesce("done", F.lit(False))), "line-marks", "snappy")
     drop(facts)
-    parts = [cut(_joined(marks, part), "line-pairs") for part in range(ROUNDS)]
+    few = sets.count() // FEW
+    parts = []
+    for part in range(1 + ROUNDS):
+        parts.append(cut(_joined(marks, part), "line-pairs"))
+        if part < ROUNDS and parts[-1].count() > few // (ROUNDS if part else FIRST):  # those that the likeliest of their pairs settles need no more parts
+            best = cut(_best(parts[-1]), "best-pairs")
+            first = cut(_verified(best, sets), "settled-lines")
+            fewer = cut(marks.join(first.withColumn("now", F.lit(True)), "k", "left").withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now"), "line-marks", "snappy")
+            both = cut(settled.union(first).distinct(), "settled-lines")
+            drop(best, first, marks, settled)
+            marks, settled = fewer, both
     drop(marks)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    pairs = cut(found.groupBy("a", "b").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON), "line-pairs")
+    still = found.join(settled.select(F.col("k").alias("a")), "a", "left_anti")  # all their parts were joined
+    pairs = cut(still.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("apart").alias("apart")).filter(F.col("c") >= COMMON), "line-pairs")
     drop(*parts)
-    if pairs.count() > sets.count() // FEW:  # else one step is cheaper than two
-        best = cut(pairs.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best-pairs")
+    if pairs.count() > few:  # else one step is cheaper than two
+        best = cut(_best(pairs), "best-pairs")
         first = cut(settled.union(_verified(best, sets)), "settled-lines")
         rest = cut(pairs.join(best, ["a", "b"], "left_anti").join(first, F.col("a") == F.col("k"), "left_anti"), "line-pairs")
         drop(pairs, best, settled)
@@ -225,9 +252,11 @@ def later_sets(sets: DataFrame) -> DataFrame:
 
 
 def _joined(marks: DataFrame, part: int) -> DataFrame:
-    """``a, b, c``: a set that isn't settled, one that isn't of a later document, and how many prefix tokens of this part they
-    share at places that, with their sizes and sketches, leave room for enough common tokens."""
-    post = lambda s: s.select("k", "id", "n", "sketch", *PARTS, F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(ROUNDS)) == part)
+    """``a, b, c, apart``: a set that isn't settled, one that isn't of a later document, how many prefix tokens of this part they
+    share at places that, with their sizes and sketches, leave room for enough common tokens, and how far the sketches are apart."""
+    early = F.pmod("token", F.lit(FIRST)) == 0
+    mine = ~early & (F.pmod("token", F.lit(ROUNDS)) == part - 1) if part else early
+    post = lambda s: s.select("k", "id", "n", "sketch", *PARTS, F.posexplode("prefix").alias("p", "token")).filter(mine)
     open_, done = post(marks.filter("not done")), post(marks.filter("done"))
     a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("k", "id", "n", "p", "sketch", *PARTS)])
     out = None
@@ -240,9 +269,9 @@ def _joined(marks: DataFrame, part: int) -> DataFrame:
         fits = ((BASE + TOP) * (room + COMMON - 1) >= TOP * total) & (BASE * F.col("a_n") >= TOP * F.col("b_n")) & (BASE * F.col("b_n") >= TOP * F.col("a_n"))
         # of two sets of one document either may be the later; the pair is verified once for each
         earlier = (F.col("a_k") != F.col("b_k")) & (F.col("b_id").isNull() | (F.col("b_id") <= F.col("a_id")))
-        found = a.join(b, (a["token"] == b["token"]) & earlier & _alike() & _alike_wide() & fits).select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
+        found = a.join(b, (a["token"] == b["token"]) & earlier & _alike() & _alike_wide() & fits).select(F.col("a_k").alias("a"), F.col("b_k").alias("b"), _apart().alias("apart"))
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("a", "b").agg(F.count("*").alias("c"))
+    return out.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("apart").alias("apart"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -180,6 +180,24 @@ def test_line_plans_print_no_tables(spark, monkeypatch):
     assert max(sizes.values()) < 200_000
 
 
+def test_settled_lines_meet_no_more_parts(spark, monkeypatch):
+    """A family without common signatures: what the first tokens settle isn't joined by the others."""
+    monkeypatch.setattr(line_dedup, "FEW", 1 << 20)
+    monkeypatch.setattr(line_dedup, "FIRST", 3)
+    made, joined = [], line_dedup._joined
+
+    def seen(marks, part):
+        made.append((part, marks.filter("not done").count()))
+        return joined(marks, part)
+
+    monkeypatch.setattr(line_dedup, "_joined", seen)
+    rows = list(enumerate(variants(120, 30, 2, 8)))
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = removed_lines(rows)
+    assert {i for i, t in out.items() if t == ""} == {i for i, _ in gone}
+    assert made[-1][1] < made[0][1]
+
+
 def test_line_query_against_brute_force(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     gone = removed_lines(rows)
