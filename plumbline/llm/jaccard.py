@@ -16,7 +16,8 @@ is counted over all texts; only the order of the most frequent shingles is broad
 order that all sets share gives right results, so the bound costs nothing but time).
 
 A pair of candidates is first compared by parity sketches, whose difference bounds that of the sets from below, so that only
-pairs that are nearly alike need their sets.
+pairs that are nearly alike need their sets. Members of two groups, leaders and sets without a group are compared so within the
+join that pairs them, by sketches folded to one size.
 
 Sets are never stored for all texts: they are derived from the text again for those that have a candidate, which a Bloom
 filter of bounded size picks out.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.bloom import BlockedBloom
 from plumbline.llm.common import cut, drop, slices
 from plumbline.llm.components import components
-from plumbline.llm.shingles import least_difference, parity_sketch, set_identity, shingle_sets, signatures
+from plumbline.llm.shingles import LEAST_BITS, folded, least_difference, parity_sketch, set_identity, shingle_sets, signatures
 
 POST = np.dtype([("token", "<u8"), ("key", "<i8"), ("least", "<u4"), ("most", "<u4"), ("pos", "<u4")])
 #: Bounds of what is broadcast: shingles with a known rank, groups with a leader, shingles of all leaders.
@@ -49,6 +50,10 @@ BUCKET_POSTINGS = 250_000
 HELD, SEEN = 250_000, 50_000
 
 
+#: Columns of a sketch of ``LEAST_BITS``.
+FOLDED = tuple(f"w{k}" for k in range(LEAST_BITS // 64))
+
+
 def _u(x: int) -> np.uint64:
     return np.uint64(x & ((1 << 64) - 1))
 
@@ -266,10 +271,13 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
             own = each.select(F.col("l_lo").alias(f"{x}_lo"), F.col("lo").alias("m"), F.col("n").alias("mn"), F.col("d").alias("md"))
             here = known.join(own, f"{x}_lo", "left").withColumn("s", slack(zero("md"), F.coalesce("mn", f"n{x}")))
             some = here.filter(F.col("s") + F.greatest(F.col(f"p{other}"), (base - top) * F.col(f"n{other}")) >= needs)
-            return some.select("a_lo", "b_lo", "d", F.coalesce("m", f"{x}_lo").alias(x), F.col("s").alias(f"{x}_s"), (zero("md") > 0).alias(f"{x}_off"))
+            some = some.select("a_lo", "b_lo", "d", F.coalesce("m", f"{x}_lo").alias(x), F.coalesce("mn", f"n{x}").alias(f"{x}_n"), F.col("s").alias(f"{x}_s"), (zero("md") > 0).alias(f"{x}_off"))
+            return some.join(words.select(F.col("lo").alias(x), *[F.col(w).alias(f"{x}_{w}") for w in FOLDED]), x)
 
         left, right = side("a", "b"), side("b", "a").drop("d")
-        both = left.join(right, ["a_lo", "b_lo"]).filter((F.col("a_s") + F.col("b_s") >= needs) & (F.col("a_off") | F.col("b_off")))
+        bits = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in FOLDED), F.lit(0))
+        alike = near(F.greatest(bits, F.abs(F.col("a_n") - F.col("b_n"))), F.col("a_n") + F.col("b_n"))
+        both = left.join(right, ["a_lo", "b_lo"]).filter((F.col("a_s") + F.col("b_s") >= needs) & (F.col("a_off") | F.col("b_off")) & alike)
         more = cut(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         likely = cut(_sketched(more, texts, spread.limit(0), share), "likely")
         drop(more)
@@ -280,6 +288,9 @@ def _set_links(spark: SparkSession, rows: DataFrame, facts: DataFrame, texts: Da
     if not open_.isEmpty():
         open_ = unsettled(open_.select("a_lo", "b_lo", "d", "na", "nb"))
     if not open_.isEmpty():
+        ends = open_.select(F.explode(F.array("a_lo", "b_lo")).alias("l_lo")).distinct()
+        words = cut(_folded(texts, ends.select(F.col("l_lo").alias("lo")).union(members.join(ends, "l_lo", "left_semi").select("lo")).distinct()), "words")
+        tables.append(words)
         # the nearest leaders of two classes first: one link between their members settles all other pairs of these classes
         pair = F.struct("a_lo", "b_lo", "d", "na", "nb")
         nearest = cut(open_.groupBy("c1", "c2").agg(F.min_by(pair, F.struct("d", "a_lo", "b_lo")).alias("p")).select("p.*"), "nearest")
@@ -396,6 +407,19 @@ def _sketched(pairs: DataFrame, texts: DataFrame, spread: DataFrame, share: tupl
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _folded(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``lo`` of the keys, with their sketches as columns of 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                every = np.stack([folded(x.as_buffer()) for x in part.column("sketch")]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("lo"), *[pa.array(every[:, k].copy()) for k in range(len(FOLDED))]], names=["lo", *FOLDED])
+
+    own = texts.filter("n > 0").select("lo", "sketch").join(keys, "lo", "left_semi").dropDuplicates(["lo"])
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in ("lo", *FOLDED)))
+
+
 def _sets_of(rows: DataFrame, bloom) -> DataFrame:
     """``hi, lo, n, shingles`` of the rows' texts; with ``bloom``, only of sets whose ``lo`` it may contain."""
 

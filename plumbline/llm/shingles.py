@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
+LEAST_BITS = 1024  # of a sketch
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -111,12 +112,20 @@ def signatures(s: np.ndarray) -> list[int]:
 
 def parity_sketch(s: np.ndarray) -> bytes:
     """A bit per residue of the shingles: whether an odd number falls there. There are 2 to 4 times as many bits as shingles,
-    a power of two, so that a sketch folds to any smaller one."""
-    bits = 1 << max(6, int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    ``LEAST_BITS`` at least, a power of two, so that a sketch folds to any smaller one."""
+    bits = max(LEAST_BITS, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else LEAST_BITS
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(a: bytes) -> np.ndarray:
+    """A sketch as the words of one of ``LEAST_BITS``."""
+    x = np.frombuffer(a, np.uint64)
+    while 64 * len(x) > LEAST_BITS:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """The set difference of two sets is at least the number of bits in which their sketches differ."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard, line_dedup, queries
 from plumbline.llm.components import components
-from plumbline.llm.shingles import least_difference, parity_sketch
+from plumbline.llm.shingles import folded, least_difference, parity_sketch
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -92,6 +92,24 @@ def test_members_of_groups_meet_only_where_both_leave_room(spark, monkeypatch):
     assert "Join Inner" in first and "_s" in first and ">=" in first
 
 
+def test_members_whose_sketches_differ_too_much_do_not_meet(spark, monkeypatch):
+    """The join of members makes no pair that the sketches would rule out after it."""
+    monkeypatch.setattr(jaccard, "GROUP_MIN", 4)
+    sizes, cut = [], jaccard.cut
+
+    def seen(df, name, *more):
+        out = cut(df, name, *more)
+        sizes.append((name, out.count() if name in ("candidates", "likely") else 0))
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", seen)
+    texts = variants(60, words=60, edits=6, seed=11)
+    assert run(spark, list(enumerate(texts))) == classes(list(enumerate(texts)))
+    after = sizes[[n for n, _ in sizes].index("nearest") :]
+    met, likely = ([n for name, n in after if name == x] for x in ("candidates", "likely"))
+    assert met and met == likely and sum(met)
+
+
 def test_join_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "ONE  two"), (6, "two one"), (7, "a b c d e"), (7, "a b c d e"), (8, "a b c d e f " * 2000), (None, "a b c d e")]
     found = run(spark, rows)
@@ -113,6 +131,15 @@ def test_sketches_bound_the_difference():
         assert least_difference(parity_sketch(x), parity_sketch(x)) == 0
 
 
+def test_folded_sketches_bound_the_difference():
+    r = np.random.default_rng(2)
+    for n, m in ((1, 1), (5, 700), (300, 320), (2000, 10)):
+        pool = r.integers(0, 1 << 63, 2400, dtype=np.uint64)
+        x, y = np.unique(r.choice(pool, n)), np.unique(r.choice(pool, m))
+        differ = folded(parity_sketch(x)) ^ folded(parity_sketch(y))
+        assert len(differ) == len(jaccard.FOLDED) and int(np.bitwise_count(differ).sum()) <= len(np.setxor1d(x, y))
+
+
 def test_list_pairs_lose_nothing():
     r = random.Random(2)
     for dense in (2, 64):
