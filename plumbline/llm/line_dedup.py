@@ -26,12 +26,13 @@ an order; an empty table gives an empty result. Words are compared by 64-bit has
 
 from __future__ import annotations
 
-import math
+import struct
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, drop, unused
+from plumbline.llm.common import drop, planned_with, unused
+from plumbline.llm.common import cut as plain_cut
 from plumbline.llm.quality_rules import let
 
 NEAR_WORDS = 4  # 4 words and 5 that contain them are alike by exactly 4 / 5; sets of 3 and fewer match equal sets only
@@ -47,6 +48,16 @@ TOP, BASE = 4, 5  # the least similarity, 4 / 5
 _HASH_BITS = 55  # of a token's place in the order; above them is its rarity
 
 
+#: Joins whose parts are all small hash one side instead of sorting both. With a larger part (a skewed key) or larger parts by
+#: the session's own ``advisoryPartitionSizeInBytes`` both are sorted as before, so memory stays bounded.
+HASHED = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m"}
+
+
+def cut(df: DataFrame, *how: str) -> DataFrame:
+    with planned_with(df.sparkSession, HASHED):
+        return plain_cut(df, *how)
+
+
 def line_tokens(line: Column) -> Column:
     """The hashes of a line's different words, in ascending order."""
     rare = "\t\x0b\x0c\r"  # few lines have these, so the others aren't translated
@@ -80,11 +91,11 @@ def _value(spark: SparkSession, value: bytes | list[int], kind: str) -> Column:
 
 
 def rarity(sets: DataFrame) -> Column:
-    """For each slot of token hashes a byte, how often the lines have the frequent token that falls there (in steps of a quarter
-    of a doubling); 0 in most slots, where only others fall. At most ``FREQUENT`` tokens are frequent, those above some step."""
+    """For each slot of token hashes a byte, eight to a number, how often the lines have the frequent token that falls there (in steps
+    of a quarter of a doubling); 0 in most slots, where only others fall. At most ``FREQUENT`` tokens are frequent, those above some step."""
     level = F.least(F.lit(127), F.round(4 * F.log2("count")).cast("int"))
     counts = sets.select(F.explode("tokens").alias("h")).groupBy("h").count().filter("count >= 4")
-    counts = cut(counts.select(F.greatest(F.lit(1), F.col("h").bitwiseAND(F.lit(RARITY_SLOTS - 1))).alias("slot"), level.alias("level")), "token-levels")
+    counts = cut(counts.select(F.col("h").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot"), level.alias("level")), "token-levels")
     room, least = FREQUENT, 128
     for step, n in sorted(counts.groupBy("level").count().collect(), reverse=True):  # at most 128 rows
         if n > room:
@@ -95,16 +106,17 @@ def rarity(sets: DataFrame) -> Column:
     drop(counts)
     out = bytearray(RARITY_SLOTS)
     for slot, step in (x.split(":") for x in listed.split(",") if x):
-        out[int(slot) - 1] = int(step)  # SQL counts from 1, and takes 0 as 1
-    return _value(sets.sparkSession, bytes(out), "binary")
+        out[int(slot)] = int(step)
+    return _value(sets.sparkSession, [x[0] for x in struct.iter_unpack("<q", out)], "array<long>")
 
 
 def by_rarity(tokens: Column, slots: Column) -> Column:
     """A set's tokens as numbers, rarity above and hash below, so that their order is the common order of tokens."""
 
     def number(h: Column) -> Column:
-        level = F.ascii(F.substring(slots, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"), F.lit(1)).cast("string"))
-        both = F.call_function("shiftleft", level.cast("long"), F.lit(_HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - _HASH_BITS)))
+        eight = F.get(slots, F.call_function("shiftright", h.bitwiseAND(F.lit(RARITY_SLOTS - 1)), F.lit(3)).cast("int"))
+        level = F.call_function("shiftright", eight, F.call_function("shiftleft", h.bitwiseAND(F.lit(7)).cast("int"), F.lit(3))).bitwiseAND(F.lit(127))
+        both = F.call_function("shiftleft", level, F.lit(_HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - _HASH_BITS)))
         return F.coalesce(both, F.lit(0).cast("long"))  # never null: numbers that can't be are sorted without comparators
 
     return F.sort_array(F.transform(tokens, number))
@@ -135,13 +147,11 @@ def _apart() -> Column:
 
 
 def prefix(numbers: Column) -> Column:
-    """The rarest tokens of a set, as many as the prefix filter needs, by 31 bits of their hashes: numbers that happen to
+    """Of a stored or projected column, the rarest tokens of a set, as many as the prefix filter needs, by 31 bits of their hashes: numbers that happen to
     be equal may add candidates, never lose one."""
 
-    def first(x: Column) -> Column:
-        return F.slice(x, 1, F.size(x) - F.ceil(F.size(x) * TOP / BASE).cast("int") + COMMON)
-
-    return F.transform(let(numbers, first), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    needed = F.call_function("div", F.size(numbers) * TOP + BASE - 1, F.lit(BASE)).cast("int")  # rounded up
+    return F.transform(F.slice(numbers, 1, F.size(numbers) - needed + COMMON), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
 
 
 def sketch(tokens: Column) -> Column:
@@ -162,8 +172,9 @@ def described(sets: DataFrame) -> DataFrame:
     """``k, first, n, sketch``, of sets of ``NEAR_WORDS`` and more the ``prefix``, and signatures ``s``: two of the ends of the
     tokens, of wide sets two more of the middle, of smaller sets one of all."""
     near = F.size("tokens") >= NEAR_WORDS
-    sets = sets.withColumn("slots", rarity(sets))
-    ordered = F.when(near, prefix(by_rarity(F.col("tokens"), F.col("slots"))))
+    # a step of its own, used more than once: within the lambdas of others the numbers would be boxed and sorted by comparators
+    sets = sets.withColumn("slots", rarity(sets)).select("k", "first", "tokens", by_rarity(F.col("tokens"), F.col("slots")).alias("numbers"))
+    ordered = F.when(near, prefix(F.col("numbers")))
     ends = lambda x: (F.xxhash64(F.slice(x, 1, 3)), F.xxhash64(F.slice(x, -3, 3)))
     above, below = F.filter("tokens", lambda h: h >= 0), F.filter("tokens", lambda h: h < 0)
     two = F.when(F.size("tokens") >= WIDE, F.array(*ends("tokens"), ends(above)[0], ends(below)[1])).otherwise(F.array(*ends("tokens")))

@@ -258,3 +258,53 @@ def test_line_tokens_split_at_all_white_space(spark):
     assert found == [None if w is None else sorted(h[x] for x in w.split(" ") if x) for w in wanted]
     words = [r[0] for r in rows.orderBy("k").select(line_dedup._has_words(F.col("line"))).collect()]
     assert words == [True, True, True, False, False, None, True, True]
+
+
+def test_rarity_of_every_slot(spark):
+    """The levels of frequent tokens, eight to a number, also of the first slot and of the highest byte."""
+    tokens = [k + (j << 40) for j in (0, 5, -3) for k in (0, 1, 7, 8, 15, line_dedup.RARITY_SLOTS - 1)]
+    times = {t: 4 + 7 * i for i, t in enumerate(tokens[:6])}
+    rows = [([t],) for t, n in times.items() for _ in range(n)] + [(sorted(tokens),)]
+    sets = spark.createDataFrame(rows, "tokens array<long>").cache()
+    found = sets.withColumn("slots", line_dedup.rarity(sets)).select("tokens", line_dedup.by_rarity(F.col("tokens"), F.col("slots")).alias("x")).filter(F.size("tokens") > 1).first()
+    level = lambda t: round(4 * np.log2(times[t & (line_dedup.RARITY_SLOTS - 1)] + 1))
+    hashed = lambda t: (t & ((1 << 64) - 1)) >> (64 - line_dedup._HASH_BITS)
+    assert found["x"] == sorted((level(t) << line_dedup._HASH_BITS) | hashed(t) for t in tokens)
+
+
+def test_tokens_are_ordered_in_a_step_of_their_own_and_small_joins_hash(spark, monkeypatch):
+    """Within a lambda the sort would box every number, and joins of small parts needn't sort both sides."""
+    plans, plain = {}, line_dedup.cut
+
+    def seen(df, name, *more):
+        if name in ("line-facts", "line-pairs"):
+            plans.setdefault(name, []).append(df)
+        return plain(df, name, *more)
+
+    monkeypatch.setattr(line_dedup, "cut", seen)
+    real = getattr(line_dedup, "plain_cut", None)
+    joins = []
+
+    def run(df, name, *more):
+        if name == "line-pairs":
+            df.collect()
+            joins.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, *more)
+
+    monkeypatch.setattr(line_dedup, "plain_cut", run)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
+        rows = [(k, "\n".join(variants(3, words=12, edits=2, seed=k // 2))) for k in range(12)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+        plan = plans["line-facts"][0]._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    gone = removed_lines(rows)
+    assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+    ordered = [x for x in plan.splitlines() if "sort_array(" in x]
+    assert ordered and not any("slice(" in x for x in ordered)
+    assert any("ShuffledHashJoin" in x for x in joins)
